@@ -141,5 +141,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the packed pieces of all documents, repeated ones included."""
+    return pack(docs)
+
+
 QUERIES = {"op5_packing": op5_packing}
 ORACLES: dict[str, str] = {}

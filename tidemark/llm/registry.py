@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "quality", "neighbours", "packing", "near_dedup", "chat", "sharding")
+MODULES = ("url_filter", "quality", "mixing", "neighbours", "packing", "pii", "rules", "near_dedup", "chat", "sharding")
 
 
 def collect() -> tuple[dict, dict]:
