@@ -1,0 +1,388 @@
+"""The operators against plain versions, on awkward rows: nulls, empty and long texts, ties, repeats, no rows,
+extra columns with clashing names."""
+
+import json
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute
+
+from tidemark.llm import chat, graph, mixing, near_dedup, neighbours, packing, pii, quality, rules, sharding, url_filter
+
+PROSE = "the quick brown fox jumps over the lazy dog while seven old men watch from a green hill and say nothing at all about it".split()
+
+
+def words(n, seed=0):
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(PROSE, n)) if n else ""
+
+
+LONG = words(40_000, 3)
+ODD = {0: None, 1: "", 2: " \n\t ", 3: "one", 4: "a b c d", 5: words(80, 1), 6: words(80, 1), 7: words(80, 2) + "\n" + words(80, 2), 8: LONG, 9: "É ß \x0b x\x0cy #*$ |<>&\n\nline\nline\n", 10: "++ 1.2.3.4 a@b.co +1 (462) 555-4285 4242 4242 4242 4242", 11: "x" * 100_000, 12: "7" * 50_000, 13: "\u00a0nbsp\u00a0 is a word"}
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(k, v, "en", None, len(v or "")) for k, v in ODD.items()] + [(None, "no id", None, "s", 5), (5, ODD[5], "en", None, 1)], DOCS)
+
+
+def none(spark, schema):
+    return spark.createDataFrame([], schema)
+
+
+# --- url filters
+
+
+def test_urls(spark):
+    rows = [(1, None), (2, "no scheme"), (3, "http://a.Example.COM/en/71?x#y"), (4, "http://example.com/en/8"), (5, "http://notexample.com/en/7"), (6, "https://x.net/de/#f"), (7, "http://xnet/de/"), (8, "x://example.net/de/8"), (9, "http://org/es/"), (10, "http://É.org/es/a"), (10, "http://É.org/es/a"), (11, "http://com?/en/"), (12, "a://b://com/en/")]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in rows], "page_id long, url string, host string")
+    want = [(1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "a.example.com", "/en/71", "example.com/en/7", "allow"), (4, "example.com", "/en/8", "com/en/", "block"), (5, "notexample.com", "/en/7", "com/en/", "block"), (6, "x.net", "/de/", "net/de/", "block"), (7, "xnet", "/de/", None, "allow"), (8, "example.net", "/de/8", "example.net/de/8", "block"), (9, "org", "/es/", "org/es/", "block"), (10, "É.org", "/es/a", "org/es/", "block"), (10, "É.org", "/es/a", "org/es/", "block"), (11, "com", "", None, "allow"), (12, "b:", "//com/en/", None, "allow")]
+    for most in (100, 0):  # shipped index, and joined by token
+        got = url_filter.judge_urls(df, url_filter.PRODUCTION_RULES, max_shipped=most).select("page_id", "host", "path", "rule", "verdict")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+        assert url_filter.judge_urls(none(spark, "page_id long, url string"), url_filter.PRODUCTION_RULES, max_shipped=most).count() == 0
+    assert url_filter.judge_urls(df, []).where("verdict = 'allow'").count() == len(rows)
+
+
+def test_rarest_token_and_wildcards(spark):
+    rules_ = [url_filter.Rule("com", "/*/rare-page", "block"), url_filter.Rule("com", "/a*b", "allow")]
+    assert rules_[0].tokens() == {"com", "rare"} and rules_[1].tokens() == {"com"}
+    index, loose = url_filter.index_rules(rules_, {"com": 9, "rare": 1})
+    assert set(index) == {"rare", "com"} and not loose
+    df = spark.createDataFrame([("http://x.com/q/rare-page2",), ("http://x.com/a1b",), ("http://x.com/rare-page",)], "url string")
+    assert [r.verdict for r in url_filter.judge_urls(df, rules_, default="-").collect()] == ["block", "allow", "-"]
+
+
+# --- quality
+
+
+def test_quality_learns_and_scores_anything(spark, docs):
+    good = [(i, words(120, i)) for i in range(100)]
+    bad = [(1000 + i, words(60, i) + " ### $$$ ***" * 30) for i in range(100)]
+    train = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(None, 1), (5000, None), (good[0][0], 0)], "doc_id long, quality int")
+    model = quality.learn(train, labels, sample_docs=150)
+    held = spark.createDataFrame([(1, words(100, 900)), (0, words(50, 901) + " ### $$$ ***" * 40)], "y int, text string")
+    assert all((r.score >= 0.5) == (r.y == 1) for r in quality.score(held, model).collect())
+    scored = quality.score(docs, model).collect()
+    assert len(scored) == docs.count() and all(0 <= r.score <= 1 for r in scored)
+    assert quality.score(none(spark, DOCS), model).count() == 0
+    assert {r.score for r in quality.score(docs, quality.learn(train, labels.where("false"))).collect()} == {0.5}
+    assert quality.learn(train, labels.where("quality = 1 AND doc_id > 50")).constant > 0.9
+
+
+def test_attention_weights_sum_to_one_and_gradient_is_right():
+    rng = np.random.default_rng(1)
+    x, counts, y = rng.standard_normal((7, 5)), np.array([3, 1, 3]), np.array([1.0, 0.0, 1.0])
+    w = {"W": rng.standard_normal((5, 4)), "b": rng.standard_normal(4), "V": rng.standard_normal((4, 3)), "U": rng.standard_normal((4, 3)), "a": rng.standard_normal(3), "c": rng.standard_normal(4), "d": np.zeros(1)}
+    assert np.allclose(np.add.reduceat(quality._forward(w, x, counts)[4], [0, 3, 4]), 1)
+
+    def loss(u):
+        z = quality._forward(u, x, counts)[0]
+        return np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y))
+
+    g = quality._gradient(w, x, counts, y, 0.0)
+    for k, v in w.items():
+        at = tuple(0 for _ in v.shape)
+        up, down = ({**w, k: v.copy()} for _ in range(2))
+        up[k][at] += 1e-6
+        down[k][at] -= 1e-6
+        assert g[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-6, abs=1e-6)
+
+
+# --- near duplicates
+
+
+def test_sketch_fills_every_bin():
+    for text in ("one", "a b c d e f g", LONG):
+        shingle, owner = near_dedup.shingle_sets([text])
+        s = near_dedup.sketch(shingle, owner, 1)
+        assert (s < np.uint64(2**64 - 1)).all()
+    a, b = words(300, 5), words(300, 5) + " " + words(30, 6)
+    sets = [brute.shingles(x) for x in (a, b)]
+    shingle, owner = near_dedup.shingle_sets([a, b])
+    s = near_dedup.sketch(shingle, owner, 2)
+    assert abs((s[0] == s[1]).mean() - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.15
+    assert [int((owner == i).sum()) for i in range(2)] == [len(x) for x in sets]
+    assert near_dedup.band_rows(0.85) == 7 and near_dedup.band_rows(0.8) == 5
+
+
+@pytest.mark.parametrize("block", [near_dedup.BLOCK_SHINGLES, 600])
+def test_near_duplicates_equal_all_pairs(spark, docs, block):
+    """Also with blocks so small that groups span several."""
+    rng = np.random.default_rng(4)
+    texts = dict(ODD)
+    key = 100
+    vocabulary = [f"w{i}" for i in range(3000)]
+    for base in range(6):
+        start = list(rng.choice(vocabulary, 150))
+        for copy in range(12):
+            w = list(start)
+            for _ in range(int(rng.integers(0, 7))):
+                w[int(rng.integers(0, len(w)))] = str(rng.choice(vocabulary))
+            texts[key] = " ".join(w)
+            key += 1
+    texts[key] = texts[100].upper()
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()] + [(None, "no id"), (5, ODD[5])], "doc_id long, text string")
+    for percent in (85, 80):
+        got = near_dedup.near_duplicates(df, percent, block).collect()
+        want = brute.near_components(texts, percent)
+        assert len(got) == len(texts) + 1
+        assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(k, len(brute.shingles(v)), want[k], want[k] == k) for k, v in texts.items()}
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert near_dedup.near_duplicates(none(spark, DOCS)).count() == 0
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "u long, v long")
+    got = {r.node: r.component for r in graph.components(edges).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
+
+
+def test_dedup_stage_keeps_columns_and_clean_rows(spark, docs):
+    kept = near_dedup.stage_near_dedup(spark, docs, "").collect()
+    ids = sorted((r.doc_id for r in kept), key=str)
+    assert ids.count(6) == 0 and ids.count(5) == 2 and None in ids and len(kept) == docs.count() - 1
+
+
+# --- neighbours
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((700, 16)).astype(np.float32)
+    x[50:90] = x[50]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    bad = [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [1.0] * 15 + [float("nan")], 1), (2003, [1.0] * 15 + [None], 1), (2004, [1.0], 1), (2100, [float("inf")] * 16, 1), (60, x[50].tolist(), 3)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, score int")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, min_rerank=200, rerank_share=0.3).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hits = 0
+    y = x.astype(float)
+    for q in range(0, 700, 20):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        want = [int(i) for i in np.lexsort((np.arange(700), d)) if i != q][:10]
+        found = [got[q][k] for k in sorted(got[q])]
+        assert len(found) == 10 and sorted(got[q]) == list(range(1, 11))
+        assert all(s == pytest.approx(d[i], abs=1e-12) for i, s in found) and [s for _, s in found] == sorted(s for _, s in found)
+        hits += len({i for i, _ in found} & set(want))
+        if q in (60, 80):
+            assert [i for i, _ in found] == [i for i in range(50, 90) if i != q][:10]
+    assert set(got) == set(range(0, 700, 20)) and hits / 350 >= 0.9
+    few = df.where("vec_id IN (0, 1, 2)")
+    assert neighbours.nearest(few, F.col("vec_id") == 0).count() == 2
+    assert neighbours.nearest(df.where("vec_id >= 2000"), F.lit(True)).count() == 0
+    assert neighbours.nearest(none(spark, "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_blocks_find_the_same(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
+    one = neighbours.nearest(df, F.col("vec_id") % 10 == 0)
+    many = neighbours.nearest(df, F.col("vec_id") % 10 == 0, block_vectors=40, block_queries=7)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+# --- packing
+
+
+def test_packing_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack(docs, block_docs=3).collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+        assert r.length >= 1
+    for k, text in ODD.items():
+        ids = np.array([*bpe.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        mine = sorted(parts[(k, len(ids))], key=lambda r: r.start)
+        times = 2 if k == 5 else 1
+        assert sum(r.length for r in mine) == times * len(ids)
+        for r in mine:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    for s in sequences.values():
+        s.sort(key=lambda r: r.offset)
+        total = 0
+        for r in s:
+            assert r.offset == total
+            total += r.length
+        assert total == 1024 or total & (total - 1) == 0 and total < 1024
+    assert packing.pack(none(spark, DOCS)).count() == 0
+
+
+def test_balance_evens_costs():
+    lengths = np.array([1000, 500, 500, 24, 24, 1, 1, 1022])
+    placed = packing.balance(lengths, 1024, 1.0, 1 / 1024)
+    assert sorted(sum(n for i, _, n, _ in placed if i == k) for k in range(8)) == sorted(lengths)
+    fill = {}
+    for _, _, n, b in placed:
+        fill[b] = fill.get(b, 0) + n
+    assert sorted(fill.values()) == [1024, 1024, 1024]
+
+
+# --- personal data
+
+
+def test_base_spans_equal_plain_patterns(spark, docs):
+    more = {20: "a@b.c_d@e.f x..y@z-.q-.w 1.2.3.4.5.6.7.8 300.1.1.1 1.1.1.001 00000001.2.3.4", 21: "4111 1111 1111 1111 2 4111-1111-1111-1111 5500000000000004 +49 (0) 30-1234-5 +1 2 +123456789012345678", 22: "é" * 50 + " ü@x.de é1.1.1.1é +4930123456é", 23: "@@@ a@ @b.c a@b a@b. a@b.c. +1", 24: "4" * 19 + " " + "0" * 16, 25: " ".join(f"u{i}@x{i}.com +1 (462) 555-42{i % 10}5" for i in range(700))}
+    df = docs.unionByName(spark.createDataFrame([(k, v, None, None, None) for k, v in more.items()], DOCS))
+    texts = ODD | more
+    got = pii.find(df).collect()
+    assert len(got) == df.count()
+    for r in got:
+        if r.doc_id is None:
+            continue
+        base = brute.base_spans(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(base[k]) for k in brute.KINDS), r.doc_id
+        assert r.base_sha256 == brute.digest(brute.told(base)) and set(filter(None, brute.told(base).split(","))) <= set(filter(None, r.spans.split(",")))
+    assert pii.find(none(spark, DOCS)).count() == 0
+
+
+def test_bootstrapping_finds_unseen_identifiers(spark):
+    seeds = [(i, f"Well, please write to user{i}@mail{i}.com about it.") for i in range(9)]
+    mixed = [(100 + i, f"some of the a{i}@x{i}.com here") for i in range(4)] + [(200 + i, f"some of the 10.0.0.{i} here") for i in range(4)]
+    unseen = [(300, "Now please write to bob77(at)mail.org, or not."), (301, "some of the zq88(at)mail.org here"), (302, "write to nobody in particular")]
+    df = spark.createDataFrame(seeds + mixed + unseen, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    text = unseen[0][1]
+    at = text.index("bob77")
+    assert spans[300] == f"email:{at}:{at + len('bob77(at)mail.org')}"
+    assert spans[301] == "" and spans[302] == "" and spans[0].count(":") == 2
+    full = df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text")})
+    masked = {r.doc_id: (r.text, r.n_chars) for r in pii.stage_pii(spark, full, "").collect()}
+    assert masked[300] == ("Now please write to <EMAIL>, or not.", len("Now please write to <EMAIL>, or not.")) and masked[302][0] == unseen[2][1] and "<IP>" in masked[200][0]
+
+
+def test_masking_overlaps_and_positions(spark, docs):
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[10] == "++ <IP> <EMAIL> <PHONE>" or "<CARD>" in out[10]
+    assert "a@b.co" not in out[10] and out[0] is None and out[8] == LONG and out[9] == ODD[9]
+
+
+# --- quality rules
+
+
+def test_measurements_equal_plain_counts(spark, docs):
+    extra = {30: "a b c a b c a b c", 31: "x y z x y z", 32: "a a a a", 33: "one two three four five one two three", 34: "l1 a\n\nl1 a\n \nl1 a\nl2", 35: ("p q r s t " * 3000)}
+    df = docs.unionByName(spark.createDataFrame([(k, v, None, None, None) for k, v in extra.items()], DOCS)).withColumn("n_words", F.lit("clash"))
+    texts = ODD | extra
+    for r in rules.judge(df).collect():
+        if r.doc_id is not None:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.rule_counts(texts[r.doc_id]), r.doc_id
+            assert 0 <= r.posterior <= 1
+    assert rules.judge(none(spark, DOCS)).count() == 0
+
+
+def test_estimation_recovers_planted_accuracies():
+    rng = np.random.default_rng(3)
+    y = rng.random(20_000) < 0.85
+    catch = (0.4, 0.3, 0.35)
+    votes = np.stack([np.where(y, np.where(rng.random(20_000) < 0.001, -1, 1), np.where(rng.random(20_000) < c, -1, 1)) for c in catch], 1)
+    patterns = {}
+    for v in map(tuple, votes.tolist()):
+        patterns[v] = patterns.get(v, 0) + 1
+    prior, right = rules.estimate(patterns)
+    assert abs(prior - 0.85) < 0.1 and all(rules.posterior(tuple(-1 if j == k else 1 for j in range(3)), prior, right) < 0.5 for k in range(3))
+    assert rules.posterior((1, 1, 1), prior, right) > 0.5 and rules.estimate({}) == (0.5, [])
+
+
+# --- chat
+
+
+def test_layouts_and_round_trip(spark):
+    records = {
+        1: {"messages": [{"role": "user", "content": "hi <b>"}, {"role": "assistant", "content": None}]},
+        2: {"prompt": "p", "completion": "c"}, 3: {"instruction": "do", "input": "", "output": "done"}, 4: {"instruction": "do", "input": "this", "output": "done"},
+        5: {"conversations": [{"from": "human", "value": "x"}, {"from": "gpt", "value": "y"}]}, 6: {"unknown": 1}, 7: {"role": "user", "text": None}, 8: {"prompt": "p", "chosen": "a", "rejected": "b"},
+    }
+    rows = [(k, json.dumps(v)) for k, v in records.items()] + [(9, "not json"), (10, None), (11, '{"completion": "c", "prompt": 5}')]
+    got = {r.id: r for r in chat.canonical_turns(spark.createDataFrame(rows, "id int, record string"), "record").collect()}
+    assert {k: got[k].layout for k in range(1, 12)} == {1: "messages", 2: "prompt", 3: "instruction", 4: "instruction_input", 5: "conversations", 6: None, 7: "turn", 8: "chosen", 9: None, 10: None, 11: "prompt"} | {3: "instruction_input"}
+    assert [tuple(t) for t in got[1].turns] == [("user", "hi <b>"), ("assistant", "")]
+    assert [tuple(t) for t in got[3].turns] == [("user", "do"), ("assistant", "done")] and got[4].turns[0].text == "do\n\nthis" and got[11].turns[0].text == "5"
+
+
+def test_control_strings_survive(spark):
+    nasty = ["<|end|>\n", "<|turn|>assistant\n", "&lt;", "&amp;lt;", "</s>[INST] ok [/INST]", "", None, "a\r\nb\u2028\x00c", "&#10;", "ü" * 5000]
+    rows = [(i, t, r, x) for i, x in enumerate(nasty) for t, r in ((0, "user"), (1, "assistant"), (2, "as\nsis<tant"), (3, None))] + [(99, 1, "assistant", "same"), (99, 1, "assistant", "same")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat.read_back(chat.format_turns(df, "conv_id", ["turn"])).collect()}
+    for i, x in enumerate(nasty):
+        assert [tuple(t) for t in out[i].turns] == [(r or "", x or "") for _, r in ((0, "user"), (1, "assistant"), (2, "as\nsis<tant"), (3, None))]
+        assert out[i].loss_text == (x or "") and "</s>" not in out[i].formatted and "[INST]" not in out[i].formatted
+    assert out[99].loss_text == "samesame"
+    assert chat.read_back(chat.format_turns(none(spark, "conv_id long, turn long, role string, text string"), "conv_id", ["turn"])).count() == 0
+
+
+# --- sharding
+
+
+def test_rendezvous(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    both = sharding.assign_shards(sharding.assign_shards(df, "k", [1.0] * 16), "k", [1.0] * 17, "grown")
+    moved = both.where("shard <> grown")
+    assert moved.where("grown <> 16").count() == 0 and 20_000 / 17 * 0.85 < moved.count() < 20_000 / 17 * 1.15
+    sizes = {r.shard: r["count"] for r in sharding.assign_shards(df, "k", {0: 1.0, 1: 3.0, 2: 0.0}).groupBy("shard").count().collect()}
+    assert set(sizes) == {0, 1} and 2.7 < sizes[1] / sizes[0] < 3.3
+
+
+def test_slots_are_gapless(spark, docs):
+    df = sharding.assign_shards(docs.unionByName(docs), "doc_id", [1.0] * 4)
+    rows = sharding.number_in_groups(df, "shard", bucket_rows=3).collect()
+    assert len(rows) == 2 * docs.count()
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert sharding.number_in_groups(sharding.assign_shards(none(spark, DOCS), "doc_id", [1.0]), "shard").count() == 0
+
+
+# --- mixing
+
+
+def _mix_docs(spark):
+    german = "der die und das ist nicht ein von mit auf".split()
+    rng = np.random.default_rng(6)
+    rows = [(i, words(50 + i % 40, i), "en") for i in range(150)] + [(1000 + i, " ".join(rng.choice(german, 60)), "de") for i in range(50)] + [(2000, words(30, 1) + " " + " ".join(rng.choice(german, 30)), None), (2001, None, "en"), (2002, "", "de"), (2003, words(40, 9), "en"), (2003, words(40, 9), "en")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_mixing_meets_targets(spark):
+    df = _mix_docs(spark)
+    labelled = df.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("domain"))
+    domains, priors, model = mixing.fit_domains(df, labelled)
+    scored = mixing.posteriors(df, priors, model).cache()
+    assert scored.count() == df.count() and domains == ["de", "en"] and model.count() == mixing.BUCKETS
+    p = {r.doc_id: r for r in scored.collect()}
+    assert p[1001].p[0] > 0.9 and p[1].p[1] > 0.9 and p[2001].n_tokens == 0 and p[2000].n_tokens == 60 and p[2003].n_tokens == 40
+    for targets in ({"de": 0.5, "en": 0.5}, {"de": 0.05, "en": 0.95}, {"de": 0.0, "en": 1.0}, {"xx": 1.0}):
+        steps, goal = mixing.solve_rates(scored, domains, targets)
+        rated = scored.withColumn("r", mixing.rate_of(steps, 0.0)).collect()
+        have = [sum(r.n_tokens * r.r * r.p[k] for r in rated) for k in range(2)]
+        assert min(r.r for r in rated) >= 0 and have == pytest.approx(goal, rel=1e-3, abs=0.01 * sum(goal))
+    steps, goal = mixing.solve_rates(scored, domains, {"de": 0.5, "en": 0.5}, least_rate=1.0, keep_all=True)
+    assert min(r.r for r in scored.select(mixing.rate_of(steps, 1.0).alias("r")).collect()) >= 1.0
+    empty = mixing.posteriors(none(spark, "doc_id long, text string, lang string"), priors, model)
+    assert empty.count() == 0 and mixing.solve_rates(empty, domains, {"en": 1.0})[0] == []
+
+
+def test_mixing_stage_repeats_but_never_drops(spark, tmp_path):
+    df = _mix_docs(spark).withColumn("n_chars", F.length("text"))
+    spark.createDataFrame([(i, 1) for i in (*range(0, 150, 2), *range(1000, 1050, 2))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = mixing.stage_mixing(spark, df, str(tmp_path))
+    assert out.columns == df.columns and out.select("doc_id").distinct().count() == df.select("doc_id").distinct().count() and out.count() > df.count()

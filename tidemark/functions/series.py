@@ -46,7 +46,7 @@ def constant_length_distribution(p: Column, best_of: Column) -> Column:
     q = 1 - p
     three = p * p + q * q
     sweep = p * p * p + q * q * q
-    four = 3 * p * q * sweep
+    four = 3 * p * q * three
     return (
         F.when(best_of == 1, F.create_map(F.lit("1"), F.lit(1.0)))
         .when(best_of == 3, F.create_map(F.lit("2"), three, F.lit("3"), 1 - three))

@@ -11,7 +11,7 @@ SELECTION = "struct<outcome:string,params:string,price:double,status:string>"
 EVENT = f"struct<id:string,home:struct<name:string>,away:struct<name:string>,cutoffTime:timestamp,markets:map<string,struct<submarkets:map<string,struct<selections:array<{SELECTION}>>>>>>"
 #: Market keys that hold a winner, and submarkets that are not whole-match totals.
 WINNER_HINTS = "winner|moneyline|match_odds"
-NOT_TOTALS = "(?i)round|kill|period|map_?[0-9]|player|team_total"
+NOT_TOTALS = "(?i)round|kill|map_?[0-9]|player|team_total"
 LARGEST_LINE = 4.5
 
 
