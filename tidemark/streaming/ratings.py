@@ -52,7 +52,11 @@ class _Ratings(StatefulProcessor):
             book.play(a, b, name, won)
             out += [(key[0], match_id, t, book.rating(t)) for t in (a, b)]
         self.book.update((json.dumps({"overall": book.overall, "on_map": [[list(k), v] for k, v in book.on_map.items()], "games": [[list(k), v] for k, v in book.games.items()]}),))
-        self.waiting.put([tuple(x) for x in held if x[0] > now])
+        left = [tuple(x) for x in held if x[0] > now]
+        if left:
+            self.waiting.put(left)
+        else:  # list state holds no empty lists
+            self.waiting.clear()
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in CHANGES])
 
