@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import SPACES, materialize, table
 
 BUCKETS = 4096
 MOST_DOMAINS = 64
@@ -70,7 +70,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, sample_docs: int = 4096) -
 def posteriors(docs: DataFrame, priors: list[float], model: DataFrame, evidence: float = 64.0) -> DataFrame:
     """doc_id, print (hash of the text), n_tokens and p (posterior by domain) of every row."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("print"), F.explode_outer(_words(F.col("text"))).alias("w"))
+    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("print"), F.explode(F.split(F.btrim(F.lower("text"), F.lit(SPACES)), r"[\x20\x09-\x0D]+")).alias("w"))
+    # a trimmed text has no empty pieces but the one of a text without words
+    rows = rows.withColumn("w", F.nullif("w", F.lit("")))
     sums = [F.sum(f"l{k}").alias(f"l{k}") for k in range(len(priors))]
     # the model has BUCKETS rows whatever the input
     scored = rows.withColumn("bucket", _bucket(F.col("w"))).join(F.broadcast(model), "bucket", "left")
