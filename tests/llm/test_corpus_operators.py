@@ -372,6 +372,8 @@ def test_mixing_meets_targets(spark):
     scored = mixing.posteriors(df, priors, model).cache()
     assert scored.count() == df.count() and domains == ["de", "en"] and model.count() == mixing.BUCKETS
     p = {r.doc_id: r for r in scored.collect()}
+    for k in (2001, 2002):  # no words: the prior
+        assert p[k].p == pytest.approx(np.exp(priors) / np.exp(priors).sum())
     assert p[1001].p[0] > 0.9 and p[1].p[1] > 0.9 and p[2001].n_tokens == 0 and p[2000].n_tokens == 60 and p[2003].n_tokens == 40
     for targets in ({"de": 0.5, "en": 0.5}, {"de": 0.05, "en": 0.95}, {"de": 0.0, "en": 1.0}, {"xx": 1.0}):
         steps, goal = mixing.solve_rates(scored, domains, targets)

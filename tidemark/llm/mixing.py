@@ -75,7 +75,7 @@ def posteriors(docs: DataFrame, priors: list[float], model: DataFrame, evidence:
     rows = rows.withColumn("w", F.nullif("w", F.lit("")))
     sums = [F.sum(f"l{k}").alias(f"l{k}") for k in range(len(priors))]
     # the model has BUCKETS rows whatever the input
-    scored = rows.withColumn("bucket", _bucket(F.col("w"))).join(F.broadcast(model), "bucket", "left")
+    scored = rows.withColumn("bucket", F.when(F.col("w").isNotNull(), _bucket(F.col("w")))).join(F.broadcast(model), "bucket", "left")
     scored = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("print").alias("print"), F.count("w").alias("n_tokens"), *sums)
     share = F.least(F.lit(1.0), F.lit(evidence) / F.greatest("n_tokens", F.lit(1)))
     logs = F.array(*(F.lit(p) + share * F.coalesce(f"l{k}", F.lit(0.0)) for k, p in enumerate(priors)))
