@@ -1,6 +1,7 @@
 """The operators against plain versions, on awkward rows: nulls, empty and long texts, ties, repeats, no rows,
 extra columns with clashing names."""
 
+import itertools
 import json
 import sys
 import zlib
@@ -306,6 +307,30 @@ def test_estimation_recovers_planted_accuracies():
     assert rules.posterior((1, 1, 1), prior, right) > 0.5 and rules.estimate({}) == (0.5, [])
 
 
+def _expected(good, wrong, catch):
+    """Counts of vote patterns of 1M texts: rule k is wrong on a share wrong[k] of good texts and catches catch[k] of the bad."""
+    patterns = {}
+    for v in itertools.product((1, -1), repeat=len(wrong)):
+        on_good = np.prod([w if x < 0 else 1 - w for x, w in zip(v, wrong)])
+        on_bad = np.prod([c if x < 0 else 1 - c for x, c in zip(v, catch)])
+        patterns[v] = 1_000_000 * (good * on_good + (1 - good) * on_bad)
+    return patterns
+
+
+@pytest.mark.parametrize("good", [0.7, 0.85, 0.98])
+@pytest.mark.parametrize("catch", [0.2, 0.4])
+def test_texts_that_only_a_noisy_rule_rejects_are_kept(good, catch):
+    prior, right = rules.estimate(_expected(good, [0.05] + [0.001] * 5, [catch] * 6))
+    assert abs(prior - good) < 0.02 and abs(right[0][0] - 0.95) < 0.01
+    assert rules.posterior((-1, 1, 1, 1, 1, 1), prior, right) > 0.5 > rules.posterior((1, -1, -1, 1, 1, 1), prior, right)
+
+
+def test_a_rule_alone_with_its_fault_is_trusted():
+    patterns = {(1, 1, 1, 1): 9000, (-1, 1, 1, 1): 500, (1, -1, -1, 1): 250, (1, -1, -1, -1): 150, (1, -1, 1, -1): 100}
+    prior, right = rules.estimate(patterns)
+    assert rules.posterior((-1, 1, 1, 1), prior, right) < 0.5 and rules.posterior((1, 1, 1, 1), prior, right) > 0.5
+
+
 # --- chat
 
 

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: A good text gets a given rule's bad vote once in 500 at most; the thresholds below are set for that.
+#: A good text gets a given rule's bad vote once in 500 at most; the thresholds below are set for that. Holds for
+#: rules that the others cannot judge.
 TRUSTED = 0.998
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -89,20 +90,12 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = 100) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good texts, and of every rule how often its vote on a good and on a bad text is right.
-
-    Two accuracies a rule tell a rule that nearly always votes good, which says little, from one whose good
-    votes are earned. Bad votes on good texts are held to 1 - TRUSTED, as the thresholds are meant, which fixes
-    the sign of the solution and keeps rules that catch different faults from outvoting each other.
-    """
-    if not patterns:
-        return 0.5, []
-    width = len(next(iter(patterns)))
+def _fit(patterns: Mapping[tuple[int, ...], int], floors: list[float], rounds: int) -> tuple[float, list[tuple[float, float]]]:
+    width = len(floors)
     prior, right = 0.8, [(TRUSTED, 0.4)] * width
     for _ in range(rounds):
         good, total = 1.0, 2.0
-        of_good, of_bad = [[TRUSTED, 1.0] for _ in range(width)], [[0.4, 1.0] for _ in range(width)]
+        of_good, of_bad = [[2 * TRUSTED, 2.0] for _ in range(width)], [[0.8, 2.0] for _ in range(width)]
         for v, n in patterns.items():
             p = posterior(v, prior, right)
             good, total = good + n * p, total + n
@@ -114,12 +107,46 @@ def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = 100) -> tupl
                     of_bad[j][1] += n * (1 - p)
         prior = min(0.99, max(0.01, good / total))
         right = []
-        for (a, b), (c, d) in zip(of_good, of_bad):
-            hit = min(0.9999, max(TRUSTED, a / b))
+        for floor, (a, b), (c, d) in zip(floors, of_good, of_bad):
+            hit = min(0.9999, max(floor, a / b))
             right.append((hit, min(0.999, max(1 - hit, c / d))))
     return prior, right
 
 
+def shares_faults(patterns: Mapping[tuple[int, ...], int], prior: float, right: list[tuple[float, float]]) -> list[bool]:
+    """Of every rule, whether its bad votes are more than twice as frequent on texts that the other rules alone
+    find bad as on those they find good."""
+    told = []
+    for j in range(len(right)):
+        on_good, on_bad = [2 * (1 - TRUSTED), 2.0], [0.8, 2.0]
+        for v, n in patterns.items():
+            if v[j]:
+                p = posterior((*v[:j], 0, *v[j + 1 :]), prior, right)
+                for at, share in ((on_good, p), (on_bad, 1 - p)):
+                    at[0] += n * share * (v[j] < 0)
+                    at[1] += n * share
+        told.append(on_bad[0] / on_bad[1] > 2 * on_good[0] / on_good[1])
+    return told
+
+
+def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
+    """Share of good texts, and of every rule how often its vote on a good and on a bad text is right.
+
+    Two accuracies a rule tell a rule that nearly always votes good, which says little, from one whose good
+    votes are earned. Starting values and pseudo-counts of two votes fix the sign of the solution.
+
+    The others can judge a rule only where it shares faults with them. A first fit leaves every accuracy free. A
+    rule that does not share faults in it may be noisy or may be the only one to see its fault: the counts of
+    votes are the same for both. Such a rule is held to TRUSTED, as its threshold is meant, in the second fit;
+    all others keep what the counts say.
+    """
+    if not patterns:
+        return 0.5, []
+    free = [0.5] * len(next(iter(patterns)))
+    shared = shares_faults(patterns, *_fit(patterns, free, rounds))
+    return _fit(patterns, [0.5 if x else TRUSTED for x in shared], rounds)
+
+
 def weights(right: tuple[float, float]) -> tuple[float, float]:
     """What a good and what a bad vote add to the log-odds of a good text."""
     hit, miss = right
