@@ -359,6 +359,25 @@ def test_control_strings_survive(spark):
     assert chat.read_back(chat.format_turns(none(spark, "conv_id long, turn long, role string, text string"), "conv_id", ["turn"])).count() == 0
 
 
+def test_structs_map_like_their_json(spark):
+    kinds = {"messages": "messages array<struct<role:string,content:string>>", "prompt": "prompt string, completion string", "instruction_input": "output string, instruction string, input string", "turn": "role string, text string", None: "other int"}
+    rows = {"messages": ([("user", "hi"), ("assistant", None)],), "prompt": ("p", None), "instruction_input": ("done", "do", "this"), "turn": (None, "x"), None: (1,)}
+    for name, kind in kinds.items():
+        df = spark.createDataFrame([(1, rows[name]), (2, None)], f"id int, record struct<{kind}>")
+        got = {r.id: r for r in chat.canonical_turns(df, "record").collect()}
+        want = chat.canonical_turns(df.where("id = 1").select("id", F.to_json("record", {"ignoreNullFields": "false"}).alias("record")), "record").first()
+        assert (got[1].layout, got[1].turns) == (name, want.turns) and want.layout == name and got[2].layout is None and got[2].turns is None
+        assert [(r.role, r.text) for r in chat.turn_rows(chat.canonical_turns(df, "record"), "id").where("id = 2").collect()] == [("", "")]
+
+
+def test_very_long_turns_stay(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    long = F.when(F.col("turn") == 1, F.repeat(F.lit("x"), F.lit(20_000_001))).otherwise(F.col("text"))
+    rows.withColumn("text", long).write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {r.conv_id: r for r in chat.op9_chat(spark, str(tmp_path)).collect()}
+    assert (out[1].n_turns, out[1].loss_chars, out[2].n_turns) == (2, 20_000_001, 1)
+
+
 # --- sharding
 
 
