@@ -280,6 +280,16 @@ def test_masking_overlaps_and_positions(spark, docs):
     assert out[0] is None and out[8] == LONG and out[9] == ODD[9]
 
 
+def test_passages_of_long_texts_are_not_stretched():
+    text = words(260_000, 4).encode()[:1_000_000].decode()
+    text = text[:512_000] + "#" * 2048 + text[514_048:]
+    x, counts = quality.encode([text, text[:512]])
+    assert counts.tolist() == [1954, 1] and x[1000:1004, ord("#")].min() == 1.0
+    assert x[0, :134] == pytest.approx(x[-1, :134])
+    few = quality.sampled(x[:-1], 5)
+    assert len(few) == 64 and (few == quality.sampled(x[:-1], 5)).all() and len(quality.sampled(x[:64], 5)) == 64
+
+
 # --- quality rules
 
 

@@ -5,9 +5,10 @@ shares of byte classes, how its words repeat, and how the document's repeat. A s
 encoding to a hidden vector, gated attention weighs the passages of a document, and a logistic layer scores
 the weighted sum. All weights, those of the attention included, are learned from document labels.
 
-Fitting uses at most ``sample_docs`` labelled documents, chosen by hash of their id; with at most 64
-passages a document this bounds what reaches the driver. Scoring reads every document once and shuffles
-nothing.
+Passages have 512 bytes, whatever the length of the text, in fitting and in scoring. Fitting uses at most
+``sample_docs`` labelled documents, chosen by hash of their id, and of each at most 64 passages, drawn at random
+with the id as seed; this bounds what reaches the driver. Scoring reads all passages of every document once and
+shuffles nothing; its memory grows with the longest document.
 
 Defined results: null and empty texts are one empty passage and get a score; without usable labels every
 score is 0.5, and with labels of one class only it is that class's smoothed share; of repeated ids in the
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, unused
 
+#: The second bounds what fitting collects of a document, not what is scored.
 PASSAGE_BYTES, MOST_PASSAGES = 512, 64
 #: Bytes below 128 are classes of their own; all others are one.
 CLASSES = np.minimum(np.arange(256), 128).astype(np.int64)
@@ -49,14 +51,13 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Encodings of all passages, and the number of passages of each text."""
     raw = [t.encode("utf-8", "replace") for t in texts]
     sizes = np.array([len(x) for x in raw], dtype=np.int64)
-    step = np.maximum(PASSAGE_BYTES, -(-sizes // MOST_PASSAGES))
-    counts = np.maximum(1, -(-sizes // step))
+    counts = np.maximum(1, -(-sizes // PASSAGE_BYTES))
     first = np.concatenate([[0], np.cumsum(counts)])
     total = int(first[-1])
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     doc = np.repeat(np.arange(len(raw)), sizes)
     begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    passage = first[doc] + (np.arange(len(data)) - begin[doc]) // step[doc]
+    passage = first[doc] + (np.arange(len(data)) - begin[doc]) // PASSAGE_BYTES
     length = np.bincount(passage, minlength=total).astype(np.float64)
     shares = np.bincount(passage * 129 + CLASSES[data], minlength=total * 129).reshape(total, 129) / np.maximum(length, 1)[:, None]
 
@@ -171,6 +172,13 @@ def _slices(texts: pd.Series, most_bytes: int = 1_000_000) -> Iterator[list[str]
         yield run
 
 
+def sampled(passages: np.ndarray, seed: int) -> np.ndarray:
+    """At most MOST_PASSAGES of a document's passages, in their order."""
+    if len(passages) <= MOST_PASSAGES:
+        return passages
+    return passages[np.sort(np.random.default_rng(seed & (2**63 - 1)).choice(len(passages), MOST_PASSAGES, replace=False))]
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = 4096) -> Model:
     """Fit on a sample of ``labels`` (doc_id and ``label``) that holds at most ``sample_docs`` documents."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -182,8 +190,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
             done = 0
             for run in _slices(batch["text"]):
                 x, counts = encode(run)
-                parts = np.split(x, np.cumsum(counts)[:-1])
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[done : done + len(run)].to_numpy(), "y": batch["y"].iloc[done : done + len(run)].to_numpy(), "x": [p.tobytes() for p in parts]})
+                ids = batch["doc_id"].iloc[done : done + len(run)].to_numpy()
+                parts = [sampled(p, int(i)) for p, i in zip(np.split(x, np.cumsum(counts)[:-1]), ids)]
+                yield pd.DataFrame({"doc_id": ids, "y": batch["y"].iloc[done : done + len(run)].to_numpy(), "x": [p.tobytes() for p in parts]})
                 done += len(run)
 
     rows = sorted(bags.mapInPandas(encoded, "doc_id long, y int, x binary").collect(), key=lambda r: r["doc_id"])
