@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import series
@@ -28,7 +28,11 @@ def mirrored(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("match_id", "start_ts", "event", "team", (F.col("own") > F.col("other")).cast("int").alias("won"), (F.col("own") - F.col("other")).alias("spread"), (F.col("own") + F.col("other")).alias("rounds"), F.when(F.col("match_id") % 7 != 0, F.col("own")).alias("metric"))
 
 
-NOW = F.lit("2024-01-31").cast("timestamp_ntz")
+def moment(day: str) -> Column:
+    return F.lit(day).cast("timestamp_ntz")
+
+
+NOW = "2024-01-31"
 
 
 def _shown(t: DataFrame) -> DataFrame:
@@ -55,11 +59,11 @@ def trends_all(spark, sf):
 
 
 def trends_current(spark, sf):
-    return trends.ranked(_shown(trends.trends(mirrored(spark, sf), now=NOW, **trends.CURRENT_FORM)))
+    return trends.ranked(_shown(trends.trends(mirrored(spark, sf), now=moment(NOW), **trends.CURRENT_FORM)))
 
 
 def trends_scoped(spark, sf):
-    return _shown(trends.trends(mirrored(spark, sf), min_maps=5, event="click", date_from=F.lit("2024-01-05").cast("timestamp_ntz"), date_to=F.lit("2024-01-20").cast("timestamp_ntz")))
+    return _shown(trends.trends(mirrored(spark, sf), min_maps=5, event="click", date_from=moment("2024-01-05"), date_to=moment("2024-01-20")))
 
 
 def long_frame(spark, sf):
@@ -78,16 +82,16 @@ def match_table(spark, sf):
 
 
 def pool_table(spark, sf):
-    out = pool.pool_table(long_rows(spark, sf), NOW)
+    out = pool.pool_table(long_rows(spark, sf), moment(NOW))
     return out.select("map_name", "plays", rounded(F.col("weighted")).alias("weighted"), "last_played")
 
 
 def pool_top(spark, sf):
-    return pool.current_pool(long_rows(spark, sf), NOW, size=3).select("map_name", "plays")
+    return pool.current_pool(long_rows(spark, sf), moment(NOW), size=3).select("map_name", "plays")
 
 
 def pool_fallback(spark, sf):
-    late = F.lit("2025-01-31").cast("timestamp_ntz")
+    late = moment("2025-01-31")
     return pool.pool_table(long_rows(spark, sf), late, half_life=None).select("map_name", "plays", rounded(F.col("weighted")).alias("weighted"))
 
 
@@ -184,7 +188,7 @@ def elo_trajectory(spark, sf):
 
 
 def elo_at_cutoff(spark, sf):
-    return ratings.ratings_at(ratings.rating_log(_games(spark, sf)), F.lit("2024-01-20").cast("timestamp_ntz")).select("team", rounded(F.col("rating"), 3).alias("rating"))
+    return ratings.ratings_at(ratings.rating_log(_games(spark, sf)), moment("2024-01-20")).select("team", rounded(F.col("rating"), 3).alias("rating"))
 
 
 def lineups(spark, sf):
