@@ -52,6 +52,13 @@ def test_urls(spark):
     assert url_filter.judge_urls(df, []).where("verdict = 'allow'").count() == len(rows)
 
 
+def test_both_ways_of_fetching_rules_agree_on_line_ends(spark):
+    rules_ = [url_filter.Rule("com", "/a*b/rare/", "block"), url_filter.Rule("org", "", "block")]
+    df = spark.createDataFrame([("http://x.com/a\nq\u2028b/rare/1",), ("http://x.org",), ("http://x.org\n",), ("http://x.org\u0085/a",), ("http://org/a",), ("http://xorg",)], "url string")
+    found = [[(r.url, r.rule) for r in url_filter.judge_urls(df, rules_, max_shipped=most).orderBy("url").collect()] for most in (100, 0)]
+    assert found[0] == found[1] and dict(found[0]) == {"http://x.com/a\nq\u2028b/rare/1": "com/a*b/rare/", "http://x.org": "org", "http://x.org\n": None, "http://x.org\u0085/a": None, "http://org/a": "org", "http://xorg": None}
+
+
 def test_rarest_token_and_wildcards(spark):
     rules_ = [url_filter.Rule("com", "/*/rare-page", "block"), url_filter.Rule("com", "/a*b", "allow")]
     assert rules_[0].tokens() == {"com", "rare"} and rules_[1].tokens() == {"com"}
@@ -228,6 +235,21 @@ def test_packing_round_trip(spark, docs):
     assert packing.pack(none(spark, DOCS)).count() == 0
 
 
+def test_ids_beside_nulls_and_of_odd_texts(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    rows = packing.pack(spark.createDataFrame([(2**53 + 1, "a b"), (None, "c"), (7, None)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == {7, 2**53 + 1, None}
+    ours, named = packing.ByteBPE(packing.default_vocabulary()), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(8)
+    odd = ["".join(chr(c) for c in rng.choice([32, 10, 9, 13, 39, 48, 65, 97, 0xE9, 0x200B, 0x3000, 0x4E2D, 0x1F600, 0x301], 60)) for _ in range(200)]
+    real = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] if Path("/root/testdata/sf0.001").is_dir() else []
+    for t in odd + real + ["<|endoftext|> x<|endoftext|>", "can't I'VE  we'll\n\n "]:
+        assert ours.encode(t) == named.encode(t, add_special_tokens=False).ids
+
+
 def test_balance_evens_costs():
     lengths = np.array([1000, 500, 500, 24, 24, 1, 1, 1022])
     placed = packing.balance(lengths, 1024, 1.0, 1 / 1024)
@@ -352,11 +374,32 @@ def test_layouts_and_round_trip(spark):
     }
     rows = [(k, json.dumps(v)) for k, v in records.items()] + [(9, "not json"), (10, None), (11, '{"completion": "c", "prompt": 5}')]
     got = {r.id: r for r in chat.canonical_turns(spark.createDataFrame(rows, "id int, record string"), "record").collect()}
-    assert {k: got[k].layout for k in range(1, 12)} == {1: "messages", 2: "prompt", 3: "instruction", 4: "instruction_input", 5: "conversations", 6: None, 7: "turn", 8: "chosen", 9: None, 10: None, 11: "prompt"} | {3: "instruction_input"}
+    assert {k: got[k].layout for k in range(1, 12)} == {1: "messages", 2: "prompt", 3: "instruction_input", 4: "instruction_input", 5: "conversations", 6: None, 7: "turn", 8: "chosen", 9: None, 10: None, 11: "prompt"}
     assert [tuple(t) for t in got[1].turns] == [("user", "hi <b>"), ("assistant", "")]
     assert [tuple(t) for t in got[3].turns] == [("user", "do"), ("assistant", "done")] and got[4].turns[0].text == "do\n\nthis" and got[11].turns[0].text == "5"
 
 
+def test_fields_that_no_layout_names_do_not_matter(spark):
+    said = [{"role": "user", "content": "q", "weight": 1}, {"role": "assistant", "content": "a", "name": "x"}]
+    records = {
+        1: ({"messages": []}, "messages", []), 2: ({"messages": said, "id": "z", "meta": {"a": [1]}}, "messages", [("user", "q"), ("assistant", "a")]),
+        3: ({"prompt": "p", "completion": "c", "meta": {"role": "x"}}, "prompt", [("user", "p"), ("assistant", "c")]),
+        4: ({"conversations": [{"from": "human", "value": "x"}], "system": "be kind"}, "conversations", [("system", "be kind"), ("human", "x")]),
+        5: ({"messages": "no list", "prompt": "p", "completion": "c"}, "prompt", [("user", "p"), ("assistant", "c")]),
+        6: ({"messages": [{"role": "user"}, {"content": "c"}]}, "messages", [("user", ""), ("", "c")]),
+        7: ({"meta": {"prompt": "p", "completion": "c"}}, None, None), 8: ({"prompt": {"deep": 1}, "completion": "c"}, "prompt", [("user", ""), ("assistant", "c")]),
+    }
+    rows = [(k, json.dumps(v[0]), "clash") for k, v in records.items()]
+    got = {r.id: r for r in chat.canonical_turns(spark.createDataFrame(rows, "id int, record string, layout string"), "record").collect()}
+    for k, (_, layout, turns) in records.items():
+        assert got[k].layout == layout, k
+        if k != 8:
+            assert (None if got[k].turns is None else [tuple(t) for t in got[k].turns]) == turns, k
+    typed = spark.createDataFrame([(1, ("s", "p", "c", 5))], "id int, record struct<system:string,prompt:string,completion:string,score:int>")
+    row = chat.canonical_turns(typed, "record").first()
+    assert row.layout == "prompt" and [tuple(t) for t in row.turns] == [("system", "s"), ("user", "p"), ("assistant", "c")]
+
+
 def test_control_strings_survive(spark):
     nasty = ["<|end|>\n", "<|turn|>assistant\n", "&lt;", "&amp;lt;", "</s>[INST] ok [/INST]", "", None, "a\r\nb\u2028\x00c", "&#10;", "ü" * 5000]
     rows = [(i, t, r, x) for i, x in enumerate(nasty) for t, r in ((0, "user"), (1, "assistant"), (2, "as\nsis<tant"), (3, None))] + [(99, 1, "assistant", "same"), (99, 1, "assistant", "same")]

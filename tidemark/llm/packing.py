@@ -11,8 +11,13 @@ Each input partition packs its own stream of documents in blocks of ``block_docs
 bounded by a block, nothing is shuffled, and a lost task repeats from its own input alone. Sequence
 numbers are unique: partition number times 2**32 plus a counter.
 
-Defined results: null text is an empty document (one end id); repeated rows are packed as often as they
-occur; an empty table gives no rows; other columns are ignored.
+Ids are those of the public tokenizers file ``byte_bpe_50k.json`` with add_special_tokens=False. They are made
+by another public library from the same vocabulary in a sixth of the time (142 against 877 CPU seconds a GB of
+text here); tests hold the two against each other.
+
+Defined results: null text is an empty document (one end id); a null doc_id stays null; repeated rows are packed
+as often as they occur; an empty table gives no rows; other columns are ignored. A task holds one Arrow batch of
+texts, one block of rests and the ids of one document.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +97,7 @@ def pack(docs: DataFrame, max_tokens: int = 1024, vocabulary: str | None = None,
     """One row per piece, as in ``PIECES``."""
     vocabulary = vocabulary or default_vocabulary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(vocabulary)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
@@ -113,7 +118,7 @@ def pack(docs: DataFrame, max_tokens: int = 1024, vocabulary: str | None = None,
             waiting.clear()
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text in zip(*(column.to_pylist() for column in batch.columns)):
                 ids = np.array([*bpe.encode(text or ""), END_ID], dtype="<u4")
                 full = len(ids) // max_tokens * max_tokens
                 for start in range(0, full, max_tokens):
@@ -129,12 +134,17 @@ def pack(docs: DataFrame, max_tokens: int = 1024, vocabulary: str | None = None,
         flush()
         yield _frame(done)
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
     names = [c.split()[0] for c in PIECES.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names})
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(map(_int, c), pa.int64()) for c in columns], names)
+
+
+def _int(x) -> int | None:
+    return None if x is None else int(x)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +152,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packed pieces of all documents, repeated ones included."""
+    """Pipeline stage: the packed pieces of all documents, repeated rows as often as they occur; null text is an
+    empty document, and columns other than doc_id and text are not carried."""
     return pack(docs)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import materialize, table, unused
 
 #: Rows that one numbering bucket holds on average.
 BUCKET_ROWS = 50_000
@@ -43,17 +43,18 @@ def rendezvous(key: Column, weights: Mapping[int, float] | Sequence[float]) -> C
 
 def number_in_groups(df: DataFrame, group: str, slot: str = "slot", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add gapless numbers from 0 in each ``group`` without gathering a group in one task."""
-    salted = df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    salt, bucket, held, inner, g, b, offset = (unused([*df.columns, slot], x) for x in ("salt", "bucket", "held", "inner", "of_group", "of_bucket", "offset"))
+    salted = df.withColumn(salt, F.xxhash64(F.monotonically_increasing_id()))
     rows = materialize(salted, "numbering")  # the salt must not change between the two uses below
     buckets = max(1, -(-rows.count() // bucket_rows))
-    rows = rows.withColumn("_bucket", F.pmod("_salt", F.lit(buckets)))
+    rows = rows.withColumn(bucket, F.pmod(salt, F.lit(buckets)))
     # groups x buckets rows: one for every bucket_rows rows of input in each group
-    sizes = rows.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(W.partitionBy(group, "_bucket").orderBy("_salt")) - 1
-    numbered = rows.withColumn("_in", inside).join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b")))
-    return numbered.withColumn(slot, (F.col("_offset") + F.col("_in")).cast("long")).drop("_salt", "_bucket", "_in", "_g", "_b", "_offset")
+    sizes = rows.groupBy(group, bucket).agg(F.count("*").alias(held))
+    before = F.sum(held).over(W.partitionBy(group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select(F.col(group).alias(g), F.col(bucket).alias(b), F.coalesce(before, F.lit(0)).alias(offset))
+    inside = F.row_number().over(W.partitionBy(group, bucket).orderBy(salt)) - 1
+    numbered = rows.withColumn(inner, inside).join(offsets, F.col(group).eqNullSafe(F.col(g)) & (F.col(bucket) == F.col(b)))
+    return numbered.withColumn(slot, (F.col(offset) + F.col(inner)).cast("long")).drop(salt, bucket, inner, g, b, offset)
 
 
 def assign_shards(df: DataFrame, key: str, weights: Mapping[int, float] | Sequence[float], shard: str = "shard") -> DataFrame:
