@@ -170,10 +170,10 @@ def test_neighbours(spark):
     x = rng.standard_normal((700, 16)).astype(np.float32)
     x[50:90] = x[50]
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    bad = [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [1.0] * 15 + [float("nan")], 1), (2003, [1.0] * 15 + [None], 1), (2004, [1.0], 1), (2100, [float("inf")] * 16, 1), (60, x[50].tolist(), 3)]
+    bad = [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [1.0] * 15 + [float("nan")], 1), (2003, [1.0] * 15 + [None], 1), (2004, [1.0], 1), (2020, [2.0], 1), (2100, [float("inf")] * 16, 1), (60, x[50].tolist(), 3)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, score int")
     got = {}
-    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, min_rerank=200, rerank_share=0.3).collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, depth=4).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     hits = 0
     y = x.astype(float)
@@ -186,13 +186,44 @@ def test_neighbours(spark):
         hits += len({i for i, _ in found} & set(want))
         if q in (60, 80):
             assert [i for i, _ in found] == [i for i in range(50, 90) if i != q][:10]
-    assert set(got) == set(range(0, 700, 20)) and hits / 350 >= 0.9
+    assert set(got) - {2020} == set(range(0, 700, 20)) and hits / 350 >= 0.9
+    assert got[2020] == {1: (2004, 1.0)}  # vectors of another length are neighbours of each other
     few = df.where("vec_id IN (0, 1, 2)")
     assert neighbours.nearest(few, F.col("vec_id") == 0).count() == 2
-    assert neighbours.nearest(df.where("vec_id >= 2000"), F.lit(True)).count() == 0
+    assert neighbours.nearest(df.where("vec_id >= 2000"), F.lit(True)).count() == 2
     assert neighbours.nearest(none(spark, "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_footrule_equals_its_definition():
+    rng = np.random.default_rng(3)
+    x, pivots = rng.standard_normal((40, 6)), rng.standard_normal((12, 6))
+    full = neighbours.permutations(x, pivots, 12)
+    files = dict(enumerate(neighbours.invert(full[:, :8], 12)))
+    assert sum(len(row) for row, _ in files.values()) == 40 * 8
+    place = np.minimum(np.argsort(full, 1), 8)
+    want = [sum(abs(int(place[v, p]) - b) for b, p in enumerate(full[0, :5])) for v in range(40)]
+    assert neighbours.footrules(files, full[0, :5], 40, 8).tolist() == want
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_of_the_query_at_its_own_parameters(spark, size):
+    """At least 0.9 of the ten nearest, while at sf0.1 fewer than one in twenty vectors are measured."""
+    at = Path("/root/testdata") / size
+    if not at.is_dir():
+        pytest.skip("tables are not here")
+    rows = spark.read.parquet(f"{at}/embeddings.parquet").where(neighbours.usable(F.col("embedding"))).select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    found = {}
+    for r in neighbours.op4_neighbours(spark, str(at)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        want = [int(ids[j]) for j in np.lexsort((ids, d)) if j != i][:10]
+        hits.append(len(found[int(ids[i])] & set(want)) / 10)
+    assert np.mean(hits) >= 0.9 and (len(rows) < 2000 or 2.2 * np.sqrt(len(rows)) < 0.05 * len(rows))
+
+
 def test_blocks_find_the_same(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(i, rng.standard_normal(8).tolist()) for i in range(300)], "vec_id long, embedding array<float>")
@@ -465,22 +496,49 @@ def _mix_docs(spark):
 def test_mixing_meets_targets(spark):
     df = _mix_docs(spark)
     labelled = df.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("domain"))
-    domains, priors, model = mixing.fit_domains(df, labelled)
-    scored = mixing.posteriors(df, priors, model).cache()
-    assert scored.count() == df.count() and domains == ["de", "en"] and model.count() == mixing.BUCKETS
+    model = mixing.fit_domains(df, labelled)
+    scored = mixing.posteriors(df, model).cache()
+    assert scored.count() == df.count() and model.domains == ["de", "en"] and [len(x) for x in model.likely] == [mixing.BUCKETS] * 2
     p = {r.doc_id: r for r in scored.collect()}
     for k in (2001, 2002):  # no words: the prior
-        assert p[k].p == pytest.approx(np.exp(priors) / np.exp(priors).sum())
+        assert p[k].p == pytest.approx(np.exp(model.priors) / np.exp(model.priors).sum())
     assert p[1001].p[0] > 0.9 and p[1].p[1] > 0.9 and p[2001].n_tokens == 0 and p[2000].n_tokens == 60 and p[2003].n_tokens == 40
     for targets in ({"de": 0.5, "en": 0.5}, {"de": 0.05, "en": 0.95}, {"de": 0.0, "en": 1.0}, {"xx": 1.0}):
-        steps, goal = mixing.solve_rates(scored, domains, targets)
-        rated = scored.withColumn("r", mixing.rate_of(steps, 0.0)).collect()
+        found = mixing.solve_rates(scored, model.domains, targets)
+        rated = scored.withColumn("r", mixing.rate_of(found.steps, 0.0)).collect()
         have = [sum(r.n_tokens * r.r * r.p[k] for r in rated) for k in range(2)]
-        assert min(r.r for r in rated) >= 0 and have == pytest.approx(goal, rel=1e-3, abs=0.01 * sum(goal))
-    steps, goal = mixing.solve_rates(scored, domains, {"de": 0.5, "en": 0.5}, least_rate=1.0, keep_all=True)
+        assert min(r.r for r in rated) >= 0 and have == pytest.approx(found.goal, rel=1e-3, abs=0.01 * sum(found.goal))
+        assert have == pytest.approx(found.reached) and found.residual < 0.01
+    steps = mixing.solve_rates(scored, model.domains, {"de": 0.5, "en": 0.5}, least_rate=1.0, keep_all=True).steps
     assert min(r.r for r in scored.select(mixing.rate_of(steps, 1.0).alias("r")).collect()) >= 1.0
-    empty = mixing.posteriors(none(spark, "doc_id long, text string, lang string"), priors, model)
-    assert empty.count() == 0 and mixing.solve_rates(empty, domains, {"en": 1.0})[0] == []
+    empty = mixing.posteriors(none(spark, "doc_id long, text string, lang string"), model)
+    assert empty.count() == 0 and mixing.solve_rates(empty, model.domains, {"en": 1.0}).steps == []
+
+
+def test_mixing_equals_a_plain_version(spark, docs):
+    """Posteriors and projected gradient of the query against plain loops, on awkward texts too."""
+    df = _mix_docs(spark).unionByName(docs.select("doc_id", "text", "lang"))
+    model = mixing.fit_domains(df, df.where("doc_id < 100 OR doc_id >= 1000").select("doc_id", F.col("lang").alias("domain")))
+    buckets = {r.w: r.b for r in df.select(F.explode(F.split(F.lower("text"), "[ \\t\\n\x0b\\f\\r]+")).alias("w")).distinct().select("w", F.expr(f"pmod(hash(w), {mixing.BUCKETS})").alias("b")).collect()}
+    rows = []
+    for r in df.collect():
+        w = brute.WORD.findall((r.text or "").lower())
+        logs = [p + min(1, 64 / max(len(w), 1)) * sum(table[buckets[x]] for x in w) for p, table in zip(model.priors, model.likely)]
+        e = np.exp(np.array(logs) - max(logs))
+        rows.append((r.doc_id, len(w), e / e.sum()))
+    scored = mixing.posteriors(df, model).cache()
+    got = sorted(((r.doc_id, r.n_tokens, r.p) for r in scored.collect()), key=str)
+    for (i, n, p), (j, m, q) in zip(got, sorted(((i, n, p.tolist()) for i, n, p in rows), key=str)):
+        assert (i, n) == (j, m) and p == pytest.approx(q, rel=1e-6, abs=1e-9)
+    n, p = np.array([x[1] for x in rows], float), np.stack([x[2] for x in rows])
+    have, gram = (n[:, None] * p).sum(0), (p * n[:, None]).T @ p
+    goal, rate = np.array([0.3, 0.7]) * have.sum(), np.ones(len(rows))
+    found = mixing.solve_rates(scored, model.domains, {"de": 0.3, "en": 0.7})
+    for _ in found.steps:
+        error = (n[:, None] * p * rate[:, None]).sum(0) - goal
+        rate = np.where(n > 0, np.maximum(0, rate - p @ (np.linalg.pinv(gram) @ error)), 1)
+    mine = sorted((str(x[0]), round(float(y), 6)) for x, y in zip(rows, rate))
+    assert sorted((str(r.doc_id), round(r.r, 6)) for r in scored.withColumn("r", mixing.rate_of(found.steps, 0.0)).collect()) == [(a, pytest.approx(b, abs=2e-6)) for a, b in mine]
 
 
 def test_mixing_stage_repeats_but_never_drops(spark, tmp_path):

@@ -20,73 +20,95 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, materialize, table
+from tidemark.llm.common import materialize, table, unused
 
 BUCKETS = 4096
-MOST_DOMAINS = 64
 #: Target shares of query op3 and of the pipeline.
 PRODUCTION_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
 
+class Classifier(NamedTuple):
+    """Domains, their log priors and, of each domain, the log likelihoods of the BUCKETS hashed words."""
+
+    domains: list[str]
+    priors: list[float]
+    likely: list[list[float]]
+
+
+class Solution(NamedTuple):
+    """The steps that lead to the rates, the domain token totals aimed at and those reached."""
+
+    steps: list[list[float]]
+    goal: list[float]
+    reached: list[float]
+
+    @property
+    def residual(self) -> float:
+        """What is missed, as a share of all tokens; rates that may not fall below a bound can leave some."""
+        total = sum(self.goal)
+        return sum(abs(a - b) for a, b in zip(self.goal, self.reached)) / total if total else 0.0
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words of the lower-cased text. Only the first and the last piece of a split can be empty."""
+    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+")
+    ends = lambda w: (F.when(F.get(w, F.lit(0)) == "", 1).otherwise(0), F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0))
+    return let(pieces, lambda w: F.slice(w, ends(w)[0] + 1, F.size(w) - ends(w)[0] - ends(w)[1]))
 
 
 def _bucket(word: Column) -> Column:
     return F.pmod(F.hash(word), F.lit(BUCKETS))
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, sample_docs: int = 4096) -> tuple[list[str], list[float], DataFrame]:
-    """Domains, their log priors and a table (bucket, l: log likelihood by domain) of exactly BUCKETS rows.
+def fit_domains(docs: DataFrame, labelled: DataFrame, sample_docs: int = 4096) -> Classifier:
+    """Naive Bayes on hashed words.
 
-    ``labelled`` has doc_id and domain; at most ``sample_docs`` of its documents, by hash of the id, are used.
+    ``labelled`` has doc_id and domain; at most ``sample_docs`` of its documents, by hash of the id, are used. The
+    model has BUCKETS numbers for each domain, whatever the input.
     """
-    spark = docs.sparkSession
     known = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     counted = texts.select("domain", F.explode(_words(F.col("text"))).alias("w")).groupBy("domain", _bucket(F.col("w")).alias("bucket")).count()
     sizes = {r["domain"]: r["count"] for r in chosen.groupBy("domain").count().collect()}
     domains = sorted(sizes) or ["all"]
-    if len(domains) > MOST_DOMAINS:
-        raise ValueError(f"{len(domains)} domains; at most {MOST_DOMAINS} are mixed")
-    place = {d: k for k, d in enumerate(domains)}
-    counts = np.ones((BUCKETS, len(domains)))
+    counts = {d: [1] * BUCKETS for d in domains}
     for r in counted.collect():
-        counts[r["bucket"], place[r["domain"]]] += r["count"]
-    likely = np.log(counts / counts.sum(0))
+        counts[r["domain"]][r["bucket"]] += r["count"]
     total = sum(sizes.values())
     priors = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
-    model = spark.createDataFrame([(b, *map(float, row)) for b, row in enumerate(likely)], "bucket int, " + ", ".join(f"l{k} double" for k in range(len(domains))))
-    return domains, priors, model
+    return Classifier(domains, priors, [[math.log(n / sum(counts[d])) for n in counts[d]] for d in domains])
+
 
+def posteriors(docs: DataFrame, model: Classifier, evidence: float = 64.0) -> DataFrame:
+    """doc_id, print (hash of the text), n_tokens and p (posterior by domain) of every row.
 
-def posteriors(docs: DataFrame, priors: list[float], model: DataFrame, evidence: float = 64.0) -> DataFrame:
-    """doc_id, print (hash of the text), n_tokens and p (posterior by domain) of every row."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("print"), F.explode(F.split(F.btrim(F.lower("text"), F.lit(SPACES)), r"[\x20\x09-\x0D]+")).alias("w"))
-    # a trimmed text has no empty pieces but the one of a text without words
-    rows = rows.withColumn("w", F.nullif("w", F.lit("")))
-    sums = [F.sum(f"l{k}").alias(f"l{k}") for k in range(len(priors))]
-    # the model has BUCKETS rows whatever the input
-    scored = rows.withColumn("bucket", F.when(F.col("w").isNotNull(), _bucket(F.col("w")))).join(F.broadcast(model), "bucket", "left")
-    scored = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("print").alias("print"), F.count("w").alias("n_tokens"), *sums)
-    share = F.least(F.lit(1.0), F.lit(evidence) / F.greatest("n_tokens", F.lit(1)))
-    logs = F.array(*(F.lit(p) + share * F.coalesce(f"l{k}", F.lit(0.0)) for k, p in enumerate(priors)))
-    scored = scored.select("doc_id", "print", "n_tokens", logs.alias("z"))
-    scored = scored.withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return scored.withColumn("total", total).select("doc_id", "print", "n_tokens", F.transform("e", lambda x: x / F.col("total")).alias("p"))
+    A text's words are folded inside its row: hashed to buckets once, then summed domain by domain over tables that
+    are literals of the plan, so nothing is exploded, joined or shuffled.
+    """
+    tables = [F.split(F.lit(",".join(map(repr, row))), ",").cast("array<double>") for row in model.likely]
 
+    def total(buckets: Column, likely: Column) -> Column:
+        return F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(likely, b))
 
-def _dot(p: Column, u: list[float]) -> Column:
-    return sum((F.get(p, F.lit(k)) * F.lit(float(x)) for k, x in enumerate(u)), F.lit(0.0))
+    seen = let(F.transform(_words(F.col("text")), _bucket), lambda b: F.struct(F.size(b).alias("n"), F.array(*(total(b, t) for t in tables)).alias("s")))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), seen.alias("seen"))
+    share = F.least(F.lit(1.0), F.lit(evidence) / F.greatest("seen.n", F.lit(1)))
+    logs = F.array(*(F.lit(p) + share * F.get("seen.s", F.lit(k)) for k, p in enumerate(model.priors)))
+    shares = let(logs, lambda z: let(F.transform(z, lambda x: F.exp(x - F.array_max(z))), lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda t: F.transform(e, lambda x: x / t))))
+    return rows.select("doc_id", "print", F.col("seen.n").cast("long").alias("n_tokens"), shares.alias("p"))
 
 
 def rate_of(steps: list[list[float]], least_rate: float) -> Column:
@@ -99,8 +121,8 @@ def rate_of(steps: list[list[float]], least_rate: float) -> Column:
     return F.when(F.col("n_tokens") > 0, rate).otherwise(1.0)
 
 
-def solve_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float], least_rate: float = 0.0, keep_all: bool = False, rounds: int = 40, tolerance: float = 1e-6) -> tuple[list[list[float]], list[float]]:
-    """Steps that lead to the rates, and the domain token totals aimed at.
+def solve_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, float], least_rate: float = 0.0, keep_all: bool = False, rounds: int = 40, tolerance: float = 1e-6) -> Solution:
+    """Rates by projected gradient steps; the result says how far the totals reached are from those aimed at.
 
     Totals add up to the tokens there are; with ``keep_all`` to as many as it takes that no domain must shrink.
     """
@@ -110,7 +132,7 @@ def solve_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, flo
     row = scored.agg(*(F.sum(n * F.get(p, F.lit(a))).alias(f"t{a}") for a in k), *cells).first()
     have = np.array([row[f"t{a}"] or 0.0 for a in k])
     if have.sum() == 0:
-        return [], have.tolist()
+        return Solution([], have.tolist(), have.tolist())
     gram = np.array([[row[f"g{min(a, b)}_{max(a, b)}"] for b in k] for a in k])
     inverse = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
     weight = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
@@ -126,7 +148,7 @@ def solve_rates(scored: DataFrame, domains: list[str], targets: Mapping[str, flo
         steps.append((inverse @ error).tolist())
         row = scored.select(n, p, rate_of(steps, least_rate).alias("r")).agg(*(F.sum(n * F.col("r") * F.get(p, F.lit(a))).alias(f"t{a}") for a in k)).first()
         now = np.array([row[f"t{a}"] for a in k])
-    return steps, goal.tolist()
+    return Solution(steps, goal.tolist(), now.tolist())
 
 
 def copies_of(rate: Column, key: Column) -> Column:
@@ -136,32 +158,37 @@ def copies_of(rate: Column, key: Column) -> Column:
 
 
 def labelled_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The labelled table: the language of documents whose quality label is 1."""
+    """The labelled table of the query and the stage: the language of documents whose quality label is 1.
+
+    The tables have no other domain labels. All documents carry a language, but the posterior is learned from the
+    words of the labelled ones alone and may differ from it.
+    """
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
     return docs.select("doc_id", F.col("lang").alias("domain")).join(good, "doc_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    domains, priors, model = fit_domains(docs, labelled_domains(spark, docs, sf_dir))
-    scored = materialize(posteriors(docs, priors, model), "posteriors")
-    steps, _ = solve_rates(scored, domains, PRODUCTION_TARGETS)
-    rated = scored.withColumn("rate", rate_of(steps, 0.0))
-    shares = [F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)]
+    model = fit_domains(docs, labelled_domains(spark, docs, sf_dir))
+    scored = materialize(posteriors(docs, model), "posteriors")
+    rated = scored.withColumn("rate", rate_of(solve_rates(scored, model.domains, PRODUCTION_TARGETS).steps, 0.0))
+    shares = [F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(model.domains)]
     return rated.select("doc_id", "n_tokens", *shares, "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents repeat by their copies. No document is dropped: totals are set so that no
-    language must shrink, and rates stay at 1 or above."""
+    language must shrink, and rates stay at 1 or above. Null and empty texts have rate 1; rows with a null doc_id
+    share one draw; repeated rows get equal copies each; all columns are kept as they are."""
     slim = docs.select("doc_id", "text", "lang")
-    domains, priors, model = fit_domains(slim, labelled_domains(spark, slim, sf_dir))
-    scored = materialize(posteriors(slim, priors, model), "posteriors")
-    steps, _ = solve_rates(scored, domains, PRODUCTION_TARGETS, least_rate=1.0, keep_all=True)
-    rated = scored.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), copies_of(rate_of(steps, 1.0), F.col("doc_id")).alias("_copies")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(rated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_print")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    model = fit_domains(slim, labelled_domains(spark, slim, sf_dir))
+    scored = materialize(posteriors(slim, model), "posteriors")
+    steps = solve_rates(scored, model.domains, PRODUCTION_TARGETS, least_rate=1.0, keep_all=True).steps
+    key, of_id, of_text, copies, copy = (unused(docs.columns, x) for x in ("key", "of_id", "of_text", "copies", "copy"))
+    rated = scored.select(F.col("doc_id").alias(of_id), F.col("print").alias(of_text), copies_of(rate_of(steps, 1.0), F.col("doc_id")).alias(copies)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(rated, F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_text)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 QUERIES = {"op3_mixing": op3_mixing}
