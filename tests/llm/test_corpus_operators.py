@@ -361,13 +361,13 @@ def test_estimation_recovers_planted_accuracies():
     rng = np.random.default_rng(3)
     y = rng.random(20_000) < 0.85
     catch = (0.4, 0.3, 0.35)
-    votes = np.stack([np.where(y, np.where(rng.random(20_000) < 0.001, -1, 1), np.where(rng.random(20_000) < c, -1, 1)) for c in catch], 1)
+    votes = np.stack([np.where(y, np.where(rng.random(20_000) < 0.02, -1, 1), np.where(rng.random(20_000) < c, -1, 1)) for c in catch], 1)
     patterns = {}
     for v in map(tuple, votes.tolist()):
         patterns[v] = patterns.get(v, 0) + 1
     prior, right = rules.estimate(patterns)
-    assert abs(prior - 0.85) < 0.1 and all(rules.posterior(tuple(-1 if j == k else 1 for j in range(3)), prior, right) < 0.5 for k in range(3))
-    assert rules.posterior((1, 1, 1), prior, right) > 0.5 and rules.estimate({}) == (0.5, [])
+    assert abs(prior - 0.85) < 0.1 and all(abs(hit - 0.98) < 0.02 for hit, _ in right)
+    assert rules.posterior((1, 1, 1), prior, right) > 0.5 > rules.posterior((-1, -1, 1), prior, right) and rules.estimate({}) == (0.5, [])
 
 
 def _expected(good, wrong, catch):
@@ -383,15 +383,45 @@ def _expected(good, wrong, catch):
 @pytest.mark.parametrize("good", [0.7, 0.85, 0.98])
 @pytest.mark.parametrize("catch", [0.2, 0.4])
 def test_texts_that_only_a_noisy_rule_rejects_are_kept(good, catch):
-    prior, right = rules.estimate(_expected(good, [0.05] + [0.001] * 5, [catch] * 6))
+    prior, right = rules.estimate(_expected(good, [0.05] + [0.01] * 5, [catch] * 6))
     assert abs(prior - good) < 0.02 and abs(right[0][0] - 0.95) < 0.01
     assert rules.posterior((-1, 1, 1, 1, 1, 1), prior, right) > 0.5 > rules.posterior((1, -1, -1, 1, 1, 1), prior, right)
 
 
-def test_a_rule_alone_with_its_fault_is_trusted():
-    patterns = {(1, 1, 1, 1): 9000, (-1, 1, 1, 1): 500, (1, -1, -1, 1): 250, (1, -1, -1, -1): 150, (1, -1, 1, -1): 100}
-    prior, right = rules.estimate(patterns)
-    assert rules.posterior((-1, 1, 1, 1), prior, right) < 0.5 and rules.posterior((1, 1, 1, 1), prior, right) > 0.5
+def _plain_em(votes, rounds=200):
+    """The same estimation over single texts, in arrays, written from the formulas."""
+    good, bad, there = votes == 1, votes == -1, votes != 0
+    prior, hit, miss = 0.8, np.full(votes.shape[1], 0.98), np.full(votes.shape[1], 0.4)
+    told = lambda: 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + (good * np.log(hit / (1 - miss)) + bad * np.log((1 - hit) / miss)).sum(1))))
+    for _ in range(rounds):
+        p = told()[:, None]
+        prior = np.clip((1 + p.sum()) / (2 + len(votes)), 0.01, 0.99)
+        hit = np.clip((1.96 + (p * good).sum(0)) / (2 + (p * there).sum(0)), 0.5, 0.99)
+        miss = np.minimum(0.99, np.maximum(1 - hit, (0.8 + ((1 - p) * bad).sum(0)) / (2 + ((1 - p) * there).sum(0))))
+    return told()
+
+
+def test_verdicts_equal_a_plain_estimation_and_differ_from_all_must_pass(spark, tmp_path):
+    """The query op7, with rules that share faults and texts on which one rule alone votes bad."""
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    texts = [prose(120) for _ in range(300)]
+    texts += [" ".join(w + "###" for w in prose(120).split()) for _ in range(40)]  # two rules see the symbols
+    texts += ["\n".join([prose(10)] * 12).upper() for _ in range(40)]  # several rules see the repeats
+    texts += ["\n".join(["next page"] * 9) + "\n" + "\n".join(prose(20) for _ in range(9)) for _ in range(12)]  # one rule alone is against these
+    texts += [None, "", "one two three"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in rules.op7_rules(spark, str(tmp_path)).collect()}
+    rows = {r.doc_id: r for r in rules.measurements(df).select("doc_id", *(v.alias(k) for k, v in rules.rules().items())).collect()}
+    votes = np.array([[rows[i][k] for k in rules.rules()] for i in range(len(texts))])
+    posterior = _plain_em(votes)
+    for i in range(len(texts)):
+        assert got[i].posterior == pytest.approx(posterior[i], abs=1e-6)
+        assert got[i].kept == (not got[i].base_failed and posterior[i] >= 0.5)
+    outvoted = [i for i in range(len(texts)) if got[i].kept and (votes[i] < 0).any()]
+    assert set(outvoted) == set(range(380, 392)) and not any(got[i].kept for i in range(300, 380)) and all(got[i].kept for i in range(300))
 
 
 # --- chat

@@ -1,15 +1,18 @@
 """Quality rules by weak supervision.
 
-Each rule looks at one measurement of a text and votes good, votes bad or abstains. Expectation-maximisation
-over the counts of all vote patterns estimates how often each rule is right, without labels, and the posterior
-probability that a text is good replaces a chain of must-pass filters.
-
-Everything per row is a DataFrame expression. At most 3**len(RULES) pattern counts reach the driver, where
-the estimation runs on plain numbers; they are counts over all rows.
-
-Defined results: null and empty texts have zero measurements, fail the base rules and are not kept; repeated
-rows are judged each; an empty table gives an empty result; input columns that clash with the results are
-replaced.
+Each rule looks at one measurement of a text and votes good, votes bad or abstains. Expectation-maximisation over
+the counts of all vote patterns estimates how often each rule is right, without labels, and the posterior
+probability that a text is good replaces a chain of must-pass filters. No rule is trusted beforehand: one that
+disagrees with the others loses weight, and no rule is taken to be right on more than ``MOST_SURE`` of good texts,
+so that a bad vote which no other rule shares can be outvoted. The rules are chosen so that every fault shows in
+the measurements of two or more of them.
+
+Everything per row is a DataFrame expression. At most 3**len(rules()) pattern counts reach the driver, where the
+estimation runs on plain numbers; they are counts over all rows. Texts are measured once: the measurements are
+written to the shared folder, counted, and read again for the verdict.
+
+Defined results: null and empty texts have zero measurements and only vote where that means something; repeated
+rows are judged each; an empty table gives an empty result; input columns that clash with the results are replaced.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import materialize, table, unused
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: A good text gets a given rule's bad vote once in 500 at most; the thresholds below are set for that. Holds for
-#: rules that the others cannot judge.
-TRUSTED = 0.998
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
+#: Upper bound of every accuracy: what is estimated never says that a rule can't be wrong.
+MOST_SURE = 0.99
+#: Where the estimation starts: right on so many of the good and of the bad texts.
+START = (0.98, 0.4)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,22 +58,24 @@ def repeat_words(words: Column) -> Column:
     return let(words, measured)
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_kinds", "n_upper", "n_letters")
+
+
 def measurements(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules need besides."""
+    """Add the columns MEASURES: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules need besides."""
+    words, lines = unused([*df.columns, *MEASURES], "words"), unused([*df.columns, *MEASURES], "lines")
     whole = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(whole, SPACE_RUN), lambda w: w != "")
-    lines = F.filter(F.split(whole, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    spoken = df.withColumn("_w", words).withColumn("_lines", lines)
-    return (
-        spoken.withColumn("n_words", F.size("_w").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
-        .withColumn("n_symbols", F.length(F.regexp_replace(whole, NOT_SYMBOLS, "")).cast("long"))
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", repeat_words(F.col("_w")).cast("long"))
-        .withColumn("n_upper", F.length(F.regexp_replace(whole, r"[^\p{Lu}]+", "")).cast("long"))
-        .drop("_w", "_lines")
-    )
+    split = F.filter(F.split(whole, SPACE_RUN), lambda w: w != "")
+    told = F.filter(F.split(whole, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    chars = F.length(F.array_join(words, ""))
+    left = lambda drop: F.length(F.regexp_replace(whole, drop, ""))
+    made = {
+        "n_words": F.size(words), "word_chars": chars, "n_symbols": left(NOT_SYMBOLS), "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)), "n_repeat_words": repeat_words(F.col(words)),
+        "n_kinds": F.size(F.array_distinct(words)), "n_upper": left(r"[^\p{Lu}]+"), "n_letters": left(r"[^\p{L}\p{M}\p{N}]+"),
+    }
+    spoken = df.withColumns({words: split, lines: told})
+    return spoken.withColumns({k: made[k].cast("long") for k in MEASURES}).drop(words, lines)
 
 
 def vote(value: Column, good_below: float, bad_above: float) -> Column:
@@ -79,23 +85,35 @@ def vote(value: Column, good_below: float, bad_above: float) -> Column:
 def rules() -> dict[str, Column]:
     """The labelling functions over measurements: 1 good, -1 bad, 0 no opinion."""
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    length = F.col("word_chars") / words
+    length, letters = F.col("word_chars") / words, F.col("n_letters") / chars
+    # how fast the vocabulary grows: the logarithm of different words over that of words
+    growth = F.when(F.col("n_words") >= 20, F.log(F.col("n_kinds")) / F.log(F.col("n_words")))
     return {
         "length": F.when(F.col("n_words") >= 60, 1).when(F.col("n_words") < 20, -1).otherwise(0),
         "word_length": F.when(length.between(3, 8), 1).when((length < 2) | (length > 14), -1).otherwise(0),
         "symbols": vote(F.col("n_symbols") / words, 0.02, 0.15),
+        "letters": F.when(F.col("n_words") == 0, 0).when(letters >= 0.92, 1).when(letters < 0.88, -1).otherwise(0),
         "repeats": vote(F.col("n_repeat_words") / words, 0.15, 0.4),
+        "variety": F.when(growth >= 0.8, 1).when(growth < 0.75, -1).otherwise(0),
         "dup_lines": vote(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), 0.2, 0.4),
         "capitals": vote(F.col("n_upper") / chars, 0.15, 0.4),
     }
 
 
-def _fit(patterns: Mapping[tuple[int, ...], int], floors: list[float], rounds: int) -> tuple[float, list[tuple[float, float]]]:
-    width = len(floors)
-    prior, right = 0.8, [(TRUSTED, 0.4)] * width
+def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
+    """Share of good texts, and of every rule how often its vote on a good and on a bad text is right.
+
+    Two accuracies a rule tell a rule that nearly always votes good, which says little, from one whose good votes are
+    earned. Starting values and pseudo-counts of two votes fix the sign of the solution; a rule that is right on bad
+    texts less often than it is wrong on good ones says nothing, and its votes then weigh nothing.
+    """
+    if not patterns:
+        return 0.5, []
+    width = len(next(iter(patterns)))
+    prior, right = 0.8, [START] * width
     for _ in range(rounds):
         good, total = 1.0, 2.0
-        of_good, of_bad = [[2 * TRUSTED, 2.0] for _ in range(width)], [[0.8, 2.0] for _ in range(width)]
+        of_good, of_bad = [[2 * START[0], 2.0] for _ in range(width)], [[2 * START[1], 2.0] for _ in range(width)]
         for v, n in patterns.items():
             p = posterior(v, prior, right)
             good, total = good + n * p, total + n
@@ -107,46 +125,12 @@ def _fit(patterns: Mapping[tuple[int, ...], int], floors: list[float], rounds: i
                     of_bad[j][1] += n * (1 - p)
         prior = min(0.99, max(0.01, good / total))
         right = []
-        for floor, (a, b), (c, d) in zip(floors, of_good, of_bad):
-            hit = min(0.9999, max(floor, a / b))
-            right.append((hit, min(0.999, max(1 - hit, c / d))))
+        for (a, b), (c, d) in zip(of_good, of_bad):
+            hit = min(MOST_SURE, max(0.5, a / b))
+            right.append((hit, min(MOST_SURE, max(1 - hit, c / d))))
     return prior, right
 
 
-def shares_faults(patterns: Mapping[tuple[int, ...], int], prior: float, right: list[tuple[float, float]]) -> list[bool]:
-    """Of every rule, whether its bad votes are more than twice as frequent on texts that the other rules alone
-    find bad as on those they find good."""
-    told = []
-    for j in range(len(right)):
-        on_good, on_bad = [2 * (1 - TRUSTED), 2.0], [0.8, 2.0]
-        for v, n in patterns.items():
-            if v[j]:
-                p = posterior((*v[:j], 0, *v[j + 1 :]), prior, right)
-                for at, share in ((on_good, p), (on_bad, 1 - p)):
-                    at[0] += n * share * (v[j] < 0)
-                    at[1] += n * share
-        told.append(on_bad[0] / on_bad[1] > 2 * on_good[0] / on_good[1])
-    return told
-
-
-def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good texts, and of every rule how often its vote on a good and on a bad text is right.
-
-    Two accuracies a rule tell a rule that nearly always votes good, which says little, from one whose good
-    votes are earned. Starting values and pseudo-counts of two votes fix the sign of the solution.
-
-    The others can judge a rule only where it shares faults with them. A first fit leaves every accuracy free. A
-    rule that does not share faults in it may be noisy or may be the only one to see its fault: the counts of
-    votes are the same for both. Such a rule is held to TRUSTED, as its threshold is meant, in the second fit;
-    all others keep what the counts say.
-    """
-    if not patterns:
-        return 0.5, []
-    free = [0.5] * len(next(iter(patterns)))
-    shared = shares_faults(patterns, *_fit(patterns, free, rounds))
-    return _fit(patterns, [0.5 if x else TRUSTED for x in shared], rounds)
-
-
 def weights(right: tuple[float, float]) -> tuple[float, float]:
     """What a good and what a bad vote add to the log-odds of a good text."""
     hit, miss = right
@@ -158,22 +142,26 @@ def posterior(votes: tuple[int, ...], prior: float, right: list[tuple[float, flo
     return 1 / (1 + math.exp(-min(700.0, max(-700.0, z))))
 
 
-def judge(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Add measurements, ``posterior`` and ``kept`` (posterior of at least ``least``)."""
+def weigh(measured: DataFrame, least: float = 0.5) -> DataFrame:
+    """Add ``posterior`` and ``kept`` (posterior of at least ``least``) to rows with the columns MEASURES, which are read twice."""
     made = rules()
-    measured = measurements(df, text)
     counts = measured.select(*(v.alias(k) for k, v in made.items())).groupBy(*made).count().collect()
     prior, right = estimate({tuple(r[k] for k in made): r["count"] for r in counts})
     z = F.lit(math.log(prior / (1 - prior)))
     for column, a in zip(made.values(), right):
         up, down = weights(a)
         z = z + F.when(column > 0, up).when(column < 0, down).otherwise(0.0)
-    p = 1 / (1 + F.exp(-z))
-    return measured.withColumn("posterior", p).withColumn("kept", F.col("posterior") >= least)
+    return measured.withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("kept", F.col("posterior") >= least)
+
+
+def judge(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """Add measurements, ``posterior`` and ``kept`` to every row; all columns are written once on the way."""
+    return weigh(materialize(measurements(df, text), "measured"), least)
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    measured = measurements(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    judged = weigh(materialize(measured, "measured"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "posterior")
 
