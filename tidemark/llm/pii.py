@@ -1,10 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four patterns (e-mail, IP address, card, phone) give seed entities. The two words before an entity are a
-lexical pattern. Patterns and the identifier-like tokens they introduce (seeds or not) form a graph, which
-Spark scores iteratively: a pattern is as reliable as the average of what it introduces, and an unseen token
-as reliable as the average of the patterns that introduce it. A pattern with enough different seeds of one
-kind and a high score then marks unseen identifiers behind it as that kind. Base spans always stay.
+Four patterns (e-mail, IP address, card, phone) give seed entities. The two words before the white-space token that
+holds an entity are a lexical pattern, digits and white space in it replaced; words of over 64 characters make
+none. Patterns and the identifier-like tokens they introduce (seeds or not) form a graph, which Spark scores
+iteratively: a pattern is as reliable as the average of what it introduces, and an unseen token as reliable as the
+average of the patterns that introduce it. A pattern with enough different seeds of one kind and a high score marks
+unseen identifiers behind it as that kind; in the next round these count as seeds too and bring their own
+contexts in, until no round finds a new pattern (at most ROUNDS of them). Base spans always stay.
 
 Everything is a DataFrame expression. Positions are code points, got from the lengths of what the
 pattern matches and of what lies between; a scan of a text is linear in its length. The expressions below
@@ -18,10 +20,12 @@ added spans never overlap base spans.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import materialize, table, unused
 from tidemark.llm.rules import let
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,9 +42,9 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TOKEN = r"(?:(?<![^\x20\x09-\x0D])|\G)(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]{6,}+"
 SPAN = "array<struct<start:long,end:long,text:string,left:string>>"
 #: Patterns need so many different seeds of their kind, and so high a score.
-MIN_SEEDS, MIN_SCORE, ROUNDS = 5, 0.8, 3
-#: Added spans up to this number of documents are sent to every task, beyond it they are joined.
-MAX_SHIPPED_DOCUMENTS = 50_000
+MIN_SEEDS, MIN_SCORE, ROUNDS = 5, 0.8, 4
+#: The two words before a token; the last 160 characters before a match hold them and the start of its token.
+LEFT = r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]{1,64}[\x20\x09-\x0D]{1,8}[^\x20\x09-\x0D]{1,64})[\x20\x09-\x0D]{1,8}[^\x20\x09-\x0D]{0,14}$"
 _BLOCK = 256
 
 
@@ -62,12 +66,17 @@ def running_ends(values: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as start, end, text and the two words before."""
-    left = lambda gap: F.nullif(F.regexp_replace(F.regexp_extract(F.lower(F.substring(gap, -64, 64)), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1), r"[0-9]|[\x20\x09-\x0D]+", "_"), F.lit(""))
+    """Leftmost non-overlapping matches as start, end, text and left context."""
+
+    def left(m: Column, g: Column, i: Column) -> Column:
+        # two earlier matches and the text around them hold two words, whatever stands there
+        parts = [F.coalesce(F.get(a, i - k), F.lit("")) for k, a in ((2, g), (2, m), (1, g), (1, m), (0, g))]
+        before = F.regexp_extract(F.lower(F.substring(F.concat(*parts), -160, 160)), LEFT, 1)
+        return F.nullif(F.regexp_replace(before, r"[0-9]|[\x20\x09-\x0D]+", "_"), F.lit(""))
 
     def placed(m: Column, g: Column) -> Column:
         steps = F.transform(m, lambda x, i: (F.length(x) + F.length(F.get(g, i))).cast("long"))
-        return let(running_ends(steps), lambda ends: F.transform(m, lambda x, i: F.struct((F.get(ends, i) - F.length(x)).alias("start"), F.get(ends, i).alias("end"), x.alias("text"), left(F.get(g, i)).alias("left"))))
+        return let(running_ends(steps), lambda ends: F.transform(m, lambda x, i: F.struct((F.get(ends, i) - F.length(x)).alias("start"), F.get(ends, i).alias("end"), x.alias("text"), left(m, g, i).alias("left"))))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda g: placed(m, g))).otherwise(F.lit(None).cast(SPAN)))
@@ -100,7 +109,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """Identifier-like tokens without the punctuation that closes or quotes them."""
+    """Identifier-like tokens without the punctuation that closes or quotes them; not those that hold a base span."""
     found = F.when(F.rlike(text, F.lit("[0-9@]")), located(text, TOKEN))
 
     def trimmed(s: Column) -> Column:
@@ -108,14 +117,24 @@ def identifiers(text: Column) -> Column:
         core = F.regexp_extract(s["text"], r"^[\"'(\[{<]*+(.*?)[.,;:!?\"')\]}>]*$", 1)
         return F.struct((s["start"] + head).alias("start"), (s["start"] + head + F.length(core)).alias("end"), core.alias("text"), s["left"].alias("left"))
 
-    return F.coalesce(F.filter(F.transform(found, trimmed), lambda s: F.length(s["text"]) >= 6), F.array().cast(SPAN))
+    def covers_a_seed(kind: str, token: Column) -> Column:
+        may = F.contains(token, F.lit(NEEDS[kind])) if NEEDS[kind] else F.length(token) >= 16
+        match = F.regexp_extract(token, PATTERNS[kind], 0)
+        return may & (match != "") & _passes(kind, match)
+
+    seen = lambda s: reduce(Column.__or__, (covers_a_seed(k, s["text"]) for k in KINDS))
+    return F.coalesce(F.filter(F.filter(F.transform(found, trimmed), lambda s: F.length(s["text"]) >= 6), lambda s: ~seen(s)), F.array().cast(SPAN))
+
+
+def found_in(text: Column) -> Column:
+    """A struct of a hash of the text, base spans by kind and identifier-like tokens."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(whole).alias("print"), *(base_spans(whole, k).alias(k) for k in KINDS), identifiers(whole).alias("tokens"))
 
 
 def observe(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, base spans by kind and identifier-like tokens, of every row; no text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    seen = docs.select("doc_id", text.alias("text"))
-    return seen.select("doc_id", F.xxhash64("text").alias("print"), *(base_spans(F.col("text"), k).alias(k) for k in KINDS), identifiers(F.col("text")).alias("tokens"))
+    """doc_id and what ``found_in`` finds, of every row; no text."""
+    return docs.select("doc_id", found_in(F.col("text")).alias("found")).select("doc_id", "found.*")
 
 
 def learn_patterns(seen: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE, rounds: int = ROUNDS) -> DataFrame:
@@ -124,53 +143,62 @@ def learn_patterns(seen: DataFrame, min_seeds: int = MIN_SEEDS, min_score: float
     def named(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["left"].alias("left"), F.lower(s["text"]).alias("instance")))
 
-    spans = F.array(*map(named, KINDS))
-    based = seen.select(F.explode(F.flatten(spans)).alias("s")).select("s.*").distinct()
-    based = materialize(based, "seeds")
+    based = materialize(seen.select(F.explode(F.flatten(F.array(*map(named, KINDS)))).alias("s")).select("s.*").distinct(), "seeds")
     seeds = based.select("instance", "kind").distinct()
-    known = based.where("left is not null").select("left").distinct()
-    other = seen.select(F.explode("tokens").alias("t")).select(F.col("t.left").alias("left"), F.lower("t.text").alias("instance")).where("left is not null")
-    edges = materialize(other.join(known, "left", "left_semi").unionByName(based.select("left", "instance").where("left is not null")).distinct(), "edges")
-    degree = edges.groupBy("left").agg(F.count("*").alias("degree"))
-    support = based.where("left is not null").groupBy("left", "kind").agg(F.count("*").alias("seeds"))
-    unseen = edges.join(seeds, "instance", "left_anti")
-    spread = unseen.groupBy("instance").agg(F.count("*").alias("patterns"))
-    sure = edges.join(seeds, "instance").groupBy("left", "kind").agg(F.count("*").cast("double").alias("mass"))
-    scores = sure.join(degree, "left").select("left", "kind", (F.col("mass") / (F.col("degree") + 1)).alias("score"))
+    tokens = seen.select(F.explode("tokens").alias("t")).select(F.col("t.left").alias("left"), F.lower("t.text").alias("instance"))
+    graph = materialize(tokens.unionByName(based.select("left", "instance")).where("left is not null").distinct(), "graph")
+    known, patterns, found = seeds, None, -1
     for _ in range(rounds):
-        scores = materialize(scores, "scores")
+        # contexts of what is known so far, and all that they introduce
+        support = graph.join(known, "instance").groupBy("left", "kind").agg(F.count("*").alias("seeds"))
+        edges = materialize(graph.join(support.select("left").distinct(), "left", "left_semi"), "edges")
+        degree = edges.groupBy("left").agg(F.count("*").alias("degree"))
+        sure = edges.join(known, "instance").groupBy("left", "kind").agg(F.count("*").cast("double").alias("mass"))
+        scores = materialize(sure.join(degree, "left").select("left", "kind", (F.col("mass") / (F.col("degree") + 1)).alias("score")), "scores")
         # an unseen token is as reliable as its patterns on average
+        unseen = edges.join(known, "instance", "left_anti")
+        spread = unseen.groupBy("instance").agg(F.count("*").alias("patterns"))
         told = unseen.join(scores, "left").groupBy("instance", "kind").agg(F.sum("score").alias("s")).join(spread, "instance").select("instance", "kind", (F.col("s") / F.col("patterns")).alias("trust"))
         gained = unseen.join(told, "instance").groupBy("left", "kind").agg(F.sum("trust").alias("mass"))
         scores = sure.unionByName(gained).groupBy("left", "kind").agg(F.sum("mass").alias("mass")).join(degree, "left").select("left", "kind", (F.col("mass") / (F.col("degree") + 1)).alias("score"))
-    good = scores.join(support, ["left", "kind"]).where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score))
-    return good.groupBy("left").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
+        good = scores.join(support, ["left", "kind"]).where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score))
+        patterns = materialize(good.groupBy("left").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score")), "patterns")
+        if (now := patterns.count()) <= found or now == 0:
+            break
+        found = now
+        accepted = edges.join(patterns, "left").join(seeds.select("instance").distinct(), "instance", "left_anti")
+        accepted = accepted.groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        known = materialize(seeds.unionByName(accepted), "known")
+    return patterns
 
 
 def discover(seen: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id, print and ``added`` (kind, start, end) for texts with unseen identifiers behind a good pattern."""
+    tokens = seen.select("doc_id", "print", F.explode("tokens").alias("t")).withColumn("left", F.col("t.left"))
+    hit = tokens.join(patterns.select("left", "kind"), "left").groupBy("doc_id", "print").agg(F.collect_set(F.struct("kind", F.col("t.start").alias("start"), F.col("t.end").alias("end"))).alias("hits"))
+    # only texts with a hit meet their base spans again
     base = F.flatten(F.array(*(F.transform(F.col(k), lambda s: F.struct(s["start"], s["end"])) for k in KINDS)))
-    tokens = seen.select("doc_id", "print", base.alias("base"), F.explode("tokens").alias("t")).withColumn("left", F.col("t.left"))
-    hit = tokens.join(patterns.select("left", "kind"), "left")
-    free = hit.where(~F.exists("base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"])))
-    return free.groupBy("doc_id", "print").agg(F.array_sort(F.collect_set(F.struct("kind", F.col("t.start").alias("start"), F.col("t.end").alias("end")))).alias("added"))
+    spans = seen.select(F.col("doc_id").alias("of_id"), F.col("print").alias("of_print"), base.alias("base")).dropDuplicates(["of_id", "of_print"])
+    met = hit.join(spans, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print")))
+    free = F.filter("hits", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return met.select("doc_id", "print", F.array_sort(free).alias("added")).where(F.size("added") > 0)
 
 
 def _joined(left: DataFrame, found: DataFrame) -> DataFrame:
-    found = found.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "added")
-    return left.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")), "left").drop("_id", "_print")
+    found = found.select(F.col("doc_id").alias("of_id"), F.col("print").alias("of_print"), "added")
+    return left.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print")), "left").drop("of_id", "of_print")
 
 
-def _all_spans(with_added: bool) -> Column:
-    """(rank of kind, start, end) in order of kind, then start."""
+def _all_spans(added: Column | None = None, at: str = "") -> Column:
+    """(rank of kind, start, end) in order of kind, then start, of the columns of ``found_in`` (under ``at``)."""
 
     def ranked(rank: int) -> Column:
-        return F.transform(KINDS[rank], lambda s: F.struct(F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.transform(f"{at}{KINDS[rank]}", lambda s: F.struct(F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
 
     parts = [ranked(r) for r in range(len(KINDS))]
-    if with_added:
+    if added is not None:
         rank = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int") - 1
-        parts.append(F.coalesce(F.transform("added", lambda s: F.struct(rank(s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<rank:int,start:long,end:long>>")))
+        parts.append(F.coalesce(F.transform(added, lambda s: F.struct(rank(s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast("array<struct<rank:int,start:long,end:long>>")))
     return F.array_sort(F.flatten(F.array(*parts)))
 
 
@@ -184,7 +212,7 @@ def find(docs: DataFrame) -> DataFrame:
     seen = materialize(observe(docs), "observed")
     whole = _joined(seen, materialize(discover(seen, learn_patterns(seen)), "added"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return whole.select("doc_id", *counts, F.sha2(_told(_all_spans(False)), 256).alias("base_sha256"), _told(_all_spans(True)).alias("spans"))
+    return whole.select("doc_id", *counts, F.sha2(_told(_all_spans()), 256).alias("base_sha256"), _told(_all_spans(F.col("added"))).alias("spans"))
 
 
 def mask(text: Column, spans: Column) -> Column:
@@ -209,16 +237,14 @@ def mask(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with all found spans masked in ``text``."""
-    seen = materialize(observe(docs.select("doc_id", "text")), "observed")
-    added = materialize(discover(seen, learn_patterns(seen)), "added")
-    if added.count() <= MAX_SHIPPED_DOCUMENTS:
-        added = F.broadcast(added)
-    whole = F.coalesce(F.col("text"), F.lit(""))
-    marked = _joined(docs.withColumn("print", F.xxhash64(whole)), added)
-    for kind in KINDS:
-        marked = marked.withColumn(kind, base_spans(whole, kind))
-    return marked.withColumn("text", F.when(F.col("text").isNotNull(), mask(F.col("text"), _all_spans(True)))).select(*docs.columns)
+    """``docs`` with all found spans masked in ``text``; every other column stays as it is, whatever its name."""
+    f, of_id, of_print, more = (unused(docs.columns, x) for x in ("found", "of_id", "of_print", "added"))
+    # texts are written beside their spans, so that neither is computed again nor shuffled
+    held = materialize(docs.withColumn(f, found_in(F.col("text"))), "observed")
+    seen = held.select("doc_id", f"{f}.*")
+    added = discover(seen, learn_patterns(seen)).select(F.col("doc_id").alias(of_id), F.col("print").alias(of_print), F.col("added").alias(more))
+    marked = held.join(materialize(added, "added"), F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(f"{f}.print") == F.col(of_print)), "left")
+    return marked.withColumn("text", F.when(F.col("text").isNotNull(), mask(F.col("text"), _all_spans(F.col(more), f"{f}.")))).select(*docs.columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,9 +252,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data is replaced by the name of its kind, and n_chars follows the text."""
-    slim = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return redact(slim).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Pipeline stage: personal data is replaced by the name of its kind, and n_chars follows the text. Null text
+    stays null with null n_chars, empty text stays; every row is kept, and so are other columns."""
+    return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 QUERIES = {"op6_pii": op6_pii}
