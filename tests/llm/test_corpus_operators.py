@@ -324,6 +324,29 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert masked[300] == ("Now please write to <EMAIL>, or not.", len("Now please write to <EMAIL>, or not.")) and masked[302][0] == unseen[2][1] and "<IP>" in masked[200][0]
 
 
+def test_contexts_of_wrapped_glued_and_numbered_neighbours(spark):
+    """Seeds and unseen tokens get their context from the same place, and accepted ones bring in new contexts."""
+    made = [(i, f"acct-{2000 + i} no: <user{i}@mail{i}.com> is noted") for i in range(60)] + [(100, "acct-2099 no: bob77(at)mail.org is noted")]
+    made += [(200 + i, f"please ring email:who{i}@mail{i}.com today") for i in range(8)] + [(300, "please ring carl99(at)mail.org today")]
+    # behind "reach me" stand only identifiers that the first pattern finds
+    made += [(400 + i, f"acct-{2100 + i} no: anna{i}x(at)post.org and reach me anna{i}x(at)post.org") for i in range(9)] + [(500, "reach me zoe123(at)post.org")]
+    made += [(600, "x " * 30 + "a" * 90 + " w: user1@mail1.com")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    lefts = {r.doc_id: r.email[0].left for r in pii.observe(df).where("size(email) > 0").collect()}
+    assert lefts[3] == "acct-_____no:"
+    assert lefts[203] == "please_ring" and lefts[600] is None
+    spans = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    for k, word in ((100, "bob77(at)mail.org"), (300, "carl99(at)mail.org"), (500, "zoe123(at)post.org")):
+        at = dict(made)[k].index(word)
+        assert spans[k] == f"email:{at}:{at + len(word)}", k
+
+
+def test_stage_keeps_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now", 15, "mine", 7, [1], "x"), (None, None, None, None, None, None, None)], "doc_id long, text string, n_chars long, email string, print long, found array<int>, added string")
+    rows = pii.stage_pii(spark, df, "").orderBy(F.col("doc_id").asc_nulls_last()).collect()
+    assert tuple(rows[0]) == (1, "mail <EMAIL> now", 16, "mine", 7, [1], "x") and set(rows[1]) == {None}
+
+
 def test_masking_overlaps_and_positions(spark, docs):
     out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     # the phone pattern runs on through the card and has too many digits, and the card pattern takes the phone's

@@ -5,7 +5,8 @@ posted, with its positions, in the inverted files of its ``posted`` nearest pivo
 one row per block of vectors and pivot. A query walks the files of its own ``walked`` nearest pivots and adds up
 the footrule distance of the two orders (a pivot that a vector is not posted under stands at position ``posted``).
 The candidates with the least footrule of all blocks together, about ``depth`` times the square root of the number
-of vectors, are measured exactly, in double precision; nothing else is.
+of vectors, are measured exactly, in double precision; nothing else is. A block hands on its even share of these
+and six standard deviations more, as vectors are dealt to blocks by hash.
 
 Blocks hold ``block_vectors`` distinct vectors and meet the query set in blocks of ``block_queries``. Copies of one
 vector are searched once and only their ``k + 1`` smallest ids are carried, since no more can appear in a list of
@@ -86,6 +87,8 @@ def _nearest(rows: DataFrame, k: int, pivots: int = 512, posted: int = 256, walk
     keep = max(k + 1, int(np.ceil(depth * np.sqrt(there))))
     width = min(posted, len(chosen))
     blocks, query_blocks = max(1, -(-there // block_vectors)), max(1, -(-searches.count() // block_queries))
+    # vectors are dealt to blocks by hash, so a block has its even share of the best, give or take its square root
+    share = min(keep, int(np.ceil(keep / blocks + 6 * np.sqrt(keep / blocks)))) + k
 
     def post(block: pd.DataFrame) -> pd.DataFrame:
         """The block's files, and in a last row the vectors that its row numbers mean."""
@@ -105,7 +108,7 @@ def _nearest(rows: DataFrame, k: int, pivots: int = 512, posted: int = 256, walk
             orders = permutations(np.stack(right["w"].to_list()), chosen, min(walked, len(chosen)))
             for q, order in zip(right["q"], orders):
                 far = footrules(files, order, len(vec), width)
-                best = _least(far, vec, min(keep, len(far)))
+                best = _least(far, vec, min(share, len(far)))
                 out.append(pd.DataFrame({"q": q, "vec": vec[best], "footrule": far[best]}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "vec": [], "footrule": []}).astype("int64")
 
