@@ -19,9 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     while (mark := now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != seen:
         seen = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # minima are written before they are joined, so that the links of a star's centre can be split among tasks
+        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select("v", "m").toDF("u", "v")
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
     # what remains are stars: no centre is a leaf

@@ -13,8 +13,11 @@ bounded size, and only links that join two groups are emitted. Components of sev
 contracted block by block; then what lies outside the largest group is held against all other blocks.
 
 Defined results: null or empty text has an empty set and is linked with nothing; rows that repeat a doc_id
-are one document; a null doc_id takes no part and is kept; an empty table gives an empty result; extra
-columns are ignored.
+are one document; a row with a null doc_id is linked with nothing, has a null component_id and is kept; an empty
+table gives an empty result; extra columns are ignored. Shingles are compared as 64-bit hashes and whole sets by two
+64-bit sums of hashes: two different shingles of one pair of texts fall together with a chance of about n*n/2**64,
+two different sets with one of 2**-128. A task holds one Arrow batch of texts and, of a text, about a hundred
+bytes of work arrays for each byte.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,43 +120,50 @@ def band_rows(threshold: float, miss: float = MISS) -> int:
     return max([1, *(r for r in range(1, 33) if (1 - threshold**r) ** (BINS // r) <= miss)])
 
 
-def _runs(batch: pd.DataFrame, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
-    size = batch["text"].str.len().fillna(0).cumsum() // most
-    for _, run in batch.groupby(size, sort=False):
-        yield run
+def _runs(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of about ``most`` characters each."""
+    begin, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield begin, i
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+SKETCH = "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>"
 
 
 def sketch_documents(docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, the 128-bit fingerprint of the set (null if empty) and the band hashes."""
+    """doc_id, n_shingles, the 128-bit fingerprint of the set (null if empty or without a doc_id) and the band hashes."""
     rows = band_rows(threshold)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _runs(batch):
-                shingle, text = shingle_sets(part["text"].tolist())
-                n = np.bincount(text, minlength=len(part))
-                s = sketch(shingle, text, len(part))
-                bands = np.full((len(part), BINS // rows), 0, dtype=np.uint64)
+            texts = batch.column(1).to_pylist()
+            for lo, hi in _runs([len(t or "") for t in texts]):
+                ids = batch.column(0).slice(lo, hi - lo)
+                shingle, text = shingle_sets(texts[lo:hi])
+                n = np.bincount(text, minlength=hi - lo)
+                s = sketch(shingle, text, hi - lo)
+                bands = np.zeros((hi - lo, BINS // rows), dtype=np.uint64)
                 for b in range(BINS // rows):
-                    h = np.full(len(part), np.uint64((b + 1) * _BAND % 2**64))
+                    h = np.full(hi - lo, np.uint64((b + 1) * _BAND % 2**64))
                     for k in range(b * rows, (b + 1) * rows):
                         h = mix(h ^ s[:, k])
                     bands[:, b] = h
-                prints = [np.zeros(len(part), np.uint64) for _ in range(2)]
+                prints = [np.zeros(hi - lo, np.uint64) for _ in range(2)]
                 begin = np.searchsorted(text, np.flatnonzero(n))
                 for k, p in enumerate(prints):
                     if len(begin):
                         p[n > 0] = np.add.reduceat(mix(shingle ^ _SEEDS[k]), begin)
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(),
-                    "n_shingles": n,
-                    "print1": pd.array(prints[0].view(np.int64), dtype="Int64").copy(),
-                    "print2": prints[1].view(np.int64),
-                    "bands": list(bands.view(np.int64)),
-                }).assign(print1=lambda d: d["print1"].mask(d["n_shingles"] == 0))
+                none = (n == 0) | ids.is_null().to_numpy(zero_copy_only=False)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * bands.shape[1], pa.int32()), pa.array(bands.view(np.int64).ravel()))
+                first, second = (p.view(np.int64) for p in prints)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(first, mask=none), pa.array(second), lists], ["doc_id", "n_shingles", "print1", "print2", "bands"])
 
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return known.mapInPandas(run, "doc_id long, n_shingles long, print1 long, print2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
 
 def links_in(nodes: np.ndarray, labels: np.ndarray, asks: np.ndarray, texts: list[str | None], percent: int) -> list[tuple[int, int]]:
@@ -221,14 +232,14 @@ def _links(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text) with a doc_id."""
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     sketches = materialize(sketch_documents(docs, percent / 100), "sketches")
     classes = sketches.where(F.col("print1").isNotNull()).groupBy("print1", "print2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     buckets = classes.select("node", F.explode("bands").alias("bucket"))
-    # the smallest class of each bucket stands for it
-    least = F.expr("min(node) over (partition by bucket)")
-    stars = buckets.select("node", least.alias("least")).where("node > least").distinct()
+    # the smallest class of each bucket stands for it; buckets are aggregated before they meet their members again
+    shared = materialize(buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1").select("bucket", "least"), "buckets")
+    stars = buckets.join(shared, "bucket").where("node > least").select("node", "least").distinct()
     groups = components(stars.select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("component", "candidate")
     sized = groups.join(classes.groupBy("node").agg(F.sum("n").alias("n")), "node")
     mass = sized.groupBy("candidate").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
@@ -244,7 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, block_shingles: int = BL
     of_class = classes.join(found, "node", "left").select("print1", "print2", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "print1", "print2").join(of_class, ["print1", "print2"], "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _across(wide: DataFrame, found: DataFrame, texts: DataFrame, percent: int, block_shingles: int) -> DataFrame:
@@ -265,7 +276,8 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the smallest id stays."""
+    """Pipeline stage: of each group of near duplicates the document with the smallest id stays. Rows with a null or
+    empty text or a null doc_id stay, rows that repeat a kept doc_id too; all columns are kept as they are."""
     found = near_duplicates(docs.select("doc_id", "text"))
     gone = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
