@@ -46,19 +46,35 @@ def test_eligible_at_the_very_end(spark):
 
 
 def test_ratings_equal_a_plain_replay(spark):
-    rows = records.synthetic_contests(spark, 80, teams=5).where("team1_score <> team2_score").withColumn("won", (F.col("team1_score") > F.col("team2_score")).cast("int")).withColumn("end_ts", estimated_end("start_ts", "best_of"))
-    log = ratings.rating_log(rows, (32,))
-    got = {r.match_id: (r.rating, r.opp_rating) for r in ratings.prematch(log).collect()}
-    r, waiting, want = {}, [], {}
+    """Two separate universes, contests of up to three maps, extra maps, ends that are out of order."""
+    made = records.synthetic_contests(spark, 80, teams=5).unionByName(records.synthetic_contests(spark, 40, teams=4).withColumns({"match_id": F.col("match_id") + 1000, "team1": F.col("team1") + 100, "team2": F.col("team2") + 100}))
+    made = made.where("team1_score <> team2_score").withColumn("end_ts", estimated_end("start_ts", "best_of"))
+    won = (F.col("team1_score") > F.col("team2_score")).cast("int")
+    games = F.slice(F.array(F.struct("map_name", won.alias("won")), F.struct(F.lit("map1").alias("map_name"), (1 - won).alias("won")), F.struct(F.lit("map2").alias("map_name"), won.alias("won"))), 1, F.pmod("match_id", F.lit(3)).cast("int") + 1)
+    rows = made.withColumns({"won": won, "maps": games, "extra_maps": F.array(F.lit("map1"), F.lit("map9"))})
+    assert {r.universe for r in ratings.universes(rows).collect()} == {0, 100}
+    log = ratings.rating_log(rows, (32, 64))
+    got = {r.match_id: r for r in ratings.prematch(log).where("k = 32").collect()}
+    r, on, waiting, want = {}, {}, [], {}
+    chance = lambda x, y: 1 / (1 + 10 ** ((y - x) / 400))
     for m in sorted(rows.collect(), key=lambda m: (m.start_ts, m.match_id)):
         while waiting and waiting[0][0] <= m.start_ts:
-            _, _, a, b, w = heapq.heappop(waiting)
-            e = 1 / (1 + 10 ** ((r.get(b, 1500) - r.get(a, 1500)) / 400))
-            r[a], r[b] = r.get(a, 1500) + 32 * (w - e), r.get(b, 1500) - 32 * (w - e)
-        want[m.match_id] = (r.get(m.team1, 1500), r.get(m.team2, 1500))
-        heapq.heappush(waiting, (m.end_ts, m.match_id, m.team1, m.team2, m.won))
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
-    last = ratings.trajectory(log, 3).where("step = 1").count()
+            _, _, _, a, b, games = heapq.heappop(waiting)
+            for name, w in games:
+                x, y = (on.get((t, name), (r.get(t, 1500), 0)) for t in (a, b))
+                d = 32 * (w - chance(x[0], y[0]))
+                on[a, name], on[b, name] = (x[0] + d, x[1] + 1), (y[0] - d, y[1] + 1)
+                d = 32 * (w - chance(r.get(a, 1500), r.get(b, 1500)))
+                r[a], r[b] = r.get(a, 1500) + d, r.get(b, 1500) - d
+        names = list(dict.fromkeys([g.map_name for g in m.maps] + m.extra_maps))
+        pulled = lambda t, n: (lambda v: v[0] * v[1] / (v[1] + 10) + r.get(t, 1500) * 10 / (v[1] + 10))(on.get((t, n), (r.get(t, 1500), 0)))
+        want[m.match_id] = (r.get(m.team1, 1500), r.get(m.team2, 1500), [(n, pulled(m.team1, n), pulled(m.team2, n)) for n in names])
+        heapq.heappush(waiting, (m.end_ts, m.start_ts, m.match_id, m.team1, m.team2, [tuple(g) for g in m.maps]))
+    assert got.keys() == want.keys()
+    for k, (a, b, maps) in want.items():
+        assert (got[k].rating, got[k].opp_rating) == pytest.approx((a, b)) and [x.map_name for x in got[k].maps] == [n for n, _, _ in maps]
+        assert [(x.rating, x.opp_rating) for x in got[k].maps] == [pytest.approx(x[1:]) for x in maps]
+    last = ratings.trajectory(log.where("k = 64"), 3).where("step = 1").count()
     assert last == rows.select("team1").union(rows.select("team2")).distinct().count()
 
 

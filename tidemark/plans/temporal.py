@@ -169,12 +169,13 @@ FROM s JOIN league USING (start_ts)"""
 
 
 def _games(spark, sf):
-    return ended(spark, sf).where("team1_score <> team2_score").withColumn("won", (F.col("team1_score") > F.col("team2_score")).cast("int"))
+    played = ended(spark, sf).where("team1_score <> team2_score").withColumn("won", (F.col("team1_score") > F.col("team2_score")).cast("int"))
+    return ratings.single_map(played)
 
 
 def elo_prematch(spark, sf):
     out = ratings.prematch(ratings.rating_log(_games(spark, sf)))
-    return out.select("match_id", rounded(F.col("rating"), 3).alias("rating"), rounded(F.col("opp_rating"), 3).alias("opp_rating"), rounded(F.col("p")).alias("p"), rounded(F.col("map_rating"), 3).alias("map_rating"))
+    return out.select("match_id", rounded(F.col("rating"), 3).alias("rating"), rounded(F.col("opp_rating"), 3).alias("opp_rating"), rounded(F.col("p")).alias("p"), rounded(F.get("maps", F.lit(0))["rating"], 3).alias("map_rating"))
 
 
 def elo_tuned_k(spark, sf):
@@ -275,6 +276,40 @@ def vif(spark, sf):
 
 QUERIES = {f.__name__: f for f in (trends_all, trends_current, trends_scoped, long_frame, match_lite, match_table, pool_table, pool_top, pool_fallback, asof_counts, asof_decayed, asof_shrunk, asof_priors, asof_by_map, rest_days, roster_weighted, snapshot, elo_prematch, elo_tuned_k, elo_trajectory, elo_at_cutoff, core_roster, membership, series_dp, maps_dist, sequence_complete, chrono_split, folds, augment, tz_shift, periods, phase_peak, cadence, corr_topk, vif)}
 
+#: Looks and results in order of time, with teams and maps numbered from 1.
+_EVENTS_SQL = """games AS (
+  SELECT match_id, start_ts, end_ts, team1, team2, CAST(team1_score > team2_score AS INT) AS won,
+         dense_rank() OVER (ORDER BY map_name) AS m FROM contests WHERE team1_score <> team2_score
+), teams AS (
+  SELECT team, row_number() OVER (ORDER BY team) AS u FROM (SELECT team1 AS team FROM games UNION SELECT team2 FROM games)
+), ev AS (
+  SELECT e.*, a.u AS ua, b.u AS ub, row_number() OVER (ORDER BY moment, look, start_ts, match_id) AS i
+  FROM (SELECT *, end_ts AS moment, 0 AS look FROM games UNION ALL SELECT *, start_ts, 1 FROM games) e
+  JOIN teams a ON a.team = team1 JOIN teams b ON b.team = team2
+)"""
+#: One row per event and K: the overall ratings of all teams after it.
+_BOOK_SQL = """book(i, k, o) AS (
+  SELECT 0::BIGINT, k, list_transform(range((SELECT count(*) FROM teams)), lambda x: 1500.0::DOUBLE) FROM ks
+  UNION ALL
+  SELECT e.i, k, CASE WHEN look = 1 THEN o ELSE list_transform(o, lambda x, j: x + CASE WHEN j = ua THEN 1 WHEN j = ub THEN -1 ELSE 0 END
+         * k * (won - 1 / (1 + pow(10.0::DOUBLE, (o[ub] - o[ua]) / 400)))) END
+  FROM book JOIN ev e ON e.i = book.i + 1
+), log AS (
+  SELECT k, look, match_id, moment, team1, team2, o[ua] AS ra, o[ub] AS rb FROM book JOIN ev USING (i)
+), changes AS (
+  SELECT k, match_id, moment, team1 AS team, ra AS rating FROM log WHERE look = 0 UNION ALL SELECT k, match_id, moment, team2, rb FROM log WHERE look = 0
+)"""
+#: The same for K = 32 with the ratings on five maps (r) and the games there (g), by team and map.
+_MAP_BOOK_SQL = """book(i, o, r, g) AS (
+  SELECT 0::BIGINT, list_transform(range(n), lambda x: 1500.0::DOUBLE), list_transform(range(n * 5), lambda x: NULL::DOUBLE), list_transform(range(n * 5), lambda x: 0::INT) FROM (SELECT count(*) AS n FROM teams)
+  UNION ALL
+  SELECT i1,
+    CASE WHEN look = 1 THEN o ELSE list_transform(o, lambda x, j: x + CASE WHEN j = ua THEN 1 WHEN j = ub THEN -1 ELSE 0 END * 32 * (won - 1 / (1 + pow(10.0::DOUBLE, (o[ub] - o[ua]) / 400)))) END,
+    CASE WHEN look = 1 THEN r ELSE list_transform(r, lambda x, j: CASE WHEN j = ca THEN ma + 32 * (won - 1 / (1 + pow(10.0::DOUBLE, (mb - ma) / 400))) WHEN j = cb THEN mb - 32 * (won - 1 / (1 + pow(10.0::DOUBLE, (mb - ma) / 400))) ELSE x END) END,
+    CASE WHEN look = 1 THEN g ELSE list_transform(g, lambda x, j: x + CASE WHEN j = ca OR j = cb THEN 1 ELSE 0 END) END
+  FROM (SELECT book.*, e.i AS i1, look, won, ua, ub, (ua - 1) * 5 + m AS ca, (ub - 1) * 5 + m AS cb, coalesce(r[(ua - 1) * 5 + m], o[ua]) AS ma, coalesce(r[(ub - 1) * 5 + m], o[ub]) AS mb FROM book JOIN ev e ON e.i = book.i + 1) e
+)"""
+
 _R4 = "floor(({}) * 1e4 + 0.5) / 1e4".format
 _R3 = "floor(({}) * 1e3 + 0.5) / 1e3".format
 _PAIRS = "FROM long p LEFT JOIN long f ON f.team = p.team AND f.end_ts <= p.start_ts"
@@ -298,6 +333,17 @@ ORACLES = {
     "rest_days": f"{with_views('long')} SELECT p.match_id, p.team, {_R4('coalesce(least((epoch_us(p.start_ts) - epoch_us(max(f.start_ts))) / 86400000000.0::DOUBLE, 30), 30)')} AS rest_days {_PAIRS} GROUP BY p.match_id, p.team, p.start_ts",
     "roster_weighted": f"{with_views('long')} SELECT p.match_id, p.team, count(f.match_id) AS n, count(*) FILTER (f.opp = p.opp) AS n_same_opp {_PAIRS} WHERE p.match_id % 10 = 0 GROUP BY 1, 2",
     "snapshot": _snapshot_sql(),
+    "elo_prematch": f"""{with_views("contests", recursive=True)}, {_EVENTS_SQL}, {_MAP_BOOK_SQL}, looks AS (
+  SELECT match_id, o[ua] AS ra, o[ub] AS rb, g[(ua - 1) * 5 + m] AS n, coalesce(r[(ua - 1) * 5 + m], o[ua]) AS ma FROM book JOIN ev USING (i) WHERE look = 1
+) SELECT match_id, {_R3("ra")} AS rating, {_R3("rb")} AS opp_rating, {_R4("1 / (1 + pow(10.0::DOUBLE, (rb - ra) / 400))")} AS p, {_R3("n / (n + 10.0::DOUBLE) * ma + (1 - n / (n + 10.0::DOUBLE)) * ra")} AS map_rating FROM looks""",
+    "elo_tuned_k": f"""{with_views("contests", recursive=True)}, {_EVENTS_SQL}, ks AS (SELECT unnest([16, 24, 32, 40, 50, 64, 80, 100, 128])::DOUBLE AS k), {_BOOK_SQL}, losses AS (
+  SELECT k, avg(-ln(CASE WHEN won = 1 THEN p ELSE 1 - p END)) AS loss FROM (SELECT k, won, least(greatest(1 / (1 + pow(10.0::DOUBLE, (rb - ra) / 400)), 1e-6), 1 - 1e-6) AS p FROM log JOIN games USING (match_id) WHERE look = 1) GROUP BY k
+) SELECT k, {_R4("loss")} AS loss, k = (SELECT k FROM losses ORDER BY loss, k LIMIT 1) AS best FROM losses""",
+    "elo_trajectory": f"""{with_views("contests", recursive=True)}, {_EVENTS_SQL}, ks AS (SELECT 32.0::DOUBLE AS k), {_BOOK_SQL}, last AS (
+  SELECT *, row_number() OVER (PARTITION BY team ORDER BY moment DESC, match_id DESC) AS back, count(*) OVER (PARTITION BY team) AS n FROM changes
+) SELECT team, CAST(least(n, 10) - back + 1 AS INT) AS step, match_id, {_R3("rating")} AS rating FROM last WHERE back <= 10""",
+    "elo_at_cutoff": f"""{with_views("contests", recursive=True)}, {_EVENTS_SQL}, ks AS (SELECT 32.0::DOUBLE AS k), {_BOOK_SQL}
+SELECT team, {_R3("arg_max(rating, (moment, match_id))")} AS rating FROM changes WHERE moment <= {_AT20} GROUP BY team""",
     "core_roster": f"""WITH {_LINEUPS}, recent AS (SELECT team, lineup, back FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY end_ts DESC, start_ts DESC, match_id DESC) AS back FROM lineups) WHERE back <= 5),
 counted AS (SELECT team, player, count(*) AS n FROM (SELECT team, unnest(lineup) AS player FROM recent) GROUP BY 1, 2),
 core AS (SELECT team, list_sort(list(player)) AS core FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY n DESC, player) AS r FROM counted) WHERE r <= 5 GROUP BY team),
