@@ -231,3 +231,25 @@ def test_walk_forward_sees_only_the_past(spark):
     first = lambda d: sorted((r.match_id, round(r.p_model, 9)) for r in d.where("epoch = 1").collect())
     assert first(out) == first(again)
     assert backtest.leakage_check(rows, rows, ["d"]).count() == 0 and backtest.leakage_check(rows, flipped.withColumn("d", F.col("d") + 1), ["d"]).count() == 120
+
+
+def test_decay_far_from_any_fixed_moment(spark):
+    """Short half-lives, dates of 1975 and 2070, and both in one table."""
+    days = [datetime(1975, 1, 1) + timedelta(days=i) for i in range(6)] + [datetime(2070, 1, 1) + timedelta(days=3 * i) for i in range(6)]
+    rows = spark.createDataFrame([("a", i, d, d + timedelta(hours=3)) for i, d in enumerate(days)], "team string, match_id int, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    for part in (rows.where("match_id < 6"), rows.where("match_id >= 6"), rows):
+        for half_life in (1.0, 14.0):
+            known = part.collect()
+            for r in asof.decayed_sweep(part, part.select("match_id", "team", "start_ts"), ["team"], {"w": F.lit(1.0)}, half_life, {"n": F.lit(1)}).collect():
+                before = [f for f in known if f.end_ts <= r.start_ts]
+                assert r.w == pytest.approx(sum(0.5 ** ((r.start_ts - f.start_ts).total_seconds() / 86400 / half_life) for f in before)) and r.n == len(before)
+
+
+def test_latest_takes_what_has_an_order(spark):
+    rows = games(spark)
+    probes = rows.select("match_id", "team", "start_ts")
+    got = {(r.match_id, r.team): r["last"] for r in asof.latest(rows, probes, ["team"], F.struct("end_ts", "match_id", F.array("opp").alias("o"))).collect()}
+    known = rows.collect()
+    for p in known:
+        before = [(f.end_ts, f.match_id, [f.opp]) for f in known if f.team == p.team and f.end_ts <= p.start_ts]
+        assert (tuple(got[p.match_id, p.team]) if before else got[p.match_id, p.team]) == (max(before) if before else None)

@@ -112,8 +112,8 @@ def asof_counts(spark, sf):
 
 def asof_decayed(spark, sf):
     rows = long_rows(spark, sf)
-    sums = asof.sweep(rows, rows.select("match_id", "team", "start_ts"), ["team"], asof.decayed({"w": F.lit(1.0), "ww": F.col("won")}, HALF_LIFE))
-    return sums.select("match_id", "team", rounded(asof.settled("w", HALF_LIFE), 3).alias("weight"), rounded(asof.settled("ww", HALF_LIFE), 3).alias("won"))
+    sums = asof.decayed_sweep(rows, rows.select("match_id", "team", "start_ts"), ["team"], {"w": F.lit(1.0), "ww": F.col("won")}, HALF_LIFE)
+    return sums.select("match_id", "team", rounded(F.col("w"), 3).alias("weight"), rounded(F.col("ww"), 3).alias("won"))
 
 
 def asof_shrunk(spark, sf):
@@ -142,7 +142,7 @@ def rest_days(spark, sf):
 def roster_weighted(spark, sf):
     """The range-join form: a fact's weight depends on the probe (here on its side of the board)."""
     rows = long_rows(spark, sf)
-    sums = asof.range_join(rows, rows.where("match_id % 10 = 0").select("match_id", "team", "opp", "start_ts"), ["team"], [F.count("f_match_id").alias("n"), F.count(F.when(F.col("f_opp") == F.col("p.opp"), 1)).alias("n_same_opp")])
+    sums = asof.range_join(rows, rows.select("match_id", "team", "opp", "start_ts"), ["team"], [F.count("f_match_id").alias("n"), F.count(F.when(F.col("f_opp") == F.col("p.opp"), 1)).alias("n_same_opp")])
     return sums.select("match_id", "team", "n", "n_same_opp")
 
 
@@ -226,10 +226,10 @@ def maps_dist(spark, sf):
 
 
 def sequence_complete(spark, sf):
-    """Role sequences of conversations as maps played, completed to seven from the roles of the next conversation."""
+    """Role sequences of whole conversations as maps played, completed by two from a veto that every second one has."""
     turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("played"))
-    rows = turns.withColumn("played", F.slice("played", 1, 3)).withColumn("veto", F.concat("played", F.array_repeat(F.lit("decider"), 2)))
-    done = rows.select("conv_id", series.complete_sequence(F.col("played"), F.when(F.col("conv_id") % 2 == 0, F.col("veto")), F.lit(5)).alias("s"))
+    rows = turns.withColumn("veto", F.concat("played", F.array_repeat(F.lit("decider"), 2)))
+    done = rows.select("conv_id", series.complete_sequence(F.col("played"), F.when(F.col("conv_id") % 2 == 0, F.col("veto")), F.size("played") + 2).alias("s"))
     return done.select("conv_id", F.array_join("s.maps", ",", "?").alias("maps"), F.col("s.n_filled").alias("n_filled"), F.col("s.n_fallback").alias("n_fallback"), F.col("s.source").alias("source"))
 
 
@@ -256,7 +256,7 @@ def periods(spark, sf):
 
 def phase_peak(spark, sf):
     events = table(spark, sf, "events")
-    phases = events.where("event_id % 50 = 0").select(F.col("event_id").alias("phase_id"), F.col("ts").alias("begin"), F.expr("ts + INTERVAL 2 HOUR").alias("finish"))
+    phases = events.select(F.col("event_id").alias("phase_id"), F.col("ts").alias("begin"), F.expr("ts + INTERVAL 2 HOUR").alias("finish"))
     return phase_peaks(events.select("ts", "value"), phases)
 
 
@@ -264,14 +264,19 @@ def cadence(spark, sf):
     return evaluation.cadence_ticks(ended(spark, sf).select("match_id", "end_ts"), warmup=300)
 
 
+def _coordinates(spark, sf) -> tuple[DataFrame, list[str]]:
+    e = table(spark, sf, "embeddings")
+    names = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return e.select(*(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names))), names
+
+
 def corr_topk(spark, sf):
-    e = table(spark, sf, "embeddings").select(*(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
-    return evaluation.top_correlations(e, [f"x{i}" for i in range(8)], 10).select("a", "b", rounded(F.abs(F.col("r"))).alias("r"))
+    rows, names = _coordinates(spark, sf)
+    return evaluation.top_correlations(rows, names, 10).select("a", "b", rounded(F.abs(F.col("r"))).alias("r"))
 
 
 def vif(spark, sf):
-    e = table(spark, sf, "embeddings").select(*(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)))
-    return evaluation.vif(e, [f"x{i}" for i in range(8)])
+    return evaluation.vif(*_coordinates(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (trends_all, trends_current, trends_scoped, long_frame, match_lite, match_table, pool_table, pool_top, pool_fallback, asof_counts, asof_decayed, asof_shrunk, asof_priors, asof_by_map, rest_days, roster_weighted, snapshot, elo_prematch, elo_tuned_k, elo_trajectory, elo_at_cutoff, core_roster, membership, series_dp, maps_dist, sequence_complete, chrono_split, folds, augment, tz_shift, periods, phase_peak, cadence, corr_topk, vif)}
@@ -331,7 +336,7 @@ ORACLES = {
     "asof_priors": f"{with_views('long')}, m AS (SELECT DISTINCT start_ts FROM long) SELECT m.start_ts, {_R4('CASE WHEN sum(rounds_won + rounds_lost) FILTER (metric IS NOT NULL) > 0 THEN sum(metric)::DOUBLE / sum(rounds_won + rounds_lost) FILTER (metric IS NOT NULL) ELSE 0.5 END')} AS prior FROM m LEFT JOIN long f ON f.end_ts <= m.start_ts GROUP BY 1",
     "asof_by_map": f"{with_views('long')} SELECT p.match_id, p.team, count(f.match_id) AS n {_PAIRS} AND f.map_name = p.map_name GROUP BY 1, 2",
     "rest_days": f"{with_views('long')} SELECT p.match_id, p.team, {_R4('coalesce(least((epoch_us(p.start_ts) - epoch_us(max(f.start_ts))) / 86400000000.0::DOUBLE, 30), 30)')} AS rest_days {_PAIRS} GROUP BY p.match_id, p.team, p.start_ts",
-    "roster_weighted": f"{with_views('long')} SELECT p.match_id, p.team, count(f.match_id) AS n, count(*) FILTER (f.opp = p.opp) AS n_same_opp {_PAIRS} WHERE p.match_id % 10 = 0 GROUP BY 1, 2",
+    "roster_weighted": f"{with_views('long')} SELECT p.match_id, p.team, count(f.match_id) AS n, count(*) FILTER (f.opp = p.opp) AS n_same_opp {_PAIRS} GROUP BY 1, 2",
     "snapshot": _snapshot_sql(),
     "elo_prematch": f"""{with_views("contests", recursive=True)}, {_EVENTS_SQL}, {_MAP_BOOK_SQL}, looks AS (
   SELECT match_id, o[ua] AS ra, o[ub] AS rb, g[(ua - 1) * 5 + m] AS n, coalesce(r[(ua - 1) * 5 + m], o[ua]) AS ma FROM book JOIN ev USING (i) WHERE look = 1
@@ -365,14 +370,16 @@ SELECT p.probe_id, p.team, {_R4("ln(1 + coalesce(ext.n, 0)::DOUBLE)")} AS ext, {
   UNION ALL SELECT match_id, 2, p * p + (1 - p) * (1 - p) FROM q WHERE best_of = 3 UNION ALL SELECT match_id, 3, 2 * p * (1 - p) FROM q WHERE best_of = 3
   UNION ALL SELECT match_id, 3, pow(p, 3) + pow(1 - p, 3) FROM q WHERE best_of = 5 UNION ALL SELECT match_id, 4, 3 * p * (1 - p) * (pow(p, 3) + pow(1 - p, 3)) / 1 FROM q WHERE best_of = 5
   UNION ALL SELECT match_id, 5, 6 * p * p * (1 - p) * (1 - p) FROM q WHERE best_of = 5) SELECT match_id, games, {_R4("p")} AS p FROM d""".replace("3 * p * (1 - p) * (pow(p, 3) + pow(1 - p, 3)) / 1", "3 * pow(p, 3) * (1 - p) + 3 * pow(1 - p, 3) * p"),
-    "sequence_complete": """WITH t AS (SELECT conv_id, list(role ORDER BY turn, role)[1:3] AS played FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, played, len(played) AS n, conv_id % 2 = 0 AND len(played) + 2 = 5 AS fits FROM t)
-SELECT conv_id, array_to_string(CASE WHEN fits THEN list_concat(played, ['decider', 'decider']) ELSE list_concat(played, list_transform(range(5 - n), lambda x: '?')) END, ',') AS maps,
-       CASE WHEN fits THEN 5 - n ELSE 0 END AS n_filled, CASE WHEN fits THEN 0 ELSE 5 - n END AS n_fallback, CASE WHEN fits THEN 'veto' ELSE 'fallback' END AS source FROM s""",
+    "sequence_complete": """WITH t AS (SELECT conv_id, list(role ORDER BY turn, role) AS played FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, played, len(played) AS n, conv_id % 2 = 0 AS fits FROM t)
+SELECT conv_id, array_to_string(CASE WHEN fits THEN list_concat(played, ['decider', 'decider']) ELSE list_concat(played, ['?', '?']) END, ',') AS maps,
+       CASE WHEN fits THEN 2 ELSE 0 END AS n_filled, CASE WHEN fits THEN 0 ELSE 2 END AS n_fallback, CASE WHEN fits THEN 'veto' ELSE 'fallback' END AS source FROM s""",
     "chrono_split": f"{with_views('contests')}, r AS (SELECT match_id, row_number() OVER (ORDER BY start_ts, match_id) AS i, count(*) OVER () AS n FROM contests) SELECT match_id, CASE WHEN i <= floor(n * 0.70::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.85::DOUBLE) THEN 'validation' ELSE 'test' END AS part FROM r",
     "folds": f"{with_views('contests')}, r AS (SELECT match_id, row_number() OVER (ORDER BY start_ts, match_id) AS i, count(*) OVER () AS n FROM contests) SELECT match_id, " + " + ".join(f"CAST(i > round_even(n * {0.5 + 0.5 * k / 5}::DOUBLE, 0) AS INT)" for k in range(5)) + " AS fold FROM r",
     "augment": f"{with_views('contests')} SELECT match_id, team1_score - team2_score AS score_diff, CAST(team1_score > team2_score AS INT) AS y, best_of FROM contests UNION ALL SELECT match_id, team2_score - team1_score, 1 - CAST(team1_score > team2_score AS INT), best_of FROM contests",
     "periods": "SELECT year(o_orderdate) || 'H' || CASE WHEN month(o_orderdate) <= 6 THEN 1 ELSE 2 END AS period, count(*) AS n FROM orders GROUP BY 1",
     "tz_shift": "SELECT o_orderkey, timezone('UTC', timezone('America/New_York', o_orderdate)) AS utc FROM orders",
-    "phase_peak": "WITH p AS (SELECT event_id AS phase_id, ts AS b, ts + INTERVAL 2 HOUR AS e FROM events WHERE event_id % 50 = 0) SELECT phase_id, max(value) AS peak, count(*) AS n FROM p JOIN events ON ts >= b AND ts <= e GROUP BY 1",
-    "corr_topk": "WITH x AS (SELECT " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(8)) + "), c AS (".replace("), c", " FROM embeddings), c") + " UNION ALL ".join(f"SELECT 'x{i}' AS a, 'x{j}' AS b, corr(x{i}, x{j}) AS r FROM x" for i in range(8) for j in range(i + 1, 8)) + f") SELECT a, b, {_R4('abs(r)')} AS r FROM c ORDER BY abs(c.r) DESC, a, b LIMIT 10",
+    "phase_peak": "WITH p AS (SELECT event_id AS phase_id, ts AS b, ts + INTERVAL 2 HOUR AS e FROM events) SELECT phase_id, max(value) AS peak, count(*) AS n FROM p JOIN events ON ts >= b AND ts <= e GROUP BY 1",
+    "corr_topk": f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+c AS (SELECT 'x' || p.i AS a, 'x' || q.i AS b, corr(p.x, q.x) AS r FROM e p JOIN e q ON p.vec_id = q.vec_id AND p.i < q.i GROUP BY p.i, q.i)
+SELECT a, b, {_R4("abs(r)")} AS r FROM c ORDER BY abs(c.r) DESC, a, b LIMIT 10""",
 }

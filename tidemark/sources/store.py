@@ -47,17 +47,27 @@ def append(df: DataFrame, path: str, *partitions: str) -> None:
 
 
 def publish(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """Replace a table in one step: write beside it, then rename, through the file system that holds it."""
+    """Replace a table: write beside it, set the old one aside and rename the new one into its place.
+
+    The old table is deleted only when the new one stands; if that rename fails, the old one is put back. Between
+    the two renames a reader finds no table for a moment: file systems don't swap folders.
+    """
     spark = df.sparkSession
     beside = f"{path}.{uuid.uuid4().hex}"
     df.write.format(form).save(beside)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
     fs = new.getFileSystem(conf)
-    if fs.exists(old):
-        fs.delete(old, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old.{uuid.uuid4().hex}")
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"could not set {path} aside")
     if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
         raise OSError(f"could not publish {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def evolve(*versions: DataFrame) -> DataFrame:
