@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.time import estimated_end
-from tidemark.operators import asof, backtest, coverage, evaluation, flatten, ledger, linking, markets, models, ratings, roster, trends
+from tidemark.functions import series
+from tidemark.operators import asof, backtest, coverage, evaluation, features, flatten, ledger, linking, markets, models, predict, ratings, roster, trends, views
 from tidemark.sources import pages, payloads, records, store
 
 T0 = datetime(2024, 1, 1)
@@ -211,17 +212,84 @@ def test_models(spark):
     kind, fitted = models.calibrate(scored)
     assert kind == "platt"
     steps = models.fit_isotonic(scored)
-    for smooth in (False, True):
-        out = [r[0] for r in scored.orderBy("p").select(models.interpolated(F.col("p"), steps, smooth)).collect()]
+    knots = models.fit_smooth(scored, steps)
+    for fit, smooth in ((steps, False), (knots, True)):
+        out = [r[0] for r in scored.orderBy("p").select(models.interpolated(F.col("p"), fit, smooth)).collect()]
         assert all(b >= a - 1e-9 for a, b in zip(out, out[1:])) and min(out) >= 0.005 and max(out) <= 0.995
-    assert models.choose_family({"a": [0.60, 0.61, 0.62], "b": [0.599, 0.612, 0.619]}, "a") == "a"
-    assert models.choose_family({"a": [0.60, 0.61, 0.62], "b": [0.50, 0.51, 0.52]}, "a") == "b"
     assert models.version({"a": 1, "b": 2}) == models.version({"b": 2, "a": 1})
     with pytest.raises(ValueError):
         models.check_features(rows, ["d", "gone"])
     assert "map_x" in models.check_features(rows, ["d", "map_x"]).columns
 
 
+def test_smooth_knots_are_mean_inputs_of_plateaus(spark):
+    rows = spark.createDataFrame([(0.10, 0), (0.12, 0), (0.20, 1), (0.30, 0), (0.35, 1), (0.80, 1), (0.99, 1)], "p double, y int")
+    xs, ys = models.fit_smooth(rows, models.fit_isotonic(rows))
+    assert ys == pytest.approx([0, 0.5, 1]) and xs == pytest.approx([0.11, 0.25, (0.35 + 0.8 + 0.99) / 3])
+
+
+def test_choice_of_family_is_paired_by_row(spark):
+    def scores(shift, noise):
+        base = [0.5 + 0.3 * (i % 7) for i in range(200)]
+        return spark.createDataFrame([(i, f, x + (shift + noise * (-1) ** i if f == "b" else 0)) for i, x in enumerate(base) for f in ("a", "b")], "match_id int, family string, loss double")
+
+    # the losses vary far more between rows than between families: only the paired error sees the difference
+    assert models.choose_family(scores(-0.01, 0.02), "a") == "b" and models.choose_family(scores(-0.001, 0.05), "a") == "a"
+    assert models.choose_family(scores(-0.001, 0.05), None) == "b" and models.choose_family(scores(0.01, 0.0), "gone") == "a"
+
+
+def test_rolling_scores_pool_rows_of_all_folds(spark):
+    rows = spark.range(120).select(F.col("id").alias("match_id"), (F.col("id") / 40).cast("int").alias("fold"), (F.rand(4) - 0.5).alias("d")).withColumn("y", (F.col("d") > 0).cast("int")).cache()
+    out = models.rolling_scores(rows, ["d"], ["d"]).collect()
+    assert {r.family for r in out} == {"logistic"} and sorted(r.match_id for r in out) == list(range(40, 120)) and all(r.loss >= 0 for r in out)
+
+
+def _plain_facts(spark, n):
+    made = records.synthetic_contests(spark, n, teams=6).withColumn("end_ts", estimated_end("start_ts", "best_of"))
+    rows = flatten.long_frame(made)
+    none = F.lit(None).cast("int")
+    return made, rows.withColumns({"atk_rw": F.col("rounds_won"), "atk_rl": F.col("rounds_lost"), "def_rw": F.col("rounds_won"), "def_rl": F.col("rounds_lost"), "fk": none, "fd": none, "pistols_won": F.col("won"), "pistols_played": F.lit(2), "fullbuy_n": none, "fullbuy_w": none, "lowbuy_n": none, "lowbuy_w": none, "clutch_wins": none, "multikills": none}).cache()
+
+
+def test_train_save_and_predict(spark, tmp_path):
+    made, facts = _plain_facts(spark, 160)
+    contests = made.where("team1_score <> team2_score").withColumn("y", (F.col("team1_score") > F.col("team2_score")).cast("int")).select("match_id", "start_ts", "end_ts", "team1", "team2", "map_name", "best_of", "y")
+    elo = ratings.prematch(ratings.rating_log(ratings.single_map(contests.withColumn("won", F.col("y")))))
+    maps = [f"map{i}" for i in range(5)]
+    table = features.feature_rows(facts, contests, elo, maps).cache()
+    assert table.count() == contests.count() and table.where("low_history").count() > 0
+    first = table.orderBy("start_ts").first()
+    assert (first.a_n_maps, first.b_n_maps, first.low_history, first.elo_diff, first.round_share_diff) == (0, 0, True, 0.0, 0.0)
+    names, differences = features.names_of(table)
+    assert "elo_diff" in differences and "map_map3" in names
+    usable = evaluation.chronological_split(table.na.fill(0.0, differences))
+    trained = models.train(usable, names, differences)
+    assert (trained.family, trained.calibration[0]) == ("logistic", "platt")
+    models.save(trained, str(tmp_path))
+    again = models.load(spark, str(tmp_path))
+    assert again.features == names and again.calibration[1] == pytest.approx(trained.calibration[1])
+    late = F.lit("2024-03-01").cast("timestamp_ntz")
+    upcoming = spark.createDataFrame([(9001, 1, 2, "One", "Two", 3), (9002, 3, 4, "TBD", "Four", 3), (9003, 5, 5, "Five", "Five", 5), (9004, 0, 77, "Zero", "New", 5)], "match_id long, team1 long, team2 long, team1_name string, team2_name string, best_of int").withColumn("start_ts", late)
+    out = {r.match_id: r for r in predict.predict(again, facts, upcoming, maps[:3], ratings=elo, maps=maps).collect()}
+    assert set(out) == {9001, 9004} and set(out[9001].p_by_map) == set(maps[:3])
+    assert out[9004].low_history and out[9004].b_n_maps == 0 and not out[9001].low_history
+    p = sum(out[9001].p_by_map.values()) / 3
+    assert out[9001].p_map == pytest.approx(p, abs=2e-4) and out[9001].p_series == pytest.approx(p * p * (3 - 2 * p), abs=5e-4)
+    assert sum(out[9004].p_maps_dist.values()) == pytest.approx(1) and set(out[9004].p_maps_dist) == {"3", "4", "5"}
+
+
+def test_fallbacks_views_and_unknown_games(spark):
+    new, held, before = (spark.createDataFrame(rows, "match_id int, p double") for rows in ([(1, 0.1), (2, 0.2), (3, 0.3)], [(1, 0.9)], [(1, 0.8), (2, 0.7)]))
+    assert {r.match_id: r.p for r in predict.with_fallbacks(new, held, before, ["p"]).collect()} == {1: 0.9, 2: 0.7, 3: 0.3}
+    rows = spark.createDataFrame([(1, "m", 2.5, None), (1, "m", None, T0), (1, "m", 1.5, T0 + timedelta(days=1))], "match_id int, market string, line double, start_ts timestamp_ntz")
+    assert [r.line for r in views.by_line(rows).collect()] == [None, 1.5, 2.5]
+    assert [r.line for r in views.by_start(rows).collect()] == [None, 1.5, 2.5] and [r.line for r in views.by_start(rows, True).collect()] == [1.5, None, 2.5]
+    assert [(r.section, r.line) for r in views.schedule(rows, rows).collect()] == [(0, None), (0, 1.5), (0, 2.5), (1, 1.5), (1, None), (1, 2.5)]
+    pools = [spark.createDataFrame([(x,) for x in names], "map_name string") for names in ("ab", "bc")]
+    assert {tuple(r) for r in views.pool_changes(*pools).collect()} == {("c", "joined"), ("a", "dropped")}
+    assert spark.sql("SELECT array(0.6D, NULL, 0.2D) AS p, array(CAST(NULL AS DOUBLE)) AS q").select(series.filled(F.col("p")), series.filled(F.col("q"))).first()[:] == ([0.6, 0.4, 0.2], [0.5])
+
+
 def test_walk_forward_sees_only_the_past(spark):
     rows = spark.range(120).select(F.col("id").alias("match_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("id") * 6).cast("int"))).alias("start_ts"), (F.rand(3) - 0.5).alias("d")).withColumn("end_ts", F.col("start_ts") + F.expr("INTERVAL 3 HOUR")).withColumn("y", (F.col("d") > 0).cast("int")).cache()
     out, ticks = backtest.walk_forward(rows, ["d"], ["d"], warmup=40)

@@ -23,6 +23,13 @@ def series_prob(probs: Column) -> Column:
     return F.aggregate(F.slice(win_counts(probs), need + 1, F.size(probs)), F.lit(0.0), lambda s, x: s + x)
 
 
+def filled(probs: Column) -> Column:
+    """Games whose chance is unknown get the mean of the known ones; even odds if none is known."""
+    known = F.filter(probs, lambda p: p.isNotNull())
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)).otherwise(F.lit(0.5))
+    return F.transform(probs, lambda p: F.coalesce(p, mean))
+
+
 def length_distribution(probs: Column) -> Column:
     """Map from games played to probability, the series ending when one side has won more than half.
 

@@ -7,29 +7,29 @@ independent given the family chosen before; the driver walks the few epochs and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.time import micros
 from tidemark.operators import ledger, models
-from tidemark.operators.evaluation import assign_epochs, augment_swapped, cadence_ticks
+from tidemark.operators.evaluation import assign_epochs, cadence_ticks, chronological_split
 
 
 def walk_forward(features: DataFrame, names: Sequence[str], differences: Sequence[str], label: str = "y", warmup: int = 300, **cadence: int) -> tuple[DataFrame, DataFrame]:
     """(rows, ticks): each feature row (match_id, start_ts, end_ts, label, names) with epoch and p_model; rows before
-    the first model are dropped. An epoch's model has seen only contests that ended by its tick."""
+    the first model are dropped. An epoch's model comes from ``models.train`` (menu, choice and calibration) on
+    contests that ended by its tick, the latest 15 % of them held out for validation."""
     ticks = cadence_ticks(features.select("match_id", "end_ts"), warmup, **cadence)
     moments = ticks.select("index", micros("at").alias("t")).orderBy("index").collect()
     placed = assign_epochs(features, ticks)
-    out = None
+    out = []
     for r in moments:
-        known = features.where(micros("end_ts") <= r["t"])
-        train = augment_swapped(known, differences, label)
-        model, _ = models.fit_logistic(train, known, names, label, grid=(0.1,))
-        scored = models.probability(model, placed.where(F.col("epoch") == r["index"]), "p_model")
-        out = scored if out is None else out.unionByName(scored)
-    return (out if out is not None else placed.where("false").withColumn("p_model", F.lit(None).cast("double"))), ticks
+        parts = chronological_split(features.where(micros("end_ts") <= r["t"]), train=0.85, validation=0.15)
+        trained = models.train(parts.withColumn("part", F.when(F.col("part") == "test", "validation").otherwise(F.col("part"))), names, differences, label)
+        out.append(models.calibrated(trained, placed.where(F.col("epoch") == r["index"]), "p_model"))
+    return reduce(DataFrame.unionByName, out) if out else placed.where("false").withColumn("p_model", F.lit(None).cast("double")), ticks
 
 
 def report(rows: DataFrame) -> DataFrame:

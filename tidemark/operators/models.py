@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -86,11 +88,16 @@ def fit_isotonic(rows: DataFrame, p: str = "p", label: str = "y") -> tuple[list[
     return list(model.boundaries), list(model.predictions)
 
 
-def plateau_knots(xs: Sequence[float], ys: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
-    """The middle of each level stretch of a monotone fit."""
-    x, y = np.asarray(xs, float), np.asarray(ys, float)
-    values = np.unique(y)
-    return np.array([x[y == v].mean() for v in values]), values
+def fit_smooth(rows: DataFrame, steps: tuple[list[float], list[float]], p: str = "p") -> tuple[list[float], list[float]]:
+    """Knots of the smooth reading: of each level stretch of a monotone fit, the mean input of the rows on it."""
+    xs, ys = (np.asarray(v, float) for v in steps)
+
+    @F.pandas_udf(DoubleType())
+    def level(v: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(v.to_numpy(dtype=float, na_value=np.nan), xs, ys))
+
+    knots = rows.groupBy(level(F.col(p)).alias("y")).agg(F.avg(p).alias("x")).orderBy("y").collect()
+    return [r["x"] for r in knots], [r["y"] for r in knots]
 
 
 def monotone_cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -110,10 +117,8 @@ def monotone_cubic(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def interpolated(p: Column, fitted: tuple[Sequence[float], Sequence[float]], smooth: bool = False) -> Column:
-    """Piecewise linear (or smooth) reading of a monotone fit, clipped."""
+    """Piecewise linear reading of a monotone fit, or the smooth one of its knots; clipped."""
     xs, ys = (np.asarray(v, float) for v in fitted)
-    if smooth:
-        xs, ys = plateau_knots(xs, ys)
 
     @F.pandas_udf(DoubleType())
     def read(v: pd.Series) -> pd.Series:
@@ -128,7 +133,7 @@ def calibrate(validation: DataFrame, p: str = "p", label: str = "y") -> tuple[st
     fitted = [("platt", fit_platt(validation, p, label))]
     if validation.count() >= ISOTONIC_MIN:
         steps = fit_isotonic(validation, p, label)
-        fitted += [("isotonic", steps), ("smooth", steps)]
+        fitted += [("isotonic", steps), ("smooth", fit_smooth(validation, steps, p))]
     scored = validation.select(F.col(label).alias("y"), *(apply_calibration(F.col(p), f).alias(f[0]) for f in fitted))
     losses = scored.agg(*(F.avg(log_loss(F.col(k), F.col("y"))).alias(k) for k, _ in fitted)).first()
     return min(fitted, key=lambda f: losses[f[0]])
@@ -139,45 +144,89 @@ def apply_calibration(p: Column, fitted: tuple[str, object]) -> Column:
     return platt(p, values) if kind == "platt" else interpolated(p, values, kind == "smooth")
 
 
-def choose_family(folds: dict[str, list[float]], incumbent: str | None) -> str:
-    """The family with the least mean fold loss; an incumbent goes only if beaten by more than one standard error
-    of the paired differences."""
-    best = min(folds, key=lambda k: (float(np.mean(folds[k])), k))
-    if incumbent not in folds or incumbent == best:
-        return best
-    gain = np.asarray(folds[incumbent]) - np.asarray(folds[best])
-    error = gain.std(ddof=1) / np.sqrt(len(gain)) if len(gain) > 1 else np.inf
-    return best if gain.mean() > error else incumbent
-
+def rolling_scores(rows: DataFrame, features: Sequence[str], differences: Sequence[str], label: str = "y", fold: str = "fold", key: str = "match_id") -> DataFrame:
+    """(key, fold, family, loss) of every row from fold 1 on: the loss of each family when it is trained on the folds before.
 
-def rolling_scores(rows: DataFrame, features: Sequence[str], differences: Sequence[str], label: str = "y", fold: str = "fold") -> dict[str, list[float]]:
-    """Validation loss of each family on every expanding fold; training rows come with their mirror images."""
-    out: dict[str, list[float]] = {"logistic": [], "boosted": []}
-    for k in range(1, rows.agg(F.max(fold)).first()[0] + 1):
+    Each family's whole procedure runs again on every fold (the grid picks its C anew, boosting stops anew, both by
+    the fold); training rows come with their mirror images. The driver walks the few folds.
+    """
+    parts = []
+    for k in range(1, (rows.agg(F.max(fold)).first()[0] or 0) + 1):
         past, now = rows.where(F.col(fold) < k), rows.where(F.col(fold) == k)
         train = augment_swapped(past, differences, label)
-        out["logistic"].append(fit_logistic(train, now, features, label, grid=(0.1,))[1])
-        out["boosted"].append(fit_boosted(train, now, features, label, rounds=10)[1])
-    return out
+        fitters = {"logistic": fit_logistic, "boosted": fit_boosted}
+        for family in menu(past.count()):
+            scored = probability(fitters[family](train, now, features, label)[0], now)
+            parts.append(scored.select(key, fold, F.lit(family).alias("family"), log_loss(F.col("p"), F.col(label)).alias("loss")))
+    empty = rows.where("false").select(key, fold, F.lit("").alias("family"), F.lit(0.0).alias("loss"))
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+def choose_family(scores: DataFrame, incumbent: str | None, key: str = "match_id") -> str:
+    """The family with the least mean loss over all scored rows; an incumbent goes only if it is beaten by more than one
+    standard error of the paired differences, row by row."""
+    means = {r["family"]: r["loss"] for r in scored_means(scores).collect()}
+    best = min(means, key=lambda f: (means[f], f))
+    if incumbent not in means or incumbent == best:
+        return best
+    sides = [scores.where(F.col("family") == f).select(key, F.col("loss").alias(name)) for f, name in ((incumbent, "held"), (best, "challenger"))]
+    gain = F.col("held") - F.col("challenger")
+    r = sides[0].join(sides[1], key).agg(F.avg(gain).alias("mean"), (F.stddev_samp(gain) / F.sqrt(F.count("*"))).alias("error")).first()
+    return best if r["error"] is not None and r["error"] > 0 and r["mean"] / r["error"] > 1 else incumbent
+
+
+def scored_means(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("family").agg(F.avg("loss").alias("loss"), F.count("*").alias("n"))
 
 
 def menu(n_matches: int) -> list[str]:
     return ["logistic"] + (["boosted"] if n_matches >= GBT_FROM else [])
 
 
+class Trained(NamedTuple):
+    """What serving needs: the model, its calibration, the feature names in order, and how it was chosen."""
+
+    model: PipelineModel
+    calibration: tuple[str, object]
+    features: list[str]
+    family: str
+    loss: float
+
+
+def train(rows: DataFrame, features: Sequence[str], differences: Sequence[str], label: str = "y", families: Sequence[str] | None = None) -> Trained:
+    """End to end on chronological parts (``part``: train, validation; test rows are never read): the gated menu is
+    fitted on mirrored training rows, validation picks one, and it is calibrated on validation."""
+    past, held = rows.where("part = 'train'"), rows.where("part = 'validation'")
+    mirrored = augment_swapped(past, differences, label)
+    fitters = {"logistic": fit_logistic, "boosted": fit_boosted}
+    offered = [f for f in menu(past.count()) if families is None or f in families] or ["logistic"]
+    fitted = {f: fitters[f](mirrored, held, features, label) for f in offered}
+    family = min(fitted, key=lambda f: fitted[f][1])
+    model, loss = fitted[family]
+    return Trained(model, calibrate(probability(model, held), "p", label), list(features), family, loss)
+
+
+def calibrated(trained: Trained, rows: DataFrame, out: str = "p") -> DataFrame:
+    """Rows with the calibrated probability; only map indicators may be missing from them."""
+    scored = probability(trained.model, check_features(rows, trained.features), out)
+    return scored.withColumn(out, apply_calibration(F.col(out), trained.calibration))
+
+
 def version(parameters: dict) -> str:
     """A short hash of parameters that ignores the order of keys."""
     return hashlib.sha1(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:10]
 
 
-def save(model: PipelineModel, path: str, meta: dict) -> None:
-    """The model with its feature names, in order, beside it."""
-    model.write().overwrite().save(f"{path}/model")
+def save(trained: Trained, path: str) -> None:
+    """The model with the rest beside it."""
+    trained.model.write().overwrite().save(f"{path}/model")
+    meta = trained._replace(model=None)._asdict()
     SparkSession.active().createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").write.mode("overwrite").text(f"{path}/meta")
 
 
-def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/meta").first()[0])
+def load(spark: SparkSession, path: str) -> Trained:
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    return Trained(**meta | {"model": PipelineModel.load(f"{path}/model"), "calibration": tuple(meta["calibration"])})
 
 
 def check_features(rows: DataFrame, expected: Sequence[str], fill_prefix: str = "map_") -> DataFrame:
