@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.functions.time import estimated_end
 from tidemark.functions import series
+from tidemark.functions.time import estimated_end
 from tidemark.operators import asof, backtest, coverage, evaluation, features, flatten, ledger, linking, markets, models, predict, ratings, roster, trends, views
 from tidemark.sources import pages, payloads, records, store
 
@@ -240,7 +240,7 @@ def test_choice_of_family_is_paired_by_row(spark):
 
 def test_rolling_scores_pool_rows_of_all_folds(spark):
     rows = spark.range(120).select(F.col("id").alias("match_id"), (F.col("id") / 40).cast("int").alias("fold"), (F.rand(4) - 0.5).alias("d")).withColumn("y", (F.col("d") > 0).cast("int")).cache()
-    out = models.rolling_scores(rows, ["d"], ["d"]).collect()
+    out = models.rolling_scores(rows, ["d"], ["d"], grid=(0.1, 1.0)).collect()
     assert {r.family for r in out} == {"logistic"} and sorted(r.match_id for r in out) == list(range(40, 120)) and all(r.loss >= 0 for r in out)
 
 
@@ -263,7 +263,7 @@ def test_train_save_and_predict(spark, tmp_path):
     names, differences = features.names_of(table)
     assert "elo_diff" in differences and "map_map3" in names
     usable = evaluation.chronological_split(table.na.fill(0.0, differences))
-    trained = models.train(usable, names, differences)
+    trained = models.train(usable, names, differences, grid=(0.1, 1.0))
     assert (trained.family, trained.calibration[0]) == ("logistic", "platt")
     models.save(trained, str(tmp_path))
     again = models.load(spark, str(tmp_path))
@@ -292,10 +292,10 @@ def test_fallbacks_views_and_unknown_games(spark):
 
 def test_walk_forward_sees_only_the_past(spark):
     rows = spark.range(120).select(F.col("id").alias("match_id"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("id") * 6).cast("int"))).alias("start_ts"), (F.rand(3) - 0.5).alias("d")).withColumn("end_ts", F.col("start_ts") + F.expr("INTERVAL 3 HOUR")).withColumn("y", (F.col("d") > 0).cast("int")).cache()
-    out, ticks = backtest.walk_forward(rows, ["d"], ["d"], warmup=40)
+    out, ticks = backtest.walk_forward(rows, ["d"], ["d"], warmup=40, grid=(0.1,))
     assert ticks.first().n_done >= 40 and out.count() == out.where("epoch >= 1 AND p_model BETWEEN 0 AND 1").count() > 0
     flipped = rows.withColumn("y", F.when(F.col("match_id") > 60, 1 - F.col("y")).otherwise(F.col("y")))
-    again, _ = backtest.walk_forward(flipped, ["d"], ["d"], warmup=40)
+    again, _ = backtest.walk_forward(flipped, ["d"], ["d"], warmup=40, grid=(0.1,))
     first = lambda d: sorted((r.match_id, round(r.p_model, 9)) for r in d.where("epoch = 1").collect())
     assert first(out) == first(again)
     assert backtest.leakage_check(rows, rows, ["d"]).count() == 0 and backtest.leakage_check(rows, flipped.withColumn("d", F.col("d") + 1), ["d"]).count() == 120

@@ -17,7 +17,7 @@ from tidemark.operators import ledger, models
 from tidemark.operators.evaluation import assign_epochs, cadence_ticks, chronological_split
 
 
-def walk_forward(features: DataFrame, names: Sequence[str], differences: Sequence[str], label: str = "y", warmup: int = 300, **cadence: int) -> tuple[DataFrame, DataFrame]:
+def walk_forward(features: DataFrame, names: Sequence[str], differences: Sequence[str], label: str = "y", warmup: int = 300, grid: Sequence[float] = models.C_GRID, **cadence: int) -> tuple[DataFrame, DataFrame]:
     """(rows, ticks): each feature row (match_id, start_ts, end_ts, label, names) with epoch and p_model; rows before
     the first model are dropped. An epoch's model comes from ``models.train`` (menu, choice and calibration) on
     contests that ended by its tick, the latest 15 % of them held out for validation."""
@@ -27,7 +27,7 @@ def walk_forward(features: DataFrame, names: Sequence[str], differences: Sequenc
     out = []
     for r in moments:
         parts = chronological_split(features.where(micros("end_ts") <= r["t"]), train=0.85, validation=0.15)
-        trained = models.train(parts.withColumn("part", F.when(F.col("part") == "test", "validation").otherwise(F.col("part"))), names, differences, label)
+        trained = models.train(parts.withColumn("part", F.when(F.col("part") == "test", "validation").otherwise(F.col("part"))), names, differences, label, grid=grid)
         out.append(models.calibrated(trained, placed.where(F.col("epoch") == r["index"]), "p_model"))
     return reduce(DataFrame.unionByName, out) if out else placed.where("false").withColumn("p_model", F.lit(None).cast("double")), ticks
 

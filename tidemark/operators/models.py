@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -144,7 +144,7 @@ def apply_calibration(p: Column, fitted: tuple[str, object]) -> Column:
     return platt(p, values) if kind == "platt" else interpolated(p, values, kind == "smooth")
 
 
-def rolling_scores(rows: DataFrame, features: Sequence[str], differences: Sequence[str], label: str = "y", fold: str = "fold", key: str = "match_id") -> DataFrame:
+def rolling_scores(rows: DataFrame, features: Sequence[str], differences: Sequence[str], label: str = "y", fold: str = "fold", key: str = "match_id", grid: Sequence[float] = C_GRID) -> DataFrame:
     """(key, fold, family, loss) of every row from fold 1 on: the loss of each family when it is trained on the folds before.
 
     Each family's whole procedure runs again on every fold (the grid picks its C anew, boosting stops anew, both by
@@ -154,7 +154,7 @@ def rolling_scores(rows: DataFrame, features: Sequence[str], differences: Sequen
     for k in range(1, (rows.agg(F.max(fold)).first()[0] or 0) + 1):
         past, now = rows.where(F.col(fold) < k), rows.where(F.col(fold) == k)
         train = augment_swapped(past, differences, label)
-        fitters = {"logistic": fit_logistic, "boosted": fit_boosted}
+        fitters = {"logistic": partial(fit_logistic, grid=grid), "boosted": fit_boosted}
         for family in menu(past.count()):
             scored = probability(fitters[family](train, now, features, label)[0], now)
             parts.append(scored.select(key, fold, F.lit(family).alias("family"), log_loss(F.col("p"), F.col(label)).alias("loss")))
@@ -193,12 +193,12 @@ class Trained(NamedTuple):
     loss: float
 
 
-def train(rows: DataFrame, features: Sequence[str], differences: Sequence[str], label: str = "y", families: Sequence[str] | None = None) -> Trained:
+def train(rows: DataFrame, features: Sequence[str], differences: Sequence[str], label: str = "y", families: Sequence[str] | None = None, grid: Sequence[float] = C_GRID) -> Trained:
     """End to end on chronological parts (``part``: train, validation; test rows are never read): the gated menu is
     fitted on mirrored training rows, validation picks one, and it is calibrated on validation."""
     past, held = rows.where("part = 'train'"), rows.where("part = 'validation'")
     mirrored = augment_swapped(past, differences, label)
-    fitters = {"logistic": fit_logistic, "boosted": fit_boosted}
+    fitters = {"logistic": partial(fit_logistic, grid=grid), "boosted": fit_boosted}
     offered = [f for f in menu(past.count()) if families is None or f in families] or ["logistic"]
     fitted = {f: fitters[f](mirrored, held, features, label) for f in offered}
     family = min(fitted, key=lambda f: fitted[f][1])
