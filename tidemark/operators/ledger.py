@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import BUCKET_HIGH, BUCKET_LOW, brier, log_loss, probability_bucket, right_call, wilson
 from tidemark.functions.text import is_placeholder
 from tidemark.functions.time import half_year, micros
+from tidemark.operators.evaluation import numbered
 
 FREEZE_MARGIN_S = 300
 REPORT_MIN, ACT_MIN = 30, 100
@@ -133,9 +136,16 @@ def spiegelhalter(ledger: DataFrame) -> DataFrame:
 
 
 def quantile_edges(rows: DataFrame, p: str, bins: int) -> list[float]:
-    """Distinct quantiles of ``p`` with linear interpolation: bins + 1 numbers at most."""
-    found = rows.agg(F.percentile(p, F.array(*(F.lit(i / bins) for i in range(bins + 1))))).first()[0]
-    return sorted(set(found or []))
+    """Distinct quantiles of ``p`` with linear interpolation, from the few rows at their places in the whole order."""
+    known = numbered(rows.where(F.col(p).isNotNull()).select(F.col(p).cast("double").alias("p")), ["p"])
+    place = lambda i: F.lit(i / bins) * (F.col("_n") - 1)
+    needed = F.array(*(f(place(i)) + 1 for i in range(bins + 1) for f in (F.floor, F.ceil)))
+    at = {r["_i"]: r for r in known.where(F.array_contains(needed, F.col("_i"))).collect()}
+    if not at:
+        return []
+    places = [i / bins * (next(iter(at.values()))["_n"] - 1) for i in range(bins + 1)]
+    low, high = ([at[f(x) + 1]["p"] for x in places] for f in (math.floor, math.ceil))
+    return sorted({a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, places)})
 
 
 def calibration_curve(rows: DataFrame, p: str = "p_model", y: str = "team1_won", bins: int = 10) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.functions import series
 from tidemark.functions.stats import rounded, shrunk_rate
 from tidemark.functions.time import days_between, half_year, zone_to_utc
-from tidemark.operators import asof, evaluation, flatten, pool, ratings, roster, trends
+from tidemark.operators import asof, evaluation, features, flatten, pool, ratings, roster, trends, views
 from tidemark.operators.intervals import phase_peaks
 from tidemark.sources.fixtures import contests, ended, table, with_views
 
 HALF_LIFE = 14.0
+VETO_MAPS = ("Bind", "Split", "Haven", "Lotus")
 
 
 def long_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,6 +234,32 @@ def sequence_complete(spark, sf):
     return done.select("conv_id", F.array_join("s.maps", ",", "?").alias("maps"), F.col("s.n_filled").alias("n_filled"), F.col("s.n_fallback").alias("n_fallback"), F.col("s.source").alias("source"))
 
 
+def veto_parse(spark, sf):
+    """Vetoes spelled from order keys: bans, picks in other cases, and what remains."""
+    names = F.array(*map(F.lit, VETO_MAPS))
+    at = lambda k: F.get(names, ((F.col("o_orderkey") + k) % 4).cast("int"))
+    bans = F.concat(F.lit("A ban "), at(0), F.lit("; B ban "), at(1))
+    full = F.concat(bans, F.lit(";  A pick "), F.lower(at(2)), F.lit(" ; B pick "), F.upper(at(3)), F.lit("; "), at(0), F.lit(" remains"))
+    veto = F.when(F.col("o_orderkey") % 5 == 0, F.lit(None)).when(F.col("o_orderkey") % 7 == 0, bans).otherwise(full)
+    parsed = series.parse_veto(veto, names)
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(parsed, ",").alias("maps"))
+
+
+def schedule(spark, sf):
+    rows = contests(spark, sf).select("match_id", "start_ts")
+    cut = moment(NOW)
+    out = views.schedule(rows.where(F.col("start_ts") >= cut), rows.where(F.col("start_ts") < cut))
+    return out.select("match_id", "section", "position")
+
+
+def feature_rows(spark, sf):
+    """Differences, prior maps and the low-history mark of every contest; one statistic of each kind is shown."""
+    none = F.lit(None).cast("int")
+    rows = long_rows(spark, sf).withColumns({c: none for c in ("atk_rw", "atk_rl", "def_rw", "def_rl", "fk", "fd", "fullbuy_n", "fullbuy_w", "lowbuy_n", "lowbuy_w", "clutch_wins", "multikills")} | {"pistols_won": F.col("won"), "pistols_played": F.lit(2)})
+    out = features.feature_rows(rows, contests(spark, sf).select("match_id", "start_ts", "team1", "team2", "map_name"), maps=("click", "view"))
+    return out.select("match_id", rounded(F.col("round_share_diff"), 3).alias("round_share_diff"), rounded(F.col("rest_days_diff"), 3).alias("rest_days_diff"), "a_n_maps", "b_n_maps", "low_history", F.col("map_click").cast("int").alias("map_click"))
+
+
 def chrono_split(spark, sf):
     return evaluation.chronological_split(contests(spark, sf)).select("match_id", "part")
 
@@ -279,7 +306,7 @@ def vif(spark, sf):
     return evaluation.vif(*_coordinates(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (trends_all, trends_current, trends_scoped, long_frame, match_lite, match_table, pool_table, pool_top, pool_fallback, asof_counts, asof_decayed, asof_shrunk, asof_priors, asof_by_map, rest_days, roster_weighted, snapshot, elo_prematch, elo_tuned_k, elo_trajectory, elo_at_cutoff, core_roster, membership, series_dp, maps_dist, sequence_complete, chrono_split, folds, augment, tz_shift, periods, phase_peak, cadence, corr_topk, vif)}
+QUERIES = {f.__name__: f for f in (trends_all, trends_current, trends_scoped, long_frame, match_lite, match_table, pool_table, pool_top, pool_fallback, asof_counts, asof_decayed, asof_shrunk, asof_priors, asof_by_map, rest_days, roster_weighted, snapshot, elo_prematch, elo_tuned_k, elo_trajectory, elo_at_cutoff, core_roster, membership, series_dp, maps_dist, sequence_complete, veto_parse, schedule, feature_rows, chrono_split, folds, augment, tz_shift, periods, phase_peak, cadence, corr_topk, vif)}
 
 #: Looks and results in order of time, with teams and maps numbered from 1.
 _EVENTS_SQL = """games AS (
@@ -373,6 +400,17 @@ SELECT p.probe_id, p.team, {_R4("ln(1 + coalesce(ext.n, 0)::DOUBLE)")} AS ext, {
     "sequence_complete": """WITH t AS (SELECT conv_id, list(role ORDER BY turn, role) AS played FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, played, len(played) AS n, conv_id % 2 = 0 AS fits FROM t)
 SELECT conv_id, array_to_string(CASE WHEN fits THEN list_concat(played, ['decider', 'decider']) ELSE list_concat(played, ['?', '?']) END, ',') AS maps,
        CASE WHEN fits THEN 2 ELSE 0 END AS n_filled, CASE WHEN fits THEN 0 ELSE 2 END AS n_fallback, CASE WHEN fits THEN 'veto' ELSE 'fallback' END AS source FROM s""",
+    "veto_parse": """WITH t AS (SELECT o_orderkey, ['Bind', 'Split', 'Haven', 'Lotus'] AS m FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN m[(o_orderkey + 2) % 4 + 1] || ',' || m[(o_orderkey + 3) % 4 + 1] || ',' || m[o_orderkey % 4 + 1] END AS maps FROM t""",
+    "schedule": f"""{with_views("contests")} SELECT match_id, CASE WHEN start_ts >= TIMESTAMP '2024-01-31' THEN 0 ELSE 1 END AS section,
+       CASE WHEN start_ts >= TIMESTAMP '2024-01-31' THEN epoch_us(start_ts) ELSE -epoch_us(start_ts) END AS position FROM contests""",
+    "feature_rows": f"""{with_views("long")}, form AS (
+  SELECT c.match_id, t.team, count(f.match_id) AS n, coalesce(least((epoch_us(c.start_ts) - epoch_us(max(f.start_ts))) / 86400000000.0::DOUBLE, 30), 30) AS rest,
+         (coalesce(sum(pow(0.5, (epoch_us(c.start_ts) - epoch_us(f.start_ts)) / 86400000000.0::DOUBLE / 90) * f.rounds_won), 0) + 30)
+         / (coalesce(sum(pow(0.5, (epoch_us(c.start_ts) - epoch_us(f.start_ts)) / 86400000000.0::DOUBLE / 90) * (f.rounds_won + f.rounds_lost)), 0) + 60) AS share
+  FROM contests c, LATERAL (SELECT unnest([c.team1, c.team2]) AS team) t LEFT JOIN long f ON f.team = t.team AND f.end_ts <= c.start_ts GROUP BY c.match_id, c.start_ts, t.team)
+SELECT c.match_id, {_R3("a.share - b.share")} AS round_share_diff, {_R3("ln(1 + a.rest) - ln(1 + b.rest)")} AS rest_days_diff, a.n AS a_n_maps, b.n AS b_n_maps, least(a.n, b.n) < 3 AS low_history, CAST(c.map_name = 'click' AS INT) AS map_click
+FROM contests c JOIN form a ON a.match_id = c.match_id AND a.team = c.team1 JOIN form b ON b.match_id = c.match_id AND b.team = c.team2""",
     "chrono_split": f"{with_views('contests')}, r AS (SELECT match_id, row_number() OVER (ORDER BY start_ts, match_id) AS i, count(*) OVER () AS n FROM contests) SELECT match_id, CASE WHEN i <= floor(n * 0.70::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.85::DOUBLE) THEN 'validation' ELSE 'test' END AS part FROM r",
     "folds": f"{with_views('contests')}, r AS (SELECT match_id, row_number() OVER (ORDER BY start_ts, match_id) AS i, count(*) OVER () AS n FROM contests) SELECT match_id, " + " + ".join(f"CAST(i > round_even(n * {0.5 + 0.5 * k / 5}::DOUBLE, 0) AS INT)" for k in range(5)) + " AS fold FROM r",
     "augment": f"{with_views('contests')} SELECT match_id, team1_score - team2_score AS score_diff, CAST(team1_score > team2_score AS INT) AS y, best_of FROM contests UNION ALL SELECT match_id, team2_score - team1_score, 1 - CAST(team1_score > team2_score AS INT), best_of FROM contests",
