@@ -111,6 +111,16 @@ def test_core_roster_takes_five_then_drops_empty(spark):
     assert got.core == ["a", "d", "x", "y"] and got.core_absent == pytest.approx(2 / 5) and got.newface == 0.0 and got.stability == pytest.approx((2 + 2) / 2 / 5)
 
 
+def test_roster_states_equal_the_core_roster_of_each_moment(spark):
+    lines = [["a", "b"], ["a", "c"], [], ["d", "a"], [], ["a", "d"], ["x", "y", "z"], ["x", "a"], None]
+    df = spark.createDataFrame([("t", i, T0 + timedelta(days=i), T0 + timedelta(days=i), x) for i, x in enumerate(lines)] + [("u", 99, T0, T0, [])], "team string, match_id long, start_ts timestamp_ntz, end_ts timestamp_ntz, lineup array<string>").cache()
+    states = {(r.team, r.match_id): r.roster for r in roster.roster_states(df).collect()}
+    assert states["u", 99] is None
+    for i in range(len(lines)):
+        want = roster.core_roster(df.where(F.col("match_id") <= i).where("team = 't'")).first()
+        assert tuple(states["t", i]) == pytest.approx((want.stability, want.core_absent, want.newface))
+
+
 CAPS = "match_id long, seq int, captured_at timestamp_ntz, source string, capture_kind string, market string, line double, price_home double, price_away double, book_home_is_team1 boolean"
 LED = "match_id long, p_model double, graded boolean, team1_won int, maps_played int, p_maps_dist map<string,double>, event string, start_ts timestamp_ntz"
 
@@ -248,7 +258,7 @@ def _plain_facts(spark, n):
     made = records.synthetic_contests(spark, n, teams=6).withColumn("end_ts", estimated_end("start_ts", "best_of"))
     rows = flatten.long_frame(made)
     none = F.lit(None).cast("int")
-    return made, rows.withColumns({"atk_rw": F.col("rounds_won"), "atk_rl": F.col("rounds_lost"), "def_rw": F.col("rounds_won"), "def_rl": F.col("rounds_lost"), "fk": none, "fd": none, "pistols_won": F.col("won"), "pistols_played": F.lit(2), "fullbuy_n": none, "fullbuy_w": none, "lowbuy_n": none, "lowbuy_w": none, "clutch_wins": none, "multikills": none}).cache()
+    return made, rows.withColumns({"atk_rw": F.col("rounds_won"), "atk_rl": F.col("rounds_lost"), "def_rw": F.col("rounds_won"), "def_rl": F.col("rounds_lost"), "fk": none, "fd": none, "pistols_won": F.col("won"), "pistols_played": F.lit(2), "fullbuy_n": none, "fullbuy_w": none, "lowbuy_n": none, "lowbuy_w": none, "clutch_wins": none, "multikills": none, "lineup": F.array(F.concat(F.lit("p"), F.pmod("match_id", F.lit(3)).cast("string")), F.col("team").cast("string"))}).cache()
 
 
 def test_train_save_and_predict(spark, tmp_path):
@@ -261,7 +271,7 @@ def test_train_save_and_predict(spark, tmp_path):
     first = table.orderBy("start_ts").first()
     assert (first.a_n_maps, first.b_n_maps, first.low_history, first.elo_diff, first.round_share_diff) == (0, 0, True, 0.0, 0.0)
     names, differences = features.names_of(table)
-    assert "elo_diff" in differences and "map_map3" in names
+    assert "elo_diff" in differences and "newface_diff" in differences and "map_map3" in names
     usable = evaluation.chronological_split(table.na.fill(0.0, differences))
     trained = models.train(usable, names, differences, grid=(0.1, 1.0))
     assert (trained.family, trained.calibration[0]) == ("logistic", "platt")

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The statements of a veto that name a map.
+REMAINS = r"(?i)^([A-Za-z'’ ]+?)\s+remains?$"
+PICKED = r"(?i)\bpick\s+([A-Za-z'’ ]+?)\s*$"
+
+
 def win_counts(probs: Column) -> Column:
     """Probabilities of 0, 1, ... n wins when all n games are played."""
 
@@ -67,12 +72,11 @@ def parse_veto(veto: Column, known: Column) -> Column:
     Only the last statement of what remains counts.
     """
     steps = F.filter(F.transform(F.split(F.coalesce(veto, F.lit("")), ";"), lambda s: F.trim(s)), lambda s: s != "")
-    left_pattern, pick_pattern = r"(?i)^([A-Za-z'’ ]+?)\s+remains?$", r"(?i)\bpick\s+([A-Za-z'’ ]+?)\s*$"
     spelled = lambda name: F.coalesce(F.get(F.filter(known, lambda k: F.lower(k) == F.lower(name)), F.lit(0)), name)
-    rests = F.filter(steps, lambda s: s.rlike(left_pattern))
-    picks = F.filter(steps, lambda s: ~s.rlike(left_pattern) & s.rlike(pick_pattern))
-    chosen = F.transform(picks, lambda s: spelled(F.trim(F.regexp_extract(s, pick_pattern, 1))))
-    last = F.transform(F.slice(rests, -1, 1), lambda s: spelled(F.trim(F.regexp_extract(s, left_pattern, 1))))
+    rests = F.filter(steps, lambda s: s.rlike(REMAINS))
+    picks = F.filter(steps, lambda s: ~s.rlike(REMAINS) & s.rlike(PICKED))
+    chosen = F.transform(picks, lambda s: spelled(F.trim(F.regexp_extract(s, PICKED, 1))))
+    last = F.transform(F.slice(rests, -1, 1), lambda s: spelled(F.trim(F.regexp_extract(s, REMAINS, 1))))
     every = F.concat(chosen, F.when(F.size(rests) > 0, last).otherwise(F.array().cast("array<string>")))
     return F.when(F.size(every) > 0, every)
 
