@@ -82,12 +82,13 @@ def _blocks(name: str) -> Column:
 
 def fuzzy_links(fixtures: DataFrame, predictions: DataFrame, threshold: float = 0.75, margin: float = 0.05) -> DataFrame:
     """The best prediction of each fixture by the weaker of its two name similarities, and whether a runner-up
-    is nearly as good. Candidates share a block key of the home name with either team: no pair is formed
-    without one.
+    is nearly as good. Candidates share a block key of the home name with either team, and of the away name with the
+    other one: no pair is formed without the first or scored without both.
     """
-    home = fixtures.select("fixture_id", "book_home", "book_away", F.explode(_blocks("book_home")).alias("_key"))
-    sides = predictions.select("match_id", "team1_name", "team2_name", F.explode(F.array_distinct(F.concat(_blocks("team1_name"), _blocks("team2_name")))).alias("_key"))
-    pairs = home.join(sides, "_key").select("fixture_id", "book_home", "book_away", "match_id", "team1_name", "team2_name").distinct()
+    home = fixtures.select("fixture_id", "book_home", "book_away", _blocks("book_home").alias("_h"), _blocks("book_away").alias("_a")).withColumn("_key", F.explode("_h"))
+    sides = predictions.select("match_id", "team1_name", "team2_name", _blocks("team1_name").alias("_1"), _blocks("team2_name").alias("_2")).withColumn("_key", F.explode(F.array_distinct(F.concat("_1", "_2"))))
+    meet = lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(True))
+    pairs = home.join(sides, "_key").where((meet("_h", "_1") & meet("_a", "_2")) | (meet("_h", "_2") & meet("_a", "_1"))).select("fixture_id", "book_home", "book_away", "match_id", "team1_name", "team2_name").distinct()
     scored = pairs.withColumn("_s", F.least(similarity("book_home", "team1_name"), similarity("book_away", "team2_name"))).withColumn("_f", F.least(similarity("book_home", "team2_name"), similarity("book_away", "team1_name")))
     scored = scored.withColumn("score", F.greatest("_s", "_f")).withColumn("book_home_is_team1", F.col("_s") >= F.col("_f"))
     order = W.partitionBy("fixture_id").orderBy(F.desc("score"), "match_id")
