@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "quality", "mixing", "neighbours", "packing", "pii", "rules", "near_dedup", "chat", "sharding", "whitening", "fill_middle")
+MODULES = ("url_filter", "quality", "mixing", "neighbours", "packing", "pii", "rules", "near_dedup", "chat", "sharding", "whitening", "html_text", "fill_middle")
 
 
 def collect() -> tuple[dict, dict]:
