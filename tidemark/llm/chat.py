@@ -2,7 +2,9 @@
 
 A record is a JSON text of any layout, or a struct. Layouts are declared: those of a layout's nested field paths that
 a record has hash to a fingerprint, and where it equals the layout's own, its mapping to canonical turns (role,
-text) applies; fields that no layout names don't matter. Turns are written with a template that marks each turn and escapes control strings inside texts, so the text
+text) applies; fields that no layout names don't matter. A struct has the paths of its schema as far as the structs and
+arrays around a field are there; where its schema holds several layouts, a null field is absent, except for the last of
+these layouts, which takes nulls for empty texts. Turns are written with a template that marks each turn and escapes control strings inside texts, so the text
 read back from the output equals the input.
 
 Defined results: null text and null role are empty strings; a record whose fingerprint is unknown,
@@ -83,9 +85,15 @@ def _present(record: str, path: str) -> str:
     return f"({items} IS NOT NULL AND (size({items}) = 0 OR exists({items}, m -> try_variant_get(m,'$.{leaf}','variant') IS NOT NULL)))"
 
 
-def fingerprint(record: str, paths: tuple[str, ...]) -> Column:
-    """Hash of those of ``paths`` that the variant column ``record`` has."""
-    return F.xxhash64(F.concat_ws("\n", *(F.when(F.expr(_present(record, p)), F.lit(p)) for p in paths)))
+def _held(record: str, path: str, null_is_empty: bool) -> str:
+    """SQL: the struct ``record``, whose schema has ``path``, has it too."""
+    field, nested, _ = path.partition("[].")
+    return f"{record} IS NOT NULL" if null_is_empty and not nested else f"{record}.{field} IS NOT NULL"
+
+
+def fingerprint(paths: tuple[str, ...], present: Callable[[str], str]) -> Column:
+    """Hash of those of ``paths`` for which ``present`` gives true SQL."""
+    return F.xxhash64(F.concat_ws("\n", *(F.when(F.expr(present(p)), F.lit(p)) for p in paths)))
 
 
 def _leaf_paths(kind: DataType, at: str = "") -> list[str]:
@@ -96,43 +104,39 @@ def _leaf_paths(kind: DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def _typed_turns(df: DataFrame, record: str, paths: list[str], layouts: tuple[Layout, ...]) -> DataFrame:
-    """The same for structs, whose schema is known beforehand and whose columns are read as they are."""
-    there = F.col(record).isNotNull()
-    for x in layouts:
-        if set(x.paths) <= set(paths):
-            name = f"`{record}`"
-            system = f"CAST({name}.system AS STRING)" if "system" in paths else "CAST(NULL AS STRING)"
-            items = lambda f, role, text: f"transform({name}.{f}, m -> named_struct('{role}',CAST(m.{role} AS STRING),'{text}',CAST(m.{text} AS STRING)))"
-            turns = F.expr(_mapped(x, lambda f: f"CAST({name}.{f} AS STRING)", items, system))
-            return df.withColumns({"layout": F.when(there & turns.isNotNull(), F.lit(x.name)), "turns": F.when(there, turns)})
-    return df.withColumns({"layout": F.lit(None).cast("string"), "turns": F.lit(None).cast(TURNS)})
-
-
 def canonical_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Add ``layout`` and ``turns`` to each record; input columns of these names are replaced."""
     df = df.select(*(c for c in df.columns if c == record or c.lower() not in ("layout", "turns")))
     kind = df.schema[record].dataType
-    if isinstance(kind, StructType):
-        return _typed_turns(df, record, _leaf_paths(kind), layouts)
     r = unused([*df.columns, "layout", "turns"], "parsed")
-    parsed = df.withColumn(r, F.try_parse_json(record))
-    text = lambda f: f"try_variant_get({r},'$.{f}','string')"
-    items = lambda f, role, said: f"try_variant_get({r},'$.{f}','array<struct<{role}:string,{said}:string>>')"
+    if isinstance(kind, StructType):
+        # structs are not parsed: their columns are read as they are
+        paths, parsed = _leaf_paths(kind), df.withColumn(r, F.col(record))
+        layouts = tuple(x for x in layouts if set(x.paths) <= set(paths))
+        text = lambda f: f"CAST({r}.{f} AS STRING)"
+        items = lambda f, role, said: f"transform({r}.{f}, m -> named_struct('{role}',CAST(m.{role} AS STRING),'{said}',CAST(m.{said} AS STRING)))"
+        system = text("system") if "system" in paths else "CAST(NULL AS STRING)"
+        present = lambda x: lambda p: _held(r, p, x is layouts[-1])
+    else:
+        parsed = df.withColumn(r, F.try_parse_json(record))
+        text = lambda f: f"try_variant_get({r},'$.{f}','string')"
+        items = lambda f, role, said: f"try_variant_get({r},'$.{f}','array<struct<{role}:string,{said}:string>>')"
+        system = text("system")
+        present = lambda x: lambda p: _present(r, p)
     chosen, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in reversed(layouts):
         # the fingerprint of a layout is a constant that the optimizer folds
-        fits = fingerprint(r, x.paths) == F.xxhash64(F.lit(x.fingerprint_text))
-        made = F.expr(_mapped(x, text, items, text("system")))
+        fits = fingerprint(x.paths, present(x)) == F.xxhash64(F.lit(x.fingerprint_text))
+        made = F.expr(_mapped(x, text, items, system))
         chosen = F.when(fits & made.isNotNull(), F.lit(x.name)).when(fits, F.lit(None)).otherwise(chosen)
         turns = F.when(fits, made).otherwise(turns)
     return parsed.withColumns({"layout": chosen, "turns": turns}).drop(r)
 
 
 def turn_rows(mapped: DataFrame, *keys: str) -> DataFrame:
-    """One row per turn; a record without turns is one turn of empty role and text."""
-    rows = mapped.select(*keys, F.inline_outer("turns"))
-    return rows.select(*keys, *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
+    """One row per turn, with its position in the record; a record without turns is one turn of empty role and text."""
+    rows = mapped.select(*keys, F.posexplode_outer("turns").alias("position", "said"))
+    return rows.select(*keys, F.coalesce("position", F.lit(0)).alias("position"), *(F.coalesce(f"said.{c}", F.lit("")).alias(c) for c in ("role", "text")))
 
 
 def escape(text: Column) -> Column:
@@ -155,15 +159,15 @@ def format_turns(rows: DataFrame, conversation: str, order: list[str], trained_r
     """One row per conversation from one row per turn (role, text): ``formatted``, and ``loss`` with the
     [start, end) code points of the text under the loss mask, per turn; null where a turn is not trained on.
     """
-    body = escape(F.coalesce("text", F.lit("")))
-    head = F.concat(F.lit(OPEN), _role(F.coalesce("role", F.lit(""))), F.lit("\n"))
-    pieces = rows.select(conversation, *order, F.coalesce("role", F.lit("")).alias("_role"), head.alias("_head"), body.alias("_body"))
-    piece = F.concat("_head", "_body", F.lit(CLOSE))
-    by = W.partitionBy(conversation).orderBy(*order, "_role", "_body").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("_head") + F.length("_body") + len(CLOSE)).over(by), F.lit(0))
-    at = F.col("_at") + F.length("_head")
-    loss = F.when(F.col("_role") == trained_role, F.struct(at.alias("start"), (at + F.length("_body")).alias("end")))
-    placed = pieces.withColumn("_at", start).select(conversation, F.struct("_at", piece.alias("piece"), loss.alias("loss")).alias("t"))
+    plain = rows.select(conversation, *order, F.coalesce("role", F.lit("")).alias("_role"), F.coalesce("text", F.lit("")).alias("_text"))
+    head, body = F.concat(F.lit(OPEN), _role(F.col("_role")), F.lit("\n")), escape(F.col("_text"))
+    # plain texts decide between turns of equal order; only the lengths of what is written are summed
+    by = W.partitionBy(conversation).orderBy(*order, "_role", "_text").rowsBetween(W.unboundedPreceding, -1)
+    sized = plain.withColumn("_size", F.length(head) + F.length(body) + len(CLOSE))
+    begun = sized.withColumn("_at", F.coalesce(F.sum("_size").over(by), F.lit(0)))
+    at = F.col("_at") + F.length(head)
+    loss = F.when(F.col("_role") == trained_role, F.struct(at.alias("start"), (at + F.length(body)).alias("end")))
+    placed = begun.select(conversation, F.struct("_at", F.concat(head, body, F.lit(CLOSE)).alias("piece"), loss.alias("loss")).alias("t"))
     whole = placed.groupBy(conversation).agg(F.sort_array(F.collect_list("t")).alias("ts"))
     return whole.select(conversation, F.array_join("ts.piece", "").alias("formatted"), F.col("ts.loss").alias("loss"))
 
@@ -181,13 +185,21 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("_pieces", pieces).withColumn("turns", parsed).withColumn("loss_text", unescape(F.array_join(under, ""))).drop("_pieces")
 
 
-def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's rows, each a record of one turn, and conversation -1, one record with a list of messages."""
     said = "</s>[INST] ok [/INST]"
-    own = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{said}' AS text UNION ALL SELECT -1L, 1L, 'assistant', '{said}'")
-    records = rows.unionByName(own).select("conv_id", "turn", F.struct("role", "text").alias("record"))
+    list_of = "array<struct<role:string,content:string>>"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("role", "text", F.lit(None).cast(list_of).alias("messages")).alias("record"))
+    own = spark.sql(f"""SELECT -1L AS conv_id, 0L AS turn, named_struct('role', CAST(NULL AS STRING), 'text', CAST(NULL AS STRING),
+        'messages', array(named_struct('role', 'user', 'content', '{said}'), named_struct('role', 'assistant', 'content', '{said}'))) AS record""")
+    return rows.unionByName(own)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # dealt by conversation before the layouts are told apart: all that follows stays in place
+    records = conversation_records(spark, sf_dir).repartition("conv_id")
     turns = turn_rows(canonical_turns(records, "record"), "conv_id", "turn")
-    back = read_back(format_turns(turns, "conv_id", ["turn"]))
+    back = read_back(format_turns(turns, "conv_id", ["turn", "position"]))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
