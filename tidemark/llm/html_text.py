@@ -331,19 +331,38 @@ def main_text(page: Page, found: list[tuple[int, int]]) -> tuple[str, int, int]:
     return " ".join(kept), repeated, marked
 
 
+def squeezed(known: DataFrame) -> DataFrame:
+    """``known`` with html compressed (null for null) and its size, for the shuffle that brings pages and repeats together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            html = [x.as_py() for x in batch.column(4)]
+            packed = [None if x is None else codec.compress(x, asbytes=True) for x in html]
+            sizes = [None if x is None else len(x) for x in html]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())], ["u", "v", "page_id", "url", "html", "size"])
+
+    return known.select("u", "v", "page_id", "url", F.col("html").cast("binary")).mapInArrow(run, "u long, v long, page_id long, url string, html binary, size long")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row for each page, as in ``RESULT``."""
     known = _identified(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+
+        def plain(packed: bytes | None, size: int | None) -> str:
+            return codec.decompress(packed, size, asbytes=True).decode("utf-8", "replace") if size else ""
+
         for batch in batches:
-            ids, urls, html, found = batch.columns
-            made = [main_text(parse(h.as_py() or ""), [(x["place"], x["n"]) for x in f.as_py() or ()]) for h, f in zip(html, found)]
+            ids, urls, html, bytes_, found = batch.columns
+            made = [main_text(parse(plain(h.as_py(), n.as_py())), [(x["place"], x["n"]) for x in f.as_py() or ()]) for h, n, f in zip(html, bytes_, found)]
             text, repeated, marked = zip(*made) if made else ((), (), ())
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(text, pa.string()), pa.array(map(len, text), pa.int64()), pa.array(repeated, pa.int64()), pa.array(marked, pa.int64())], [c.split()[0] for c in RESULT.split(", ")])
 
-    told = known.join(repeats(known), ["u", "v"], "left")
-    return told.select("page_id", "url", "html", "found").mapInArrow(run, RESULT)
+    told = squeezed(known).join(repeats(known), ["u", "v"], "left")
+    return told.select("page_id", "url", "html", "size", "found").mapInArrow(run, RESULT)
 
 
 def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
