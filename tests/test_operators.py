@@ -75,6 +75,13 @@ def test_ratings_equal_a_plain_replay(spark):
     for k, (a, b, maps) in want.items():
         assert (got[k].rating, got[k].opp_rating) == pytest.approx((a, b)) and [x.map_name for x in got[k].maps] == [n for n, _, _ in maps]
         assert [(x.rating, x.opp_rating) for x in got[k].maps] == [pytest.approx(x[1:]) for x in maps]
+    # split into stretches of a few contests, the log is the same bit for bit
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(ratings.rating_log(rows, (32, 64), stretch=7)) == plain(log)
+    placed = ratings.in_stretches(ratings.events(rows), 7)
+    sizes = [r["count"] for r in placed.groupBy("stretch").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 60 and placed.groupBy("at").agg(F.countDistinct("stretch").alias("n")).where("n > 1").isEmpty()
+    assert ratings.rating_log(rows.limit(0)).count() == 0
     last = ratings.trajectory(log.where("k = 64"), 3).where("step = 1").count()
     assert last == rows.select("team1").union(rows.select("team2")).distinct().count()
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. A session that runs on this machine alone may leave it unset and then
+    uses its warehouse; on a cluster there is no folder known to be shared, and that is an error."""
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-scratch"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint in spark.checkpoint.dir, or under the warehouse where that is unset."""
+    """``df`` as a reliable checkpoint in the shared folder, which is entered as the context's own where it has none."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
