@@ -1,5 +1,8 @@
 import heapq
+import random
+import re
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import series
 from tidemark.functions.time import estimated_end
-from tidemark.operators import asof, backtest, coverage, evaluation, features, flatten, ledger, linking, markets, models, predict, ratings, roster, trends, views
+from tidemark.operators import asof, backtest, coverage, evaluation, features, flatten, ledger, linking, markets, models, namejoin, predict, ratings, roster, trends, views
 from tidemark.sources import pages, payloads, records, store
 
 T0 = datetime(2024, 1, 1)
@@ -159,12 +162,85 @@ def test_linking(spark):
     assert got == {1: (10, True, "exact"), 2: (10, False, "exact"), 3: (10, True, "alias"), 4: (None, None, None), 5: (None, None, None)}
 
 
-def test_fuzzy_blocks_lose_no_pair(spark):
-    names = ["Team Liquid", "Liquid", "ab", "axb", "RRQ", "Rex Regum Qeon", "G2", "G2 Academy", "Sentinels", "Sentinel", "Cloud9", "abc", "a b c", "Evil Geniuses", "EG"]
-    fixtures = spark.createDataFrame([(i, a, "Same") for i, a in enumerate(names)], "fixture_id long, book_home string, book_away string")
-    predictions = spark.createDataFrame([(i, a, "Same") for i, a in enumerate(names)], "match_id long, team1_name string, team2_name string")
-    got = {(r.fixture_id, r.match_id) for r in linking.fuzzy_links(fixtures, predictions).collect()}
-    assert {(i, i) for i in range(len(names))} - got <= {(1, 1), (5, 5)} and len(got) == len(names)
+GENERIC_WORDS = {"esports", "esport", "gaming", "team", "club", "org", "the", "fc", "gg", "e", "sports"}
+GUARDED = {"academy", "gc", "female", "fe", "youth", "black", "white", "red", "blue"}
+
+
+def plain_similarity(a, b):
+    """The ladder for one pair, in Python."""
+    raw = [[t for t in re.split("[^a-z0-9]+", x.lower()) if t] for x in (a, b)]
+    (ra, rb), (ca, cb) = raw, [[t for t in r if t not in GENERIC_WORDS] or r for r in raw]
+    first = lambda r: "".join(t[0] for t in r)
+    if not ca or not cb or (GUARDED & set(ra)) != (GUARDED & set(rb)):
+        return 0.0
+    if ca == cb:
+        return 1.0
+    if set(ca) <= set(cb) or set(cb) <= set(ca):
+        return 0.92
+    if (len(ca) == 1 and ca[0] in (first(rb), first(cb))) or (len(cb) == 1 and cb[0] in (first(ra), first(ca))):
+        return 0.9
+    return SequenceMatcher(None, " ".join(ca), " ".join(cb)).ratio()
+
+
+def plain_links(fixtures, predictions, threshold=0.75, margin=0.05):
+    out = {}
+    for f, h, a in fixtures:
+        scored = sorted((-max(min(plain_similarity(h, x), plain_similarity(a, y)), min(plain_similarity(h, y), plain_similarity(a, x))), m) for m, x, y in predictions)
+        if scored and -scored[0][0] >= threshold:
+            near = len(scored) > 1 and -scored[1][0] >= threshold and scored[1][0] - scored[0][0] < margin
+            out[f] = (scored[0][1], pytest.approx(-scored[0][0]), scored[1][1] if near else None)
+    return out
+
+
+def misspelt(names, n, seed):
+    rng = random.Random(seed)
+    for _ in range(n):
+        x = list(rng.choice(names))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(x) + 1)
+            x[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "z", "0", " ", "mo"])
+        yield "".join(x)
+
+
+ODD_NAMES = ["Team Liquid", "Liquid", "ab", "axb", "RRQ", "Rex Regum Qeon", "G2", "G2 Academy", "Academy G2", "Sentinels", "Sentinel", "Cloud9", "abc", "a b c", "Evil Geniuses", "EG", "Team", "the gg", "", "!!", "Straße", "STRASSE", "a", "b", "x" * 300, "x" * 250 + "y" * 50, "abcdefgh", "a1b2c3d4efgh"]
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.75, 0.9])
+def test_similarity_join_loses_no_pair_and_meets_few(spark, threshold):
+    rng = random.Random(7)
+    made = lambda: " ".join("".join(rng.choice("ka ri to ne zu mo la shi ber gar ton ex ul".split()) for _ in range(rng.randint(2, 4))) for _ in range(rng.randint(1, 2)))
+    right = sorted({made() for _ in range(150)} | set(ODD_NAMES))
+    left = sorted(set(misspelt(right, 150, 3)) | set(ODD_NAMES))
+    rows = spark.createDataFrame([(x, threshold) for x in left] + [(None, threshold), (left[3], 0.99)], "name string, least double"), spark.createDataFrame([(x,) for x in right] + [(None,), (right[3],)], "name string")
+    got = {(r.a, r.b): r.s for r in namejoin.similar(*rows).collect()}
+    plain = lambda x: x.replace("ß", "ss")
+    want = {(a, b): s for a in left for b in right if (s := plain_similarity(plain(a), plain(b))) >= threshold}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    if threshold >= 0.75:
+        assert namejoin.candidates(rows[0].where("name IS NOT NULL"), rows[1]).count() < 0.05 * len(left) * len(right)
+    assert namejoin.similar(rows[0].limit(0), rows[1]).count() == namejoin.similar(rows[0], rows[1].limit(0)).count() == 0
+
+
+def test_fuzzy_links_equal_all_pairs(spark):
+    fixtures = [(i, x, y) for i, (x, y) in enumerate(zip(ODD_NAMES, reversed(ODD_NAMES)))] + [(100 + i, "Titan", x) for i, x in enumerate(ODD_NAMES[:6])] + [(200, "Cloud9", "G2"), (201, "Titan", "Alpha")]
+    predictions = [(i, x, y) for i, (x, y) in enumerate(zip(ODD_NAMES, reversed(ODD_NAMES)))] + [(50 + i, x, "Wuxi Titan Esports Club") for i, x in enumerate(ODD_NAMES[:6])] + [(300, "G2 Esports", "Cloud9"), (299, "G2 Esports", "Cloud9"), (301, "Titan Esports", "Alpha"), (302, "Titan Gaming", "Alpha")]
+    schema = "{} long, {} string, {} string"
+    f, p = spark.createDataFrame([*fixtures, (400, None, "x")], schema.format("fixture_id", "book_home", "book_away")), spark.createDataFrame([*predictions, (400, None, "x")], schema.format("match_id", "team1_name", "team2_name"))
+    got = {r.fixture_id: (r.match_id, r.score, r.ambiguous_with) for r in linking.fuzzy_links(f, p).collect()}
+    plain = lambda rows: [(i, x.replace("ß", "ss"), y.replace("ß", "ss")) for i, x, y in rows]
+    assert got == plain_links(plain(fixtures), plain(predictions))
+    assert linking.fuzzy_links(f.limit(0), p).count() == linking.fuzzy_links(f, p.limit(0)).count() == 0
+
+
+def test_numbered_names_meet_few_others(spark):
+    """300 fixtures against 300 predictions whose names all look alike: few of all pairs of names become candidates."""
+    name = lambda k: f"Supplier#{k:09d}"
+    fixtures = spark.createDataFrame([(k, f"Team {name(k)}", f"{name(k + 1)} Gaming") for k in range(1, 301)], "fixture_id long, book_home string, book_away string")
+    predictions = spark.createDataFrame([(k, name(k), name(k + 1)) for k in range(1, 301)], "match_id long, team1_name string, team2_name string")
+    got = linking.fuzzy_links(fixtures, predictions).collect()
+    assert len(got) == 300 and all((r.fixture_id, r.score, r.book_home_is_team1, r.ambiguous_with) == (r.match_id, 1.0, True, None) for r in got)
+    names = fixtures.select(F.col("book_home").alias("name"), F.lit(0.95).alias("least"))
+    assert namejoin.candidates(names, predictions.select(F.col("team1_name").alias("name"))).count() <= 0.05 * 300 * 300
 
 
 def test_ledger_rules(spark):

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import canonical_pair, core_tokens, initials, normalize_name, similarity, tokens
+from tidemark.functions.text import canonical_pair, core_tokens, normalize_name
 from tidemark.functions.time import micros
+from tidemark.operators import namejoin
+from tidemark.tables import written
 
 HOUR = 3_600_000_000
 GATE_HOURS = 6
@@ -67,34 +69,38 @@ def retro_match(unlinked: DataFrame, graded: DataFrame, aliases: DataFrame | Non
     return hit.withColumn("_r", first).where("_r = 1").select("match_id", "fixture_id", F.when(F.col("_f.m") == 0, "raw").otherwise("alias").alias("method"), F.when(F.col("book_start_ts").isNotNull(), "book_start").otherwise("captured_at").alias("rule"))
 
 
-def _blocks(name: str) -> Column:
-    """Keys under which any two names that can reach the threshold meet.
-
-    Equal names, subsets and acronyms share a token or initials. Strings with a ratio of 0.75 share two letters in
-    a row, or else have at most three letters in common and one of at most five, whose single letters are keys.
-    """
-    toks, raw = core_tokens(name), tokens(name)
-    joined = F.array_join(toks, " ")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 1, F.lit(1))), lambda i: F.substring(joined, i, F.lit(2)))
-    letters = F.when(F.length(joined) <= 5, F.filter(F.split(joined, ""), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(toks, pairs, letters, F.array(initials(toks), initials(raw))))
-
-
 def fuzzy_links(fixtures: DataFrame, predictions: DataFrame, threshold: float = 0.75, margin: float = 0.05) -> DataFrame:
     """The best prediction of each fixture by the weaker of its two name similarities, and whether a runner-up
-    is nearly as good. Candidates share a block key of the home name with either team, and of the away name with the
-    other one: no pair is formed without the first or scored without both.
+    is nearly as good; ties go to the smaller match_id.
+
+    Names are compared once each, by a similarity join, and pairs of names once each: fixtures and predictions that share
+    theirs meet at the end. A fixture whose names both stand in a prediction scores 1, so its names need only be
+    compared with those that can come within ``margin`` of that.
     """
-    home = fixtures.select("fixture_id", "book_home", "book_away", _blocks("book_home").alias("_h"), _blocks("book_away").alias("_a")).withColumn("_key", F.explode("_h"))
-    sides = predictions.select("match_id", "team1_name", "team2_name", _blocks("team1_name").alias("_1"), _blocks("team2_name").alias("_2")).withColumn("_key", F.explode(F.array_distinct(F.concat("_1", "_2"))))
-    meet = lambda x, y: F.coalesce(F.arrays_overlap(x, y), F.lit(True))
-    pairs = home.join(sides, "_key").where((meet("_h", "_1") & meet("_a", "_2")) | (meet("_h", "_2") & meet("_a", "_1"))).select("fixture_id", "book_home", "book_away", "match_id", "team1_name", "team2_name").distinct()
-    scored = pairs.withColumn("_s", F.least(similarity("book_home", "team1_name"), similarity("book_away", "team2_name"))).withColumn("_f", F.least(similarity("book_home", "team2_name"), similarity("book_away", "team1_name")))
-    scored = scored.withColumn("score", F.greatest("_s", "_f")).withColumn("book_home_is_team1", F.col("_s") >= F.col("_f"))
-    order = W.partitionBy("fixture_id").orderBy(F.desc("score"), "match_id")
-    ranked = scored.withColumn("_r", F.row_number().over(order)).withColumn("_next", F.lead("score").over(order)).withColumn("_other", F.lead("match_id").over(order))
+    asked = fixtures.select("book_home", "book_away").where("book_home IS NOT NULL AND book_away IS NOT NULL").distinct()
+    sides = predictions.where("team1_name IS NOT NULL AND team2_name IS NOT NULL").select("match_id", "team1_name", "team2_name").distinct()
+    nth = F.row_number().over(W.partitionBy("team1_name", "team2_name").orderBy("match_id"))
+    first = sides.withColumn("n", nth).where("n <= 2").groupBy("team1_name", "team2_name").agg(F.sort_array(F.collect_list("match_id")).alias("ids"))
+    known = written(first)
+    core = lambda c: F.array_join(core_tokens(c), " ")
+    there = known.select(canonical_pair(core("team1_name"), core("team2_name")).alias("pair")).distinct().withColumn("found", F.lit(True))
+    exact = asked.withColumn("pair", canonical_pair(core("book_home"), core("book_away"))).join(there, "pair", "left")
+    asked = written(exact.select("book_home", "book_away", F.when(F.col("found"), F.lit(1.0 - margin)).otherwise(F.lit(float(threshold))).alias("least")))
+    names = asked.select(F.explode(F.array("book_home", "book_away")).alias("name"), "least")
+    alike = written(namejoin.similar(names, known.select(F.explode(F.array("team1_name", "team2_name")).alias("name"))))
+    home, away = (alike.select(F.col("a").alias(f"book_{x}"), F.col("b").alias(x), F.col("s").alias(f"s_{x}")) for x in ("home", "away"))
+    named = asked.join(home, "book_home").join(away, "book_away").where("least(s_home, s_away) >= least")
+    score = named.select("book_home", "book_away", "home", "away", F.least("s_home", "s_away").alias("s"))
+    straight = score.select("book_home", "book_away", F.col("home").alias("team1_name"), F.col("away").alias("team2_name"), "s", F.lit(True).alias("straight"))
+    both = straight.unionByName(score.select("book_home", "book_away", F.col("away").alias("team1_name"), F.col("home").alias("team2_name"), "s", F.lit(False).alias("straight")))
+    met = both.join(known, ["team1_name", "team2_name"]).groupBy("book_home", "book_away", "team1_name", "team2_name", "ids").agg(F.max(F.struct("s", "straight")).alias("best"))
+    order = W.partitionBy("book_home", "book_away").orderBy(F.desc("score"), "match_id")
+    rows = met.select("book_home", "book_away", F.col("best.s").alias("score"), F.col("best.straight").alias("book_home_is_team1"), F.explode("ids").alias("match_id"))
+    ranked = rows.groupBy("book_home", "book_away", "match_id").agg(F.max(F.struct("score", "book_home_is_team1")).alias("b")).select("book_home", "book_away", "match_id", "b.*")
+    ranked = ranked.withColumn("_r", F.row_number().over(order)).withColumn("_next", F.lead("score").over(order)).withColumn("_other", F.lead("match_id").over(order))
     near = (F.col("_next") >= threshold) & (F.col("score") - F.col("_next") < margin)
-    return ranked.where((F.col("_r") == 1) & (F.col("score") >= threshold)).select("fixture_id", "match_id", "score", "book_home_is_team1", F.when(near, F.col("_other")).alias("ambiguous_with"))
+    best = ranked.where((F.col("_r") == 1) & (F.col("score") >= threshold)).select("book_home", "book_away", "match_id", "score", "book_home_is_team1", F.when(near, F.col("_other")).alias("ambiguous_with"))
+    return fixtures.join(best, ["book_home", "book_away"]).select("fixture_id", "match_id", "score", "book_home_is_team1", "ambiguous_with")
 
 
 def crosscheck(captures: DataFrame, ledger: DataFrame) -> DataFrame:

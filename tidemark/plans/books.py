@@ -161,11 +161,14 @@ def retro_match(spark, sf):
 
 
 def fuzzy_top(spark, sf):
-    """All suppliers under names of their own (letters of a hash) against the same with additions."""
-    made = lambda k: F.concat(*(F.substring(F.md5(F.concat_ws("-", "s_name", F.lit(k))), i, 5) for i in (1, 9)))
-    s = fx.table(spark, sf, "supplier").select("s_suppkey", made("home").alias("home"), made("away").alias("away"))
-    fixtures = s.select(F.col("s_suppkey").alias("fixture_id"), F.concat(F.lit("Team "), "home").alias("book_home"), F.concat("away", F.lit(" Gaming")).alias("book_away"))
-    predictions = s.select(F.col("s_suppkey").alias("match_id"), F.col("home").alias("team1_name"), F.concat("away", F.lit(" Esports")).alias("team2_name"))
+    """All suppliers at home, as books shorten or lengthen their names, each against a visitor of its own (letters of a
+    hash); every third book name is the number alone, and every fourth pair is the other way round."""
+    s = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("one"), F.left(F.md5("s_name"), F.lit(16)).alias("two"))
+    home = F.when(F.col("k") % 3 == 0, F.concat(F.regexp_extract("one", "[0-9]+", 0), F.lit(" FC"))).otherwise(F.concat(F.lit("Team "), "one"))
+    away = F.concat("two", F.lit(" Gaming"))
+    flip = F.col("k") % 4 == 0
+    fixtures = s.select(F.col("k").alias("fixture_id"), F.when(flip, away).otherwise(home).alias("book_home"), F.when(flip, home).otherwise(away).alias("book_away"))
+    predictions = s.select(F.col("k").alias("match_id"), F.col("one").alias("team1_name"), F.concat("two", F.lit(" Esports")).alias("team2_name"))
     return linking.fuzzy_links(fixtures, predictions)
 
 
@@ -266,7 +269,17 @@ ax AS (SELECT fixture_id, bs, h, w, coalesce(x.v, h) AS h2, coalesce(y.v, w) AS
 keyed AS (SELECT fixture_id, bs, 0 AS m, h, w FROM ax UNION ALL SELECT fixture_id, bs, 1, h2, w2 FROM ax WHERE h <> h2 OR w <> w2),
 p AS (SELECT o_orderkey AS match_id, {_NORM(_NAME("o_custkey"))} AS t1, {_NORM(_NAME("o_custkey + 1"))} AS t2, o_orderdate AS start_ts FROM orders)"""
 
+#: All fixtures against all predictions by the rungs above the ratio, which no two of the visitors' names reach.
+_FUZZY_SQL = """WITH pairs AS (SELECT s_suppkey AS k, ['supplier', regexp_extract(s_name, '[0-9]+')] AS one, [left(md5(s_name), 16)] AS two FROM supplier),
+named AS (SELECT *, CASE WHEN k % 3 = 0 THEN one[2:2] ELSE one END AS home FROM pairs),
+f AS (SELECT k AS fixture_id, CASE WHEN k % 4 = 0 THEN two ELSE home END AS h, CASE WHEN k % 4 = 0 THEN home ELSE two END AS a FROM named),
+met AS (SELECT fixture_id, k AS match_id, unnest([{'x': [h, one], 'y': [a, two], 's': TRUE}, {'x': [h, two], 'y': [a, one], 's': FALSE}]) AS m FROM f, pairs),
+scored AS (SELECT fixture_id, match_id, m.s AS s, list_min(list_transform([m.x, m.y], lambda z: CASE WHEN z[1] = z[2] THEN 1.0::DOUBLE WHEN list_has_all(z[1], z[2]) OR list_has_all(z[2], z[1]) THEN 0.92::DOUBLE ELSE 0.0::DOUBLE END)) AS v FROM met),
+best AS (SELECT fixture_id, match_id, max(v) AS score, arg_max(s, (v, s)) AS s FROM scored GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nxt, lead(match_id) OVER w AS other FROM best WINDOW w AS (PARTITION BY fixture_id ORDER BY score DESC, match_id))
+SELECT fixture_id, match_id, score, s AS book_home_is_team1, CASE WHEN nxt >= 0.75 AND score - nxt < 0.05 THEN other END AS ambiguous_with FROM ranked WHERE r = 1 AND score >= 0.75"""
 ORACLES = {
+    "fuzzy_top": _FUZZY_SQL,
     "ledger_summary": f"{with_views('ledger')} SELECT count(*) FILTER (NOT graded) AS n_pending, count(*) FILTER (graded) AS n_graded, count(*) FILTER (graded AND low_history) AS n_low_history, count(*) FILTER (graded AND NOT low_history) AS n_scored, "
     + ", ".join(f"{_R4(f'avg({g(p)}) FILTER (graded AND NOT low_history)')} AS {m}_{s}" for p, s in (("p_model", "model"), ("p_elo", "elo")) for m, g in (("log_loss", _LL), ("brier", _BR), ("accuracy", _ACC))) + " FROM ledger",
     "tier_period_metrics": f"{with_views('ledger')}, {_SCORED} SELECT tier, period, CAST(grouping(period) AS INT) AS whole, count(*) AS n_scored, {_R4(f'avg({_LL("p_model")})')} AS log_loss_model, {_R4(f'avg({_BR("p_model")})')} AS brier_model, {_R4(f'avg({_ACC("p_model", ">")})')} AS accuracy_model, {_R4(f'avg({_LL("p_elo")})')} AS log_loss_elo FROM scored GROUP BY GROUPING SETS ((tier), (tier, period))",
