@@ -30,6 +30,29 @@ def test_sweep_equals_range_join(spark):
     assert sorted(map(key, swept.collect())) == sorted(map(key, joined.collect()))
 
 
+def test_roster_weights_equal_a_range_join(spark):
+    """Changing line-ups, longer and empty ones: subsets give the weights that a join of all pairs gives."""
+    rows = games(spark, 90)
+    player = lambda i: F.concat(F.lit("p"), F.pmod(i * 2 + F.floor(F.col("match_id") / 13) * F.col("team").cast("int"), F.lit(7)).cast("string"))
+    seats = F.when(F.col("match_id") % 10 == 0, F.array().cast("array<int>")).when(F.col("match_id") % 17 == 0, F.lit(None).cast("array<int>")).otherwise(F.sequence(F.lit(0), F.when(F.col("match_id") % 6 == 0, 6).otherwise(4)))
+    facts = rows.withColumn("seats", seats).withColumn("lineup", F.array_distinct(F.transform("seats", player))).drop("seats").cache()
+    probes = rows.select("match_id", "team", "start_ts")
+    states = roster.roster_states(facts).cache()
+    assert states.select(F.explode("core")).distinct().count() > 5
+    core = asof.latest(states, probes, ["team"], F.struct("end_ts", "start_ts", "match_id", "core"), name="s").select(*probes.columns, F.coalesce("s.core", F.array().cast("array<string>")).alias("core"))
+    for factor in (0.5, 0.8, 1.0):
+        swept = asof.roster_sweep(facts, probes, states, {"w": F.lit(1.0), "rw": F.col("rounds_won")}, 20.0, factor, {"n": F.lit(1)})
+        age = (F.unix_micros(F.col("p.start_ts").cast("timestamp")) - F.unix_micros(F.col("f_start_ts").cast("timestamp"))) / 86400e6
+        weight = asof.roster_weight(age, 20.0, F.coalesce("f_lineup", F.array().cast("array<string>")), F.col("p.core"), factor)
+        joined = asof.range_join(facts, core, ["team"], [F.count("f_match_id").alias("n"), F.coalesce(F.sum(F.when(F.col("f_match_id").isNotNull(), weight)), F.lit(0.0)).alias("w"), F.coalesce(F.sum(weight * F.col("f_rounds_won")), F.lit(0.0)).alias("rw")])
+        got = {(r.match_id, r.team): (r.n, r.w, r.rw) for r in swept.collect()}
+        want = {(r.match_id, r.team): (r.n, r.w, r.rw) for r in joined.collect()}
+        assert len(got) == probes.count() and got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+    plain = asof.decayed_sweep(facts, probes, ["team"], {"w": F.lit(1.0)}, 20.0)
+    assert {(r.match_id, r.team): pytest.approx(r.w) for r in plain.collect()} == {k: v[1] for k, v in got.items()}
+
+
 def test_poisoned_future_changes_nothing(spark):
     rows = games(spark)
     cut = T0 + timedelta(days=4)
