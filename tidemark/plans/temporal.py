@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import series
 from tidemark.functions.stats import rounded, shrunk_rate
 from tidemark.functions.time import days_between, half_year, zone_to_utc
-from tidemark.operators import asof, evaluation, features, flatten, pool, ratings, roster, trends, views
+from tidemark.operators import asof, evaluation, features, flatten, pool, predict, ratings, roster, trends, views
 from tidemark.operators.intervals import phase_peaks
 from tidemark.sources.fixtures import contests, ended, table, with_views
 
@@ -140,13 +140,32 @@ def rest_days(spark, sf):
     return last.select("match_id", "team", rounded(asof.rest_days(F.col("last"), "start_ts")).alias("rest_days"))
 
 
-def roster_weighted(spark, sf):
-    """The range-join form: a fact's weight depends on the probe (here on its side of the board)."""
+def range_join_counts(spark, sf):
+    """The range-join form, for aggregates that depend on the probe (here on its side of the board)."""
     rows = long_rows(spark, sf)
     sums = asof.range_join(rows, rows.select("match_id", "team", "opp", "start_ts"), ["team"], [F.count("f_match_id").alias("n"), F.count(F.when(F.col("f_opp") == F.col("p.opp"), 1)).alias("n_same_opp")])
     return sums.select("match_id", "team", "n", "n_same_opp")
 
 
+def lined_rows(spark, sf) -> DataFrame:
+    """The long frame with line-ups that change with time, some of them unknown, and all statistics."""
+    player = lambda i: F.concat(F.lit("p"), ((F.col("team") * 3 + i * 2 + F.floor(F.col("match_id") / 64)) % 400).cast("string"))
+    lineup = F.when(F.col("match_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array(*(player(i) for i in range(3)))))
+    shown = lambda k, c: F.when(F.col("match_id") % k != 0, c)
+    own, other = F.col("rounds_won"), F.col("rounds_lost")
+    return long_rows(spark, sf).withColumns({
+        "lineup": lineup, "atk_rw": F.col("metric"), "atk_rl": F.when(F.col("metric").isNotNull(), other), "def_rw": own, "def_rl": other, "fk": F.col("metric"), "fd": other, "pistols_won": F.col("won"), "pistols_played": F.lit(2),
+        "fullbuy_n": shown(5, own + 1), "fullbuy_w": shown(5, F.col("won")), "lowbuy_n": shown(3, other + 1), "lowbuy_w": shown(3, 1 - F.col("won")), "clutch_wins": F.col("metric"), "multikills": shown(7, own % 4),
+    })
+
+
+def roster_weighted(spark, sf):
+    """Decayed sums in which facts weigh less the more of the probe's core they were played without."""
+    rows = lined_rows(spark, sf)
+    sums = asof.roster_sweep(rows, rows.select("match_id", "team", "start_ts"), roster.roster_states(rows), {"w": F.lit(1.0), "rw": F.col("rounds_won")}, HALF_LIFE, 0.8, {"n": F.lit(1)})
+    return sums.select("match_id", "team", F.col("n").cast("long").alias("n"), rounded(F.col("w"), 3).alias("weight"), rounded(F.col("rw"), 3).alias("rounds"))
+
+
 def snapshot(spark, sf):
     rows = long_rows(spark, sf)
     none = F.lit(None).cast("int")
@@ -252,12 +271,32 @@ def schedule(spark, sf):
     return out.select("match_id", "section", "position")
 
 
+#: Columns of the feature row that are shown with three decimals.
+SHOWN = tuple(f"{n}_diff" for n in ("elo", "map_elo", *features.STATISTICS, *features.ROSTER, *features.MEMBERSHIP)) + ("hist_min",)
+
+
 def feature_rows(spark, sf):
-    """Differences, prior maps and the low-history mark of every contest; one statistic of each kind is shown."""
-    none = F.lit(None).cast("int")
-    rows = long_rows(spark, sf).withColumns({c: none for c in ("atk_rw", "atk_rl", "def_rw", "def_rl", "fk", "fd", "fullbuy_n", "fullbuy_w", "lowbuy_n", "lowbuy_w", "clutch_wins", "multikills")} | {"pistols_won": F.col("won"), "pistols_played": F.lit(2)})
-    out = features.feature_rows(rows, contests(spark, sf).select("match_id", "start_ts", "team1", "team2", "map_name"), maps=("click", "view"))
-    return out.select("match_id", rounded(F.col("round_share_diff"), 3).alias("round_share_diff"), rounded(F.col("rest_days_diff"), 3).alias("rest_days_diff"), "a_n_maps", "b_n_maps", "low_history", F.col("map_click").cast("int").alias("map_click"))
+    """The whole feature row of every contest: both ratings, nine statistics, rest, rosters, context and indicators."""
+    looks = ratings.prematch(ratings.rating_log(_games(spark, sf)))
+    asked = contests(spark, sf).select("match_id", "start_ts", "team1", "team2", "map_name", "best_of", "series")
+    out = features.feature_rows(lined_rows(spark, sf), asked, looks, maps=("click", "view"))
+    return out.select("match_id", "best_of", "playoff", "a_n_maps", "b_n_maps", "low_history", *(F.col(f"map_{m}").cast("int").alias(f"map_{m}") for m in ("click", "view")), *(rounded(F.col(c), 3).alias(c) for c in SHOWN))
+
+
+#: Weights of a given model, so that its predictions have SQL.
+MODEL = {"elo_diff": 0.004, "map_elo_diff": 0.003, "round_share_diff": 2.0, "core_absent_diff": -0.5, "roster_coplay_diff": 0.2, "hist_min": 0.01, "map_click": 0.1}
+AHEAD = "2024-01-29"
+
+
+def predict_rows(spark, sf):
+    """Contests from the last days predicted from what was played before, by a given model and by ratings."""
+    score = lambda rows: rows.withColumn("p", 1 / (1 + F.exp(-sum((F.col(c) * w for c, w in MODEL.items()), F.lit(0.0)))))
+    cut = moment(AHEAD)
+    names = {f"team{i}_name": F.concat(F.lit("T"), F.col(f"team{i}").cast("string")) for i in (1, 2)}
+    upcoming = contests(spark, sf).where(F.col("start_ts") >= cut).withColumns(names).select("match_id", "start_ts", "team1", "team2", *names, "best_of")
+    facts, games = lined_rows(spark, sf).where(F.col("start_ts") < cut), _games(spark, sf).where(F.col("start_ts") < cut)
+    out = predict.predict(score, facts, upcoming, ("click", "view"), maps=("click", "view"), games=games, baseline_k=64)
+    return out.select("match_id", "low_history", "p_map", "p_series", "p_elo", *(F.col(f"p_by_map.{m}").alias(f"p_{m}") for m in ("click", "view")), F.col("elo_by_map.click").alias("elo_click"))
 
 
 def chrono_split(spark, sf):
@@ -306,7 +345,7 @@ def vif(spark, sf):
     return evaluation.vif(*_coordinates(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (trends_all, trends_current, trends_scoped, long_frame, match_lite, match_table, pool_table, pool_top, pool_fallback, asof_counts, asof_decayed, asof_shrunk, asof_priors, asof_by_map, rest_days, roster_weighted, snapshot, elo_prematch, elo_tuned_k, elo_trajectory, elo_at_cutoff, core_roster, membership, series_dp, maps_dist, sequence_complete, veto_parse, schedule, feature_rows, chrono_split, folds, augment, tz_shift, periods, phase_peak, cadence, corr_topk, vif)}
+QUERIES = {f.__name__: f for f in (trends_all, trends_current, trends_scoped, long_frame, match_lite, match_table, pool_table, pool_top, pool_fallback, asof_counts, asof_decayed, asof_shrunk, asof_priors, asof_by_map, rest_days, range_join_counts, roster_weighted, snapshot, elo_prematch, elo_tuned_k, elo_trajectory, elo_at_cutoff, core_roster, membership, series_dp, maps_dist, sequence_complete, veto_parse, schedule, feature_rows, predict_rows, chrono_split, folds, augment, tz_shift, periods, phase_peak, cadence, corr_topk, vif)}
 
 #: Looks and results in order of time, with teams and maps numbered from 1.
 _EVENTS_SQL = """games AS (
@@ -347,6 +386,65 @@ _R3 = "floor(({}) * 1e3 + 0.5) / 1e3".format
 _PAIRS = "FROM long p LEFT JOIN long f ON f.team = p.team AND f.end_ts <= p.start_ts"
 _P = "((team1_score + 1) / 16.0::DOUBLE)"
 _AT20 = "TIMESTAMP '2024-01-20'"
+#: Facts with line-ups and all statistics, as ``lined_rows`` makes them.
+_LINED_SQL = """facts AS (SELECT *, CASE WHEN match_id % 11 = 0 THEN []::VARCHAR[] ELSE list_sort(list_transform([0, 1, 2], lambda i: 'p' || CAST((team * 3 + i * 2 + match_id // 64) % 400 AS VARCHAR))) END AS lineup,
+  CASE WHEN match_id % 5 <> 0 THEN rounds_won + 1 END AS fbn, CASE WHEN match_id % 5 <> 0 THEN won END AS fbw, CASE WHEN match_id % 3 <> 0 THEN rounds_lost + 1 END AS lbn, CASE WHEN match_id % 3 <> 0 THEN 1 - won END AS lbw,
+  CASE WHEN match_id % 7 <> 0 THEN rounds_won % 4 END AS mk FROM long)"""
+#: Each probe's eligible facts with their weight (half-life {h}): the core is counted anew from the last five of them.
+_WEIGHED_SQL = """el AS (
+  SELECT p.pm, p.moment, p.team, f.* EXCLUDE (team), row_number() OVER (PARTITION BY p.pm, p.team ORDER BY f.end_ts DESC, f.start_ts DESC, f.match_id DESC) AS back FROM probes p JOIN facts f ON f.team = p.team AND f.end_ts <= p.moment
+), cores AS (
+  SELECT pm, team, list(player ORDER BY n DESC, player)[1:5] AS core FROM (SELECT pm, team, player, count(*) AS n FROM (SELECT pm, team, unnest(lineup) AS player FROM el WHERE back <= 5) GROUP BY ALL) GROUP BY ALL
+), weighed AS (
+  SELECT el.*, core, len(list_intersect(lineup, core)) AS common, pow(0.5, (epoch_us(moment) - epoch_us(start_ts)) / 86400000000.0::DOUBLE / {h}) * CASE WHEN len(lineup) = 0 OR core IS NULL THEN 1 ELSE pow(0.8, 5 - len(list_intersect(lineup, core))) END AS w
+  FROM el LEFT JOIN cores USING (pm, team)
+)"""
+#: Statistics of every probe.
+_SIDES_SQL = """league AS (
+  SELECT m.moment, coalesce(sum(metric), 0) AS gw, coalesce(sum(metric + rounds_lost), 0) AS gn, count(metric) AS gc, coalesce(sum(fbw), 0) AS bw, coalesce(sum(fbn), 0) AS bn, coalesce(sum(lbw), 0) AS lw, coalesce(sum(lbn), 0) AS ln, coalesce(sum(mk), 0) AS mw, count(mk) AS mc
+  FROM (SELECT DISTINCT moment FROM probes) m LEFT JOIN facts f ON f.end_ts <= m.moment GROUP BY m.moment
+), s AS (
+  SELECT p.pm, p.team, p.moment, count(w) AS n, coalesce(sum(w * rounds_won), 0) AS rw, coalesce(sum(w * (rounds_won + rounds_lost)), 0) AS rn, sum(w * metric) AS aw, sum(w * (metric + rounds_lost)) AS an, sum(w * rounds_won) FILTER (metric IS NOT NULL) AS dw,
+    sum(w * (rounds_won + rounds_lost)) FILTER (metric IS NOT NULL) AS dn, sum(w * (metric - rounds_lost)) AS fk, coalesce(sum(w * won), 0) AS pw, coalesce(sum(w * 2), 0) AS pn, sum(w * fbw) AS sbw, sum(w * fbn) AS sbn, sum(w * lbw) AS slw, sum(w * lbn) AS sln,
+    sum(w) FILTER (metric IS NOT NULL) AS cn, sum(w * mk) AS smw, sum(w) FILTER (mk IS NOT NULL) AS smn, coalesce(least((epoch_us(p.moment) - epoch_us(max(start_ts))) / 86400000000.0::DOUBLE, 30), 30) AS rest,
+    avg(common / 5.0::DOUBLE) FILTER (back <= 5 AND len(lineup) > 0) AS stability, arg_min({'l': lineup, 'c': common, 'm': len(core)}, back) FILTER (back <= 5 AND len(lineup) > 0) AS newest, arg_min(lineup, back) FILTER (len(lineup) > 0) AS own
+  FROM probes p LEFT JOIN weighed USING (pm, team) GROUP BY p.pm, p.team, p.moment
+), mine AS (SELECT pm, team, moment, unnest(own) AS player FROM s), played AS (SELECT match_id, team, end_ts, unnest(lineup) AS player FROM facts),
+ext AS (SELECT pm, m.team, count(*) AS n FROM mine m JOIN played f ON f.player = m.player AND f.end_ts <= m.moment AND f.team <> m.team GROUP BY 1, 2),
+two AS (SELECT a.pm, a.team, a.moment, a.player AS x, b.player AS y FROM mine a JOIN mine b ON a.pm = b.pm AND a.team = b.team AND a.player < b.player),
+met AS (SELECT a.end_ts, a.player AS x, b.player AS y FROM played a JOIN played b ON a.match_id = b.match_id AND a.team = b.team AND a.player < b.player),
+co AS (SELECT pm, team, avg(n) AS n FROM (SELECT pm, team, two.x, two.y, count(met.end_ts) FILTER (met.end_ts <= moment) AS n FROM two LEFT JOIN met ON met.x = two.x AND met.y = two.y GROUP BY ALL) GROUP BY 1, 2),
+sided AS (
+  SELECT s.pm, s.team, s.n, (rw + 30) / (rn + 60) AS round_share, CASE WHEN an IS NOT NULL THEN (aw + 30 * CASE WHEN gn > 0 THEN gw / gn ELSE 0.5 END) / (an + 30) END AS atk_eff, CASE WHEN an IS NOT NULL THEN (dw + 30 * (1 - CASE WHEN gn > 0 THEN gw / gn ELSE 0.5 END)) / (dn + 30) END AS def_eff,
+    CASE WHEN dn > 0 THEN fk / (dn + 60) * 12 END AS fk_diff12, (pw + 8) / (pn + 16) AS pistol_wr, CASE WHEN sbn IS NOT NULL THEN (sbw + 30 * CASE WHEN bn > 0 THEN bw / bn ELSE 0.5 END) / (sbn + 30) END AS fullbuy_wr,
+    CASE WHEN sln IS NOT NULL THEN (slw + 30 * CASE WHEN league.ln > 0 THEN lw / league.ln ELSE 0.15 END) / (sln + 30) END AS lowbuy_wr, CASE WHEN cn > 0 THEN (aw + 5 * CASE WHEN gc > 0 THEN gw / gc ELSE 0 END) / (cn + 5) END AS clutch_per_map,
+    CASE WHEN smn > 0 THEN (smw + 5 * CASE WHEN mc > 0 THEN mw / mc ELSE 0 END) / (smn + 5) END AS multikill_per_map, rest, stability, (newest.m - newest.c) / 5.0::DOUBLE AS core_absent, (len(newest.l) - newest.c) / greatest(len(newest.l), 1)::DOUBLE AS newface,
+    ln(1 + coalesce(ext.n, 0)::DOUBLE) AS ext, ln(1 + coalesce(co.n, 0)) AS coplay
+  FROM s JOIN league USING (moment) LEFT JOIN ext ON ext.pm = s.pm AND ext.team = s.team LEFT JOIN co ON co.pm = s.pm AND co.team = s.team
+)"""
+_SIDE_OF = {n: n for n in (*features.STATISTICS, "core_absent", "newface")} | {"rest_days": "rest", "roster_stability": "stability", "roster_ext_maps": "ext", "roster_coplay": "coplay"}
+_DIFFS_SQL = ", ".join(f"{_R3('ln(1 + a.rest) - ln(1 + b.rest)' if c == 'rest' else f'a.{c} - b.{c}')} AS {n}_diff" for n, c in _SIDE_OF.items())
+#: Ratings of both sides on the maps of the pool before contests to come, for both K: what the last result before each left.
+_AHEAD_SQL = f"""games AS (
+  SELECT match_id, start_ts, end_ts, team1, team2, CAST(team1_score > team2_score AS INT) AS won, dense_rank() OVER (ORDER BY map_name) AS m, map_name FROM contests WHERE team1_score <> team2_score AND start_ts < TIMESTAMP '{AHEAD}'
+), teams AS (SELECT team, row_number() OVER (ORDER BY team) AS u FROM (SELECT team1 AS team FROM contests UNION SELECT team2 FROM contests)), ks AS (SELECT unnest([32, 64])::DOUBLE AS k),
+ev AS (SELECT g.*, a.u AS ua, b.u AS ub, row_number() OVER (ORDER BY end_ts, start_ts, match_id) AS i FROM games g JOIN teams a ON a.team = team1 JOIN teams b ON b.team = team2),
+book(i, k, o, r, g) AS (
+  SELECT 0::BIGINT, k, list_transform(range(n), lambda x: 1500.0::DOUBLE), list_transform(range(n * 5), lambda x: NULL::DOUBLE), list_transform(range(n * 5), lambda x: 0::INT) FROM ks, (SELECT count(*) AS n FROM teams)
+  UNION ALL
+  SELECT i1, k, list_transform(o, lambda x, j: x + CASE WHEN j = ua THEN 1 WHEN j = ub THEN -1 ELSE 0 END * k * (won - 1 / (1 + pow(10.0::DOUBLE, (o[ub] - o[ua]) / 400)))),
+    list_transform(r, lambda x, j: CASE WHEN j = ca THEN ma + k * (won - 1 / (1 + pow(10.0::DOUBLE, (mb - ma) / 400))) WHEN j = cb THEN mb - k * (won - 1 / (1 + pow(10.0::DOUBLE, (mb - ma) / 400))) ELSE x END),
+    list_transform(g, lambda x, j: x + CASE WHEN j = ca OR j = cb THEN 1 ELSE 0 END)
+  FROM (SELECT book.*, e.i AS i1, won, ua, ub, (ua - 1) * 5 + m AS ca, (ub - 1) * 5 + m AS cb, coalesce(r[(ua - 1) * 5 + m], o[ua]) AS ma, coalesce(r[(ub - 1) * 5 + m], o[ub]) AS mb FROM book JOIN ev e ON e.i = book.i + 1) e
+), maps AS (SELECT DISTINCT map_name, m FROM games WHERE map_name IN ('click', 'view')),
+at_look AS (SELECT c.match_id, c.team1, c.team2, (SELECT count(*) FROM ev WHERE ev.end_ts <= c.start_ts) AS i FROM ahead c),
+stood AS (
+  SELECT l.match_id, k, map_name, o[a.u] AS oa, o[b.u] AS ob, (g[(a.u - 1) * 5 + m] * coalesce(r[(a.u - 1) * 5 + m], o[a.u]) + 10 * o[a.u]) / (g[(a.u - 1) * 5 + m] + 10.0::DOUBLE) AS ea,
+         (g[(b.u - 1) * 5 + m] * coalesce(r[(b.u - 1) * 5 + m], o[b.u]) + 10 * o[b.u]) / (g[(b.u - 1) * 5 + m] + 10.0::DOUBLE) AS eb
+  FROM at_look l JOIN book USING (i) JOIN teams a ON a.team = l.team1 JOIN teams b ON b.team = l.team2, maps
+)"""
+_PUB = "least(greatest(floor(({}) * 1e4 + 0.5) / 1e4, 1e-4), 1 - 1e-4)".format
+_BEST = lambda p: f"CASE best_of WHEN 1 THEN {p} WHEN 3 THEN {p} * {p} * (3 - 2 * {p}) ELSE pow({p}, 3) * (10 - 15 * {p} + 6 * {p} * {p}) END"
 ORACLES = {
     "trends_all": _trends_sql(least=1),
     "trends_current": _trends_sql(window=10, active="last_any >= TIMESTAMP '2024-01-31' - INTERVAL 60 DAY"),
@@ -363,7 +461,9 @@ ORACLES = {
     "asof_priors": f"{with_views('long')}, m AS (SELECT DISTINCT start_ts FROM long) SELECT m.start_ts, {_R4('CASE WHEN sum(rounds_won + rounds_lost) FILTER (metric IS NOT NULL) > 0 THEN sum(metric)::DOUBLE / sum(rounds_won + rounds_lost) FILTER (metric IS NOT NULL) ELSE 0.5 END')} AS prior FROM m LEFT JOIN long f ON f.end_ts <= m.start_ts GROUP BY 1",
     "asof_by_map": f"{with_views('long')} SELECT p.match_id, p.team, count(f.match_id) AS n {_PAIRS} AND f.map_name = p.map_name GROUP BY 1, 2",
     "rest_days": f"{with_views('long')} SELECT p.match_id, p.team, {_R4('coalesce(least((epoch_us(p.start_ts) - epoch_us(max(f.start_ts))) / 86400000000.0::DOUBLE, 30), 30)')} AS rest_days {_PAIRS} GROUP BY p.match_id, p.team, p.start_ts",
-    "roster_weighted": f"{with_views('long')} SELECT p.match_id, p.team, count(f.match_id) AS n, count(*) FILTER (f.opp = p.opp) AS n_same_opp {_PAIRS} GROUP BY 1, 2",
+    "range_join_counts": f"{with_views('long')} SELECT p.match_id, p.team, count(f.match_id) AS n, count(*) FILTER (f.opp = p.opp) AS n_same_opp {_PAIRS} GROUP BY 1, 2",
+    "roster_weighted": f"""{with_views("long")}, {_LINED_SQL}, probes AS (SELECT match_id AS pm, start_ts AS moment, team FROM long), {_WEIGHED_SQL.format(h=14)}
+SELECT p.pm AS match_id, p.team, count(w) AS n, {_R3("coalesce(sum(w), 0)")} AS weight, {_R3("coalesce(sum(w * rounds_won), 0)")} AS rounds FROM probes p LEFT JOIN weighed USING (pm, team) GROUP BY 1, 2""",
     "snapshot": _snapshot_sql(),
     "elo_prematch": f"""{with_views("contests", recursive=True)}, {_EVENTS_SQL}, {_MAP_BOOK_SQL}, looks AS (
   SELECT match_id, o[ua] AS ra, o[ub] AS rb, g[(ua - 1) * 5 + m] AS n, coalesce(r[(ua - 1) * 5 + m], o[ua]) AS ma FROM book JOIN ev USING (i) WHERE look = 1
@@ -404,13 +504,18 @@ SELECT conv_id, array_to_string(CASE WHEN fits THEN list_concat(played, ['decide
 SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN m[(o_orderkey + 2) % 4 + 1] || ',' || m[(o_orderkey + 3) % 4 + 1] || ',' || m[o_orderkey % 4 + 1] END AS maps FROM t""",
     "schedule": f"""{with_views("contests")} SELECT match_id, CASE WHEN start_ts >= TIMESTAMP '2024-01-31' THEN 0 ELSE 1 END AS section,
        CASE WHEN start_ts >= TIMESTAMP '2024-01-31' THEN epoch_us(start_ts) ELSE -epoch_us(start_ts) END AS position FROM contests""",
-    "feature_rows": f"""{with_views("long")}, form AS (
-  SELECT c.match_id, t.team, count(f.match_id) AS n, coalesce(least((epoch_us(c.start_ts) - epoch_us(max(f.start_ts))) / 86400000000.0::DOUBLE, 30), 30) AS rest,
-         (coalesce(sum(pow(0.5, (epoch_us(c.start_ts) - epoch_us(f.start_ts)) / 86400000000.0::DOUBLE / 90) * f.rounds_won), 0) + 30)
-         / (coalesce(sum(pow(0.5, (epoch_us(c.start_ts) - epoch_us(f.start_ts)) / 86400000000.0::DOUBLE / 90) * (f.rounds_won + f.rounds_lost)), 0) + 60) AS share
-  FROM contests c, LATERAL (SELECT unnest([c.team1, c.team2]) AS team) t LEFT JOIN long f ON f.team = t.team AND f.end_ts <= c.start_ts GROUP BY c.match_id, c.start_ts, t.team)
-SELECT c.match_id, {_R3("a.share - b.share")} AS round_share_diff, {_R3("ln(1 + a.rest) - ln(1 + b.rest)")} AS rest_days_diff, a.n AS a_n_maps, b.n AS b_n_maps, least(a.n, b.n) < 3 AS low_history, CAST(c.map_name = 'click' AS INT) AS map_click
-FROM contests c JOIN form a ON a.match_id = c.match_id AND a.team = c.team1 JOIN form b ON b.match_id = c.match_id AND b.team = c.team2""",
+    "feature_rows": f"""{with_views("contests", "long", recursive=True)}, {_LINED_SQL}, probes AS (SELECT match_id AS pm, start_ts AS moment, unnest([team1, team2]) AS team FROM contests), {_WEIGHED_SQL.format(h=90)}, {_SIDES_SQL},
+{_EVENTS_SQL}, {_MAP_BOOK_SQL}, looks AS (SELECT match_id, o[ua] AS ra, o[ub] AS rb, g[(ua - 1) * 5 + m] AS na, coalesce(r[(ua - 1) * 5 + m], o[ua]) AS ma, g[(ub - 1) * 5 + m] AS nb, coalesce(r[(ub - 1) * 5 + m], o[ub]) AS mb FROM book JOIN ev USING (i) WHERE look = 1)
+SELECT c.match_id, best_of, CAST(FALSE AS INT) AS playoff, a.n AS a_n_maps, b.n AS b_n_maps, least(a.n, b.n) < 3 AS low_history, CAST(c.map_name = 'click' AS INT) AS map_click, CAST(c.map_name = 'view' AS INT) AS map_view,
+       {_R3("ra - rb")} AS elo_diff, {_R3("(na * ma + 10 * ra) / (na + 10.0::DOUBLE) - (nb * mb + 10 * rb) / (nb + 10.0::DOUBLE)")} AS map_elo_diff, {_R3("ln(1 + least(a.n, b.n)::DOUBLE)")} AS hist_min, {_DIFFS_SQL}
+FROM contests c JOIN sided a ON a.pm = c.match_id AND a.team = c.team1 JOIN sided b ON b.pm = c.match_id AND b.team = c.team2 LEFT JOIN looks l ON l.match_id = c.match_id""",
+    "predict_rows": f"""{with_views("contests", "long", recursive=True)}, {_LINED_SQL.replace("FROM long", f"FROM long WHERE start_ts < TIMESTAMP '{AHEAD}'")},
+ahead AS (SELECT * FROM contests WHERE start_ts >= TIMESTAMP '{AHEAD}'), probes AS (SELECT match_id AS pm, start_ts AS moment, unnest([team1, team2]) AS team FROM ahead), {_WEIGHED_SQL.format(h=90)}, {_SIDES_SQL},
+{_AHEAD_SQL}, ms AS (SELECT match_id, map_name, max(CASE WHEN k = 32 THEN oa - ob END) AS elo, max(CASE WHEN k = 32 THEN ea - eb END) AS lean, max(CASE WHEN k = 64 THEN 1 / (1 + pow(10.0::DOUBLE, (eb - ea) / 400)) END) AS pe FROM stood GROUP BY ALL),
+called AS (SELECT c.match_id, best_of, least(a.n, b.n) < 3 AS low_history, ms.map_name, lean, pe, 1 / (1 + exp(-(0.004 * elo + 0.003 * lean + 2.0 * (a.round_share - b.round_share) - 0.5 * coalesce(a.core_absent - b.core_absent, 0) + 0.2 * (a.coplay - b.coplay) + 0.01 * ln(1 + least(a.n, b.n)::DOUBLE) + 0.1 * CAST(ms.map_name = 'click' AS INT)))) AS p
+  FROM ahead c JOIN sided a ON a.pm = c.match_id AND a.team = c.team1 JOIN sided b ON b.pm = c.match_id AND b.team = c.team2 JOIN ms USING (match_id)),
+whole AS (SELECT match_id, best_of, low_history, avg(p) AS p, avg(pe) AS e, max(p) FILTER (map_name = 'click') AS pc, max(p) FILTER (map_name = 'view') AS pv, max(lean) FILTER (map_name = 'click') AS lean FROM called GROUP BY ALL)
+SELECT match_id, low_history, {_PUB("p")} AS p_map, {_PUB(_BEST("p"))} AS p_series, {_PUB(_BEST("e"))} AS p_elo, {_PUB("pc")} AS p_click, {_PUB("pv")} AS p_view, floor(lean * 10 + 0.5) / 10 AS elo_click FROM whole""",
     "chrono_split": f"{with_views('contests')}, r AS (SELECT match_id, row_number() OVER (ORDER BY start_ts, match_id) AS i, count(*) OVER () AS n FROM contests) SELECT match_id, CASE WHEN i <= floor(n * 0.70::DOUBLE) THEN 'train' WHEN i <= floor(n * 0.85::DOUBLE) THEN 'validation' ELSE 'test' END AS part FROM r",
     "folds": f"{with_views('contests')}, r AS (SELECT match_id, row_number() OVER (ORDER BY start_ts, match_id) AS i, count(*) OVER () AS n FROM contests) SELECT match_id, " + " + ".join(f"CAST(i > round_even(n * {0.5 + 0.5 * k / 5}::DOUBLE, 0) AS INT)" for k in range(5)) + " AS fold FROM r",
     "augment": f"{with_views('contests')} SELECT match_id, team1_score - team2_score AS score_diff, CAST(team1_score > team2_score AS INT) AS y, best_of FROM contests UNION ALL SELECT match_id, team2_score - team1_score, 1 - CAST(team1_score > team2_score AS INT), best_of FROM contests",
