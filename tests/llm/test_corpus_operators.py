@@ -5,6 +5,7 @@ import itertools
 import json
 import sys
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -388,9 +389,9 @@ def test_estimation_recovers_planted_accuracies():
     patterns = {}
     for v in map(tuple, votes.tolist()):
         patterns[v] = patterns.get(v, 0) + 1
-    prior, right = rules.estimate(patterns)
-    assert abs(prior - 0.85) < 0.1 and all(abs(hit - 0.98) < 0.02 for hit, _ in right)
-    assert rules.posterior((1, 1, 1), prior, right) > 0.5 > rules.posterior((-1, -1, 1), prior, right) and rules.estimate({}) == (0.5, [])
+    found = rules.estimate(patterns)
+    assert abs(found.prior - 0.85) < 0.1 and all(abs(p - 0.02) < 0.02 for p in found.bad[0])
+    assert rules.posterior((1, 1, 1), found) > 0.5 > rules.posterior((-1, -1, 1), found) and rules.estimate({}).bad == [[], []]
 
 
 def _expected(good, wrong, catch):
@@ -406,22 +407,51 @@ def _expected(good, wrong, catch):
 @pytest.mark.parametrize("good", [0.7, 0.85, 0.98])
 @pytest.mark.parametrize("catch", [0.2, 0.4])
 def test_texts_that_only_a_noisy_rule_rejects_are_kept(good, catch):
-    prior, right = rules.estimate(_expected(good, [0.05] + [0.01] * 5, [catch] * 6))
-    assert abs(prior - good) < 0.02 and abs(right[0][0] - 0.95) < 0.01
-    assert rules.posterior((-1, 1, 1, 1, 1, 1), prior, right) > 0.5 > rules.posterior((1, -1, -1, 1, 1, 1), prior, right)
+    found = rules.estimate(_expected(good, [0.05] + [0.01] * 5, [catch] * 6))
+    assert abs(found.prior - good) < 0.02 and abs(found.bad[0][0] - 0.05) < 0.01
+    assert rules.posterior((-1, 1, 1, 1, 1, 1), found) > 0.5 > rules.posterior((1, -1, -1, 1, 1, 1), found)
 
 
-def _plain_em(votes, rounds=200):
+def test_causes_beat_filters_majorities_and_independent_rules():
+    """Two faults and a harmless cause, each seen by rules of its own: what filters and counts of votes get wrong."""
+    rng = np.random.default_rng(8)
+    n = 40_000
+    cause = rng.choice(4, n, p=[0.76, 0.1, 0.08, 0.06])  # plain, harmless, fault one, fault two
+    chance = np.full((4, 8), 0.02)
+    chance[1, [0, 1]], chance[2, [2, 3, 4]], chance[3, [5, 6, 7]] = 0.9, 0.75, 0.75
+    votes = np.where(rng.random((n, 8)) < chance[cause], -1, 1)
+    patterns = dict(Counter(map(tuple, votes.tolist())))
+    good = cause < 2
+    right = lambda verdict: float((np.array([verdict(v) for v in map(tuple, votes.tolist())]) == good).mean())
+    causes = [((), True), ((0, 1), True), ((2, 3, 4), False), ((5, 6, 7), False)]
+    found = rules.estimate(patterns, causes)
+    alike = rules.estimate(patterns)
+    ours = right({v: rules.posterior(v, found) >= 0.5 for v in patterns}.get)
+    assert ours > 0.98 and np.abs(np.array(found.shares) - [0.76, 0.1, 0.08, 0.06]).max() < 0.01 and np.abs(np.array(found.bad) - chance).max() < 0.05
+    assert ours > right(lambda v: min(v) > 0) + 0.15 and ours > right(lambda v: sum(v) >= 0) + 0.05 and ours > right({v: rules.posterior(v, alike) >= 0.5 for v in patterns}.get) + 0.02
+
+
+def _plain_em(votes, seen, good, rounds=200):
     """The same estimation over single texts, in arrays, written from the formulas."""
-    good, bad, there = votes == 1, votes == -1, votes != 0
-    prior, hit, miss = 0.8, np.full(votes.shape[1], 0.98), np.full(votes.shape[1], 0.4)
-    told = lambda: 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + (good * np.log(hit / (1 - miss)) + bad * np.log((1 - hit) / miss)).sum(1))))
+    k, width = len(good), votes.shape[1]
+    start = np.array([[0.02 if i == 0 else 0.4 if j in seen[i] else 0.05 for j in range(width)] for i in range(k)])
+    share = np.array([0.0] + [0.1 / (sum(good) - 1) if g else 0.2 / (k - sum(good)) for g in good[1:]])
+    share[0] = 1 - share.sum()
+    bad = start
+
+    def told():
+        z = np.log(share) + (votes == -1) @ np.log(bad).T + (votes == 1) @ np.log(1 - bad).T
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+
     for _ in range(rounds):
-        p = told()[:, None]
-        prior = np.clip((1 + p.sum()) / (2 + len(votes)), 0.01, 0.99)
-        hit = np.clip((1.96 + (p * good).sum(0)) / (2 + (p * there).sum(0)), 0.5, 0.99)
-        miss = np.minimum(0.99, np.maximum(1 - hit, (0.8 + ((1 - p) * bad).sum(0)) / (2 + ((1 - p) * there).sum(0))))
-    return told()
+        p = told()
+        share = np.maximum(1e-4, (2 * share + p.sum(0)) / (2 + len(votes)))
+        share = share / share.sum()
+        rate = np.clip((2 * start + p.T @ (votes == -1)) / (2 + p.T @ (votes != 0)), 0.01, 0.99)
+        rate[0] = np.minimum(0.5, rate[0])
+        bad = np.array([r if g else np.maximum(r, rate[0]) for r, g in zip(rate, good)])
+    return told() @ np.array(good)
 
 
 def test_verdicts_equal_a_plain_estimation_and_differ_from_all_must_pass(spark, tmp_path):
@@ -439,7 +469,8 @@ def test_verdicts_equal_a_plain_estimation_and_differ_from_all_must_pass(spark,
     got = {r.doc_id: r for r in rules.op7_rules(spark, str(tmp_path)).collect()}
     rows = {r.doc_id: r for r in rules.measurements(df).select("doc_id", *(v.alias(k) for k, v in rules.rules().items())).collect()}
     votes = np.array([[rows[i][k] for k in rules.rules()] for i in range(len(texts))])
-    posterior = _plain_em(votes)
+    named = list(rules.rules())
+    posterior = _plain_em(votes, [{named.index(n) for n in c.seen_by} for c in rules.CAUSES], [c.good for c in rules.CAUSES])
     for i in range(len(texts)):
         assert got[i].posterior == pytest.approx(posterior[i], abs=1e-6)
         assert got[i].kept == (not got[i].base_failed and posterior[i] >= 0.5)

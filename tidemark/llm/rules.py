@@ -1,11 +1,13 @@
 """Quality rules by weak supervision.
 
-Each rule looks at one measurement of a text and votes good, votes bad or abstains. Expectation-maximisation over
-the counts of all vote patterns estimates how often each rule is right, without labels, and the posterior
-probability that a text is good replaces a chain of must-pass filters. No rule is trusted beforehand: one that
-disagrees with the others loses weight, and no rule is taken to be right on more than ``MOST_SURE`` of good texts,
-so that a bad vote which no other rule shares can be outvoted. The rules are chosen so that every fault shows in
-the measurements of two or more of them.
+Each rule looks at one measurement of a text and votes good, votes bad or abstains. Why texts get bad votes is
+hidden: a text is plain, or there is a cause that several rules see at once. Causes are declared with the rules that
+see them, and a cause may be a fault of quality (noise, repetition, shouting) or not (a text that is only short). Given its
+cause, rules vote independently; so rules that see one fault count once, not twice, and a false alarm that comes with
+a harmless cause does not add up. Expectation-maximisation over the counts of all vote patterns estimates, without
+labels, how frequent every cause is and how often each rule votes bad under it; the posterior probability that a text's
+cause is harmless replaces a chain of must-pass filters. No rule is trusted beforehand, and none is taken to be right
+on more than ``MOST_SURE`` of texts, so that a bad vote which no other rule shares can be outvoted.
 
 Everything per row is a DataFrame expression. At most 3**len(rules()) pattern counts reach the driver, where the
 estimation runs on plain numbers; they are counts over all rows. Texts are measured once: the measurements are
@@ -18,7 +20,8 @@ rows are judged each; an empty table gives an empty result; input columns that c
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +32,39 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 #: Upper bound of every accuracy: what is estimated never says that a rule can't be wrong.
 MOST_SURE = 0.99
-#: Where the estimation starts: right on so many of the good and of the bad texts.
-START = (0.98, 0.4)
+#: Where the estimation starts: chances of a bad vote on plain texts, from a rule that sees the cause, and from one that does not.
+START_PLAIN, START_SEEN, START_UNSEEN = 0.02, 0.4, 0.05
+START_GOOD = 0.8
+
+
+class Cause(NamedTuple):
+    """Why texts get bad votes: the names of the rules that see it, and whether texts are good all the same."""
+
+    name: str
+    seen_by: tuple[str, ...]
+    good: bool
+
+
+#: The first stands for texts without any cause.
+CAUSES = (
+    Cause("plain", (), True),
+    Cause("short", ("length",), True),
+    Cause("noise", ("symbols", "letters", "word_length"), False),
+    Cause("repetition", ("repeats", "variety", "dup_lines"), False),
+    Cause("shouting", ("capitals", "letters"), False),
+)
+
+
+class Estimate(NamedTuple):
+    """Share of each cause, whether it is good, and under each the chance of a bad vote of every rule that votes."""
+
+    shares: list[float]
+    good: list[bool]
+    bad: list[list[float]]
+
+    @property
+    def prior(self) -> float:
+        return sum(s for s, g in zip(self.shares, self.good) if g)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -100,58 +134,80 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: Mapping[tuple[int, ...], int], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good texts, and of every rule how often its vote on a good and on a bad text is right.
+def estimate(patterns: Mapping[tuple[int, ...], int], causes: Sequence[tuple[Sequence[int], bool]] | None = None, rounds: int = 200) -> Estimate:
+    """The causes' shares and the rules' habits that make the counts of vote ``patterns`` likely.
 
-    Two accuracies a rule tell a rule that nearly always votes good, which says little, from one whose good votes are
-    earned. Starting values and pseudo-counts of two votes fix the sign of the solution; a rule that is right on bad
-    texts less often than it is wrong on good ones says nothing, and its votes then weigh nothing.
+    ``causes`` are the numbers of the rules that see each, and whether it is good; the first is the plain one. Without
+    any there is one fault that all rules see. Starting values and pseudo-counts of two votes fix which cause is which. A
+    rule votes bad on at most half of plain texts, and under a fault at least as often as on plain texts, so that no bad
+    vote speaks for a text.
     """
+    width = len(next(iter(patterns))) if patterns else 0
+    causes = list(causes or [((), True), (range(width), False)])
+    good = [g for _, g in causes]
+    first = [[START_PLAIN if not k else START_SEEN if j in seen else START_UNSEEN for j in range(width)] for k, (seen, _) in enumerate(causes)]
+    even = lambda want: sum(g == want for g in good)
+    rest = [(1 - START_GOOD) / 2 / max(1, even(True) - 1) if g else (1 - START_GOOD) / max(1, even(False)) for g in good]
+    shares = [1 - sum(rest[1:]), *rest[1:]]
     if not patterns:
-        return 0.5, []
-    width = len(next(iter(patterns)))
-    prior, right = 0.8, [START] * width
+        return Estimate(shares, good, first)
+    bad = first
     for _ in range(rounds):
-        good, total = 1.0, 2.0
-        of_good, of_bad = [[2 * START[0], 2.0] for _ in range(width)], [[2 * START[1], 2.0] for _ in range(width)]
+        held = [2 * s for s in shares]
+        against = [[2 * x for x in row] for row in first]
+        voted = [[2.0] * width for _ in causes]
         for v, n in patterns.items():
-            p = posterior(v, prior, right)
-            good, total = good + n * p, total + n
-            for j, x in enumerate(v):
-                if x:
-                    of_good[j][0] += n * p * (x > 0)
-                    of_good[j][1] += n * p
-                    of_bad[j][0] += n * (1 - p) * (x < 0)
-                    of_bad[j][1] += n * (1 - p)
-        prior = min(0.99, max(0.01, good / total))
-        right = []
-        for (a, b), (c, d) in zip(of_good, of_bad):
-            hit = min(MOST_SURE, max(0.5, a / b))
-            right.append((hit, min(MOST_SURE, max(1 - hit, c / d))))
-    return prior, right
+            for k, p in enumerate(belonging(v, shares, bad)):
+                held[k] += n * p
+                for j, x in enumerate(v):
+                    if x:
+                        voted[k][j] += n * p
+                        against[k][j] += n * p * (x < 0)
+        total = sum(held)
+        shares = [max(1e-4, h / total) for h in held]
+        shares = [s / sum(shares) for s in shares]
+        rate = [[min(MOST_SURE, max(1 - MOST_SURE, a / n)) for a, n in zip(*rows)] for rows in zip(against, voted)]
+        plain = [min(0.5, x) for x in rate[0]]
+        bad = [plain] + [row if g else [max(x, y) for x, y in zip(row, plain)] for row, g in zip(rate[1:], good[1:])]
+    return Estimate(shares, good, bad)
+
+
+def _logs(shares: Sequence[float], bad: Sequence[Sequence[float]], votes: Sequence[int]) -> list[float]:
+    return [math.log(s) + sum(math.log(p if x < 0 else 1 - p) for x, p in zip(votes, row) if x) for s, row in zip(shares, bad)]
 
 
-def weights(right: tuple[float, float]) -> tuple[float, float]:
-    """What a good and what a bad vote add to the log-odds of a good text."""
-    hit, miss = right
-    return math.log(hit / (1 - miss)), math.log((1 - hit) / miss)
+def belonging(votes: Sequence[int], shares: Sequence[float], bad: Sequence[Sequence[float]]) -> list[float]:
+    """The probability of each cause, given the votes."""
+    z = _logs(shares, bad, votes)
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
 
 
-def posterior(votes: tuple[int, ...], prior: float, right: list[tuple[float, float]]) -> float:
-    z = math.log(prior / (1 - prior)) + sum(weights(a)[x < 0] for x, a in zip(votes, right) if x)
-    return 1 / (1 + math.exp(-min(700.0, max(-700.0, z))))
+def posterior(votes: tuple[int, ...], found: Estimate) -> float:
+    """The probability that a text with these votes is good."""
+    return sum(p for p, g in zip(belonging(votes, found.shares, found.bad), found.good) if g)
 
 
 def weigh(measured: DataFrame, least: float = 0.5) -> DataFrame:
     """Add ``posterior`` and ``kept`` (posterior of at least ``least``) to rows with the columns MEASURES, which are read twice."""
     made = rules()
+    names = list(made)
     counts = measured.select(*(v.alias(k) for k, v in made.items())).groupBy(*made).count().collect()
-    prior, right = estimate({tuple(r[k] for k in made): r["count"] for r in counts})
-    z = F.lit(math.log(prior / (1 - prior)))
-    for column, a in zip(made.values(), right):
-        up, down = weights(a)
-        z = z + F.when(column > 0, up).when(column < 0, down).otherwise(0.0)
-    return measured.withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("kept", F.col("posterior") >= least)
+    found = estimate({tuple(r[k] for k in made): r["count"] for r in counts}, [([names.index(n) for n in c.seen_by], c.good) for c in CAUSES])
+    logs = []
+    for share, row in zip(found.shares, found.bad):
+        z = F.lit(math.log(share))
+        for column, p in zip(made.values(), row):
+            z = z + F.when(column < 0, math.log(p)).when(column > 0, math.log(1 - p)).otherwise(0.0)
+        logs.append(z)
+    good = F.array(*(F.lit(g) for g in found.good))
+
+    def chance(z: Column) -> Column:
+        e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+        return total(F.transform(F.arrays_zip(e.alias("e"), good.alias("g")), lambda x: F.when(x["g"], x["e"]).otherwise(0.0))) / total(e)
+
+    return measured.withColumn("posterior", let(F.array(*logs), chance)).withColumn("kept", F.col("posterior") >= least)
 
 
 def judge(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
