@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.tables import shared_folder
+
 #: A word is a maximal run of code points other than space, tab, line feed, vertical tab,
 #: form feed and carriage return. ``SPACES`` lists the separators for translate() and strip().
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,15 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset there is no folder known to be shared, so the warehouse, which must be, is used.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-scratch"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -33,7 +26,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     last stage once. The table is removed when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
