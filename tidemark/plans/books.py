@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import odds
 from tidemark.functions.stats import published, rounded
 from tidemark.functions.text import is_playoff, normalize_name, tier, tournament
-from tidemark.operators import coverage, ledger, linking, markets
+from tidemark.operators import coverage, ledger, linking, markets, summaries
 from tidemark.operators import trends as form
-from tidemark.sources import pages, store
+from tidemark.sources import pages, pagetree, store
 from tidemark.sources import fixtures as fx
 
 with_views = fx.with_views
 _R4 = "floor(({}) * 1e4 + 0.5) / 1e4".format
+_R3 = "floor(({}) * 1e3 + 0.5) / 1e3".format
 
 
 def r4(name: str, out: str | None = None):
@@ -204,9 +205,15 @@ def grade(spark, sf):
     return ledger.grade(led, results)
 
 
+EVENTS = ("VCT 2025 Game Changers EMEA - Group Stage", "Challengers League  NA: Week 3", "Champions Tour Pacific - Playoffs: Day 1", "Masters Bangkok   Swiss", "Show match", "Evolution Series VCT Grand Final", "")
+ROUNDS = ("Upper Bracket Final", "Week 1", "SEMIFINALS", "")
+
+
 def names(spark, sf):
+    """Customers' names, and events and rounds of every kind by their keys."""
     c = fx.table(spark, sf, "customer")
-    return c.select("c_custkey", normalize_name("c_name").alias("norm"), tier(F.concat(F.lit("VCT "), "c_mktsegment")).alias("tier"), is_playoff("c_mktsegment").alias("playoff"), tournament(F.concat("c_mktsegment", F.lit(" - Playoffs: Day 1"))).alias("tournament"))
+    of = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("c_custkey") % len(values)).cast("int"))
+    return c.select("c_custkey", normalize_name("c_name").alias("norm"), tier(of(EVENTS)).alias("tier"), is_playoff(of(ROUNDS)).alias("playoff"), tournament(of(EVENTS)).alias("tournament"))
 
 
 def published_probability(spark, sf):
@@ -221,12 +228,59 @@ def page_links(spark, sf):
     return pages.links(fx.table(spark, sf, "pages"))
 
 
+def page_cards(spark, sf):
+    """Entries of the pages' menus: links to a page of this site, the first of each address."""
+    return pages.cards(fx.table(spark, sf, "pages"), r"^/([^/?#]+)")
+
+
+def page_match(spark, sf):
+    """Match pages that are written from contests, read again: header, score, one map with its rounds."""
+    c = fx.contests(spark, sf)
+    t = lambda x: F.lit(x)
+    s = lambda x: F.col(x).cast("string")
+    won = F.col("team1_score") > F.col("team2_score")
+    side = lambda i: (t(f"<a class='match-header-link mod-{i}' href='/team/"), s(f"team{i}"), t(f"/x'><div class='match-header-link-name mod-{i}'><div class='wf-title-med'>T"), s(f"team{i}"), t("</div></div></a>"))
+    score = lambda i, ok: (t("<span class='"), F.when(ok, "match-header-vs-score-winner").otherwise("loser"), t("'>"), s(f"team{i}_score"), t("</span>"))
+    block = lambda i: (t("<div class='team'><div class='score'> "), s(f"team{i}_score"), t(" </div><span class='mod-ct'>"), s("best_of"), t("</span></div>"))
+    rounds = F.array_join(F.transform(F.sequence(t(1), F.col("best_of")), lambda k: F.concat(t("<div class='vlr-rounds-row-col'><div class='rnd-num'>"), k.cast("string"), t("</div><div class='rnd-sq"), F.when((F.col("match_id") + k) % 3 == 0, " mod-win mod-t").otherwise(""), t("'></div><div class='rnd-sq"), F.when((F.col("match_id") + k) % 3 == 1, " mod-win mod-ct").otherwise(""), t("'><img src='/i/boom.webp'></div></div>"))), "")
+    html = F.concat(
+        t("<html><body><div class='match-header-super'><div><a href='/e'><div>"), F.col("map_name"), t(" &amp; more</div><div class='match-header-event-series'>"), F.col("series"), t("</div></a></div></div><div class='moment-tz-convert' data-utc-ts='"), F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss"), t("'>x</div>"),
+        *side(1), t("<div class='match-header-vs'><div class='match-header-vs-note'>final</div><div class='match-header-vs-score'>"), *score(1, won), t("<span>:</span>"), *score(2, ~won), t("</div><div class='match-header-vs-note'>Bo"), s("best_of"), t("</div></div>"), *side(2),
+        t("<div class='vm-stats-game' data-game-id='"), s("match_id"), t("'><div class='vm-stats-game-header'>"), *block(1), t("<div class='map'><span>"), F.col("map_name"), t("<span class='picked'>PICK</span></span></div>"), *block(2), t("</div><div class='vlr-rounds'>"), rounds, t("</div></div></body></html>"),
+    )
+    out = pagetree.match_pages(c.select("match_id", html.alias("html")))
+    m = F.get("maps", F.lit(0))
+    told = F.array_join(F.transform(m["rounds"], lambda r: F.concat_ws("-", r["number"].cast("string"), r["winner"], r["side"], r["win_method"])), ";")
+    return out.select("match_id", "start_ts", "event", "series", "status", "team1_id", "team1_name", "team2_id", "team2_name", "team1_maps", "team2_maps", "winner", "best_of", "error", m["map_name"].alias("map_name"), m["team1_score"].alias("team1_score"), m["team2_score"].alias("team2_score"), m["team1_ct"].alias("team1_ct"), told.alias("rounds"))
+
+
+def daily_summaries(spark, sf):
+    """Rows and distinct users of each week from daily sketches, beside exact counts; the estimate is judged, not shown."""
+    e = fx.table(spark, sf, "events").select("ts", "user_id", "event_type")
+    week = F.date_trunc("week", "ts").cast("date").alias("week")
+    days = summaries.by_day(e, "ts", "user_id")
+    guess = summaries.merged(days, F.date_trunc("week", "day").cast("date").alias("week")).select("week", F.col("n").alias("rows_merged"), F.col("n_distinct").alias("guess"))
+    exact = summaries.distinct_values(e, "user_id", week).join(guess, "week")
+    near = F.abs(F.col("guess") - F.col("n_distinct")) <= 4 * summaries.standard_error() * F.col("n_distinct") + 1
+    return exact.select("week", "n", "rows_merged", "n_distinct", near.alias("estimate_near"))
+
+
+def value_counts(spark, sf):
+    return summaries.value_counts(fx.table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+def linear_fit(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    out = summaries.linear_fit(rows, "x", "y", 1_000_000.0, "l_returnflag")
+    return out.select("l_returnflag", "n", rounded(F.col("slope"), 3).alias("slope"), rounded(F.col("intercept"), 3).alias("intercept"), rounded(F.col("crossing"), 3).alias("crossing"))
+
+
 def last_rows(spark, sf):
     e = fx.table(spark, sf, "events").select("user_id", "event_id", "ts")
     return form.last_rows(e, "user_id", 5, ["ts", "event_id"])
 
 
-QUERIES = {f.__name__: f for f in (ledger_summary, tier_period_metrics, tier_leaders, checkpoint, calibration_cells, spiegelhalter, calibration_curve, ece, scoreboard_pending, scoreboard_graded, capture_state, entry_close, devig, picks, market_agg, unit_tracker, skipped_counts, coverage_partition, capture_log, dedupe_unlinked, link_fixture, retro_match, fuzzy_top, upsert, ledger_insert, ingest_dedupe, grade, names, published_probability, page_fields, page_links, last_rows)}
+QUERIES = {f.__name__: f for f in (ledger_summary, tier_period_metrics, tier_leaders, checkpoint, calibration_cells, spiegelhalter, calibration_curve, ece, scoreboard_pending, scoreboard_graded, capture_state, entry_close, devig, picks, market_agg, unit_tracker, skipped_counts, coverage_partition, capture_log, dedupe_unlinked, link_fixture, retro_match, fuzzy_top, upsert, ledger_insert, ingest_dedupe, grade, names, published_probability, page_fields, page_links, page_cards, page_match, daily_summaries, value_counts, linear_fit, last_rows)}
 
 _CLIP = "least(greatest({0}, 1e-6), 1 - 1e-6)".format
 _LL = lambda p: f"-(team1_won * ln({_CLIP(p)}) + (1 - team1_won) * ln(1 - {_CLIP(p)}))"
@@ -278,8 +332,21 @@ scored AS (SELECT fixture_id, match_id, m.s AS s, list_min(list_transform([m.x,
 best AS (SELECT fixture_id, match_id, max(v) AS score, arg_max(s, (v, s)) AS s FROM scored GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nxt, lead(match_id) OVER w AS other FROM best WINDOW w AS (PARTITION BY fixture_id ORDER BY score DESC, match_id))
 SELECT fixture_id, match_id, score, s AS book_home_is_team1, CASE WHEN nxt >= 0.75 AND score - nxt < 0.05 THEN other END AS ambiguous_with FROM ranked WHERE r = 1 AND score >= 0.75"""
+_VISIBLE_SQL = r"""v AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g') AS h FROM pages),
+found AS (SELECT page_id, regexp_extract_all(h, '(?is)<a\s[^>]*href\s*=\s*[\x22\x27][^\x22\x27]*[\x22\x27][^>]*>.*?</a\s*>') AS a FROM v), each_link AS (SELECT page_id, unnest(a) AS a, CAST(generate_subscripts(a, 1) - 1 AS INT) AS position FROM found),
+links AS (SELECT page_id, position, regexp_extract(a, '(?is)href\s*=\s*[\x22\x27]([^\x22\x27]*)[\x22\x27]', 1) AS href, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM each_link)"""
 ORACLES = {
     "fuzzy_top": _FUZZY_SQL,
+    "page_links": f"WITH {_VISIBLE_SQL} SELECT page_id, position, href, text FROM links",
+    "page_cards": f"WITH {_VISIBLE_SQL} SELECT page_id, regexp_extract(href, '^/([^/?#]+)', 1) AS id, arg_min(text, position) AS text, min(position) AS position FROM links WHERE regexp_extract(href, '^/([^/?#]+)', 1) <> '' GROUP BY 1, 2",
+    "page_match": f"""{with_views("contests")} SELECT match_id, timezone('UTC', timezone('America/New_York', date_trunc('second', start_ts))) AS start_ts, map_name || ' & more' AS event, series, 'completed' AS status,
+       CAST(team1 AS VARCHAR) AS team1_id, 'T' || team1 AS team1_name, CAST(team2 AS VARCHAR) AS team2_id, 'T' || team2 AS team2_name, team1_score AS team1_maps, team2_score AS team2_maps, CASE WHEN team1_score > team2_score THEN 'team1' ELSE 'team2' END AS winner, best_of,
+       NULL::VARCHAR AS error, map_name, team1_score, team2_score, best_of AS team1_ct,
+       array_to_string(list_transform(range(1, best_of + 1), lambda k: k || CASE (match_id + k) % 3 WHEN 0 THEN '-team1-attack-' WHEN 1 THEN '-team2-defense-boom' ELSE '---' END), ';') AS rounds FROM contests""",
+    "daily_summaries": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS n, count(*) AS rows_merged, count(DISTINCT user_id) AS n_distinct, TRUE AS estimate_near FROM events GROUP BY 1",
+    "value_counts": "SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2",
+    "linear_fit": f"""WITH f AS (SELECT l_returnflag, count(*) AS n, regr_slope(l_extendedprice::DOUBLE, l_quantity::DOUBLE) AS b, regr_intercept(l_extendedprice::DOUBLE, l_quantity::DOUBLE) AS a FROM lineitem GROUP BY 1)
+SELECT l_returnflag, n, {_R3("b")} AS slope, {_R3("a")} AS intercept, CASE WHEN b > 0 THEN {_R3("(1e6 - a) / b")} END AS crossing FROM f""",
     "ledger_summary": f"{with_views('ledger')} SELECT count(*) FILTER (NOT graded) AS n_pending, count(*) FILTER (graded) AS n_graded, count(*) FILTER (graded AND low_history) AS n_low_history, count(*) FILTER (graded AND NOT low_history) AS n_scored, "
     + ", ".join(f"{_R4(f'avg({g(p)}) FILTER (graded AND NOT low_history)')} AS {m}_{s}" for p, s in (("p_model", "model"), ("p_elo", "elo")) for m, g in (("log_loss", _LL), ("brier", _BR), ("accuracy", _ACC))) + " FROM ledger",
     "tier_period_metrics": f"{with_views('ledger')}, {_SCORED} SELECT tier, period, CAST(grouping(period) AS INT) AS whole, count(*) AS n_scored, {_R4(f'avg({_LL("p_model")})')} AS log_loss_model, {_R4(f'avg({_BR("p_model")})')} AS brier_model, {_R4(f'avg({_ACC("p_model", ">")})')} AS accuracy_model, {_R4(f'avg({_LL("p_elo")})')} AS log_loss_elo FROM scored GROUP BY GROUPING SETS ((tier), (tier, period))",
@@ -310,7 +377,11 @@ SELECT bucket, count(*) AS n FROM x GROUP BY 1""",
     "ledger_insert": f"{with_views('ledger')}, b AS (SELECT match_id, start_ts, match_id AS position FROM ledger WHERE match_id % 2 = 0 UNION ALL SELECT match_id, start_ts, match_id + 1 FROM ledger WHERE match_id % 6 = 0) SELECT match_id, position, CASE WHEN epoch_us(start_ts) - epoch_us(TIMESTAMP '1995-01-01') < 300000000 THEN 'too_late' WHEN match_id % 5 = 0 OR position <> match_id THEN 'frozen' ELSE 'inserted' END AS status FROM b",
     "ingest_dedupe": f"{with_views('captures')} SELECT DISTINCT match_id, market, line, source, capture_kind FROM captures WHERE seq % 2 = 1 EXCEPT SELECT match_id, market, line, source, capture_kind FROM captures WHERE seq % 2 = 0",
     "grade": f"{with_views('ledger')} SELECT match_id, graded OR match_id % 3 = 0 AND team1_won IS NOT NULL AS graded, team1_won, maps_played FROM ledger WHERE graded OR match_id % 3 <> 0 UNION ALL SELECT match_id, TRUE, 1, 3 FROM ledger WHERE NOT graded AND match_id % 3 = 0",
-    "names": "SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS norm, 'tier1' AS tier, FALSE AS playoff, c_mktsegment AS tournament FROM customer",
+    "names": rf"""WITH c AS (SELECT c_custkey, c_name, trim(regexp_replace({list(EVENTS)!r}[c_custkey % {len(EVENTS)} + 1], '\s+', ' ', 'g')) AS e, lower({list(ROUNDS)!r}[c_custkey % {len(ROUNDS)} + 1]) AS s FROM customer)
+SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS norm,
+       CASE WHEN lower(e) LIKE '%game changers%' THEN 'game_changers' WHEN lower(e) LIKE '%challengers%' OR lower(e) LIKE '%evolution series%' THEN 'tier2' WHEN regexp_matches(lower(e), '\bvct\b') OR lower(e) LIKE '%champions tour%' OR lower(e) LIKE '%masters%' THEN 'tier1' ELSE 'other' END AS tier,
+       s LIKE '%playoff%' OR s LIKE '%final%' OR s LIKE '%bracket%' AS playoff,
+       coalesce(nullif(regexp_replace(regexp_replace(e, '(Group Stage|Week [0-9]|Playoffs|Swiss|Grand Final).*$', ''), '^[ :-]+|[ :-]+$', '', 'g'), ''), '(unknown event)') AS tournament FROM c""",
     "published_probability": f"{with_views('ledger')} SELECT match_id, least(greatest({_R4('p_model')}, 0.0001::DOUBLE), 0.9999::DOUBLE) AS p FROM ledger",
     "last_rows": "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5",
     "page_fields": r"""WITH v AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g') AS h FROM pages)

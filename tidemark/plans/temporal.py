@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import series
-from tidemark.functions.stats import rounded, shrunk_rate
+from tidemark.functions.stats import expected_score, rounded, shrunk_rate
 from tidemark.functions.time import days_between, half_year, zone_to_utc
 from tidemark.operators import asof, evaluation, features, flatten, pool, predict, ratings, roster, trends, views
 from tidemark.operators.intervals import phase_peaks
@@ -330,6 +330,15 @@ def cadence(spark, sf):
     return evaluation.cadence_ticks(ended(spark, sf).select("match_id", "end_ts"), warmup=300)
 
 
+def baselines(spark, sf):
+    """Plain callers on the last part of the contests: ratings, ratings on the map, the favourite, and even odds."""
+    test = evaluation.chronological_split(_games(spark, sf).select("match_id", "start_ts", "won")).where("part = 'test'")
+    m = F.get("maps", F.lit(0))
+    looks = ratings.prematch(ratings.rating_log(_games(spark, sf))).select("match_id", "p", expected_score(m["rating"], m["opp_rating"]).alias("p_map"))
+    out = evaluation.baselines(test.join(looks, "match_id"), {"ratings": "p", "ratings_on_map": "p_map"}, "won")
+    return out.select("caller", "n", *(rounded(F.col(c)).alias(c) for c in ("log_loss", "brier", "accuracy")))
+
+
 def _coordinates(spark, sf) -> tuple[DataFrame, list[str]]:
     e = table(spark, sf, "embeddings")
     names = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
@@ -345,7 +354,7 @@ def vif(spark, sf):
     return evaluation.vif(*_coordinates(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (trends_all, trends_current, trends_scoped, long_frame, match_lite, match_table, pool_table, pool_top, pool_fallback, asof_counts, asof_decayed, asof_shrunk, asof_priors, asof_by_map, rest_days, range_join_counts, roster_weighted, snapshot, elo_prematch, elo_tuned_k, elo_trajectory, elo_at_cutoff, core_roster, membership, series_dp, maps_dist, sequence_complete, veto_parse, schedule, feature_rows, predict_rows, chrono_split, folds, augment, tz_shift, periods, phase_peak, cadence, corr_topk, vif)}
+QUERIES = {f.__name__: f for f in (trends_all, trends_current, trends_scoped, long_frame, match_lite, match_table, pool_table, pool_top, pool_fallback, asof_counts, asof_decayed, asof_shrunk, asof_priors, asof_by_map, rest_days, range_join_counts, roster_weighted, snapshot, elo_prematch, elo_tuned_k, elo_trajectory, elo_at_cutoff, core_roster, membership, series_dp, maps_dist, sequence_complete, veto_parse, schedule, feature_rows, predict_rows, chrono_split, folds, augment, tz_shift, periods, phase_peak, cadence, baselines, corr_topk, vif)}
 
 #: Looks and results in order of time, with teams and maps numbered from 1.
 _EVENTS_SQL = """games AS (
@@ -468,6 +477,17 @@ SELECT p.pm AS match_id, p.team, count(w) AS n, {_R3("coalesce(sum(w), 0)")} AS
     "elo_prematch": f"""{with_views("contests", recursive=True)}, {_EVENTS_SQL}, {_MAP_BOOK_SQL}, looks AS (
   SELECT match_id, o[ua] AS ra, o[ub] AS rb, g[(ua - 1) * 5 + m] AS n, coalesce(r[(ua - 1) * 5 + m], o[ua]) AS ma FROM book JOIN ev USING (i) WHERE look = 1
 ) SELECT match_id, {_R3("ra")} AS rating, {_R3("rb")} AS opp_rating, {_R4("1 / (1 + pow(10.0::DOUBLE, (rb - ra) / 400))")} AS p, {_R3("n / (n + 10.0::DOUBLE) * ma + (1 - n / (n + 10.0::DOUBLE)) * ra")} AS map_rating FROM looks""",
+    "baselines": f"""{with_views("contests", recursive=True)}, {_EVENTS_SQL}, {_MAP_BOOK_SQL}, placed AS (SELECT match_id, row_number() OVER (ORDER BY start_ts, match_id) AS place, count(*) OVER () AS total FROM games),
+p AS (SELECT match_id, won, 1 / (1 + pow(10.0::DOUBLE, (rb - ra) / 400)) AS p, 1 / (1 + pow(10.0::DOUBLE, ((nb * mb + 10 * rb) / (nb + 10.0::DOUBLE) - (na * ma + 10 * ra) / (na + 10.0::DOUBLE)) / 400)) AS q
+  FROM (SELECT match_id, won, o[ua] AS ra, o[ub] AS rb, g[(ua - 1) * 5 + m] AS na, coalesce(r[(ua - 1) * 5 + m], o[ua]) AS ma, g[(ub - 1) * 5 + m] AS nb, coalesce(r[(ub - 1) * 5 + m], o[ub]) AS mb FROM book JOIN ev USING (i) WHERE look = 1) JOIN placed USING (match_id) WHERE place > floor(total * 0.85::DOUBLE)),
+calls AS (SELECT won, unnest([{{'c': 'ratings', 'p': p}}, {{'c': 'ratings_on_map', 'p': q}}, {{'c': 'favourite', 'p': p}}, {{'c': 'even', 'p': 0.5::DOUBLE}}]) AS x FROM p)
+SELECT x.c AS caller, count(*) AS n, {_R4("CASE WHEN x.c <> 'favourite' THEN avg(-ln(CASE WHEN won = 1 THEN x.p ELSE 1 - x.p END)) END")} AS log_loss, {_R4("CASE WHEN x.c <> 'favourite' THEN avg((x.p - won) * (x.p - won)) END")} AS brier,
+       {_R4("CASE WHEN x.c <> 'even' THEN avg(CASE WHEN (x.p >= 0.5) = (won = 1) THEN 1.0::DOUBLE ELSE 0.0 END) END")} AS accuracy FROM calls GROUP BY 1""",
+    "cadence": f"""{with_views("contests", recursive=True)}, placed AS (SELECT end_ts, row_number() OVER (ORDER BY end_ts, match_id) AS i FROM contests), begin AS (SELECT end_ts AS t0 FROM placed WHERE i = 300),
+slots AS (SELECT greatest(0, ceil((epoch_us(end_ts) - epoch_us(t0)) / 21600000000.0::DOUBLE))::BIGINT AS s FROM contests, begin), ticks AS (SELECT t.s, (SELECT count(*) FROM slots WHERE slots.s <= t.s) AS done FROM (SELECT unnest(range(0, (SELECT max(s) FROM slots) + 1)) AS s) t),
+later AS (SELECT a.s, min(b.s) AS s2 FROM ticks a JOIN ticks b ON b.s > a.s AND ((b.s - a.s) * 6 >= 168 OR b.done - a.done >= 100) GROUP BY a.s),
+chosen(n, s, was) AS (SELECT 1, 0::BIGINT, NULL::BIGINT UNION ALL SELECT n + 1, s2, chosen.s FROM chosen JOIN later USING (s))
+SELECT n AS index, t0 + to_hours(CAST(6 * s AS INT)) AS "at", done AS n_done, CASE WHEN was IS NULL THEN 'warmup' WHEN (s - was) * 6 >= 168 THEN 'age' ELSE 'new' END AS reason FROM chosen JOIN ticks USING (s), begin""",
     "elo_tuned_k": f"""{with_views("contests", recursive=True)}, {_EVENTS_SQL}, ks AS (SELECT unnest([16, 24, 32, 40, 50, 64, 80, 100, 128])::DOUBLE AS k), {_BOOK_SQL}, losses AS (
   SELECT k, avg(-ln(CASE WHEN won = 1 THEN p ELSE 1 - p END)) AS loss FROM (SELECT k, won, least(greatest(1 / (1 + pow(10.0::DOUBLE, (rb - ra) / 400)), 1e-6), 1 - 1e-6) AS p FROM log JOIN games USING (match_id) WHERE look = 1) GROUP BY k
 ) SELECT k, {_R4("loss")} AS loss, k = (SELECT k FROM losses ORDER BY loss, k LIMIT 1) AS best FROM losses""",

@@ -8,7 +8,7 @@ is one slice of the array, whatever the nesting; all selection is done on such s
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -109,9 +109,14 @@ def trees(pages: DataFrame, html: str = "html", out: str = "nodes") -> DataFrame
     return rows.mapInArrow(run, StructType([*pages.select(*rest).schema.fields, *StructType.fromDDL(f"{out} {NODES}").fields]))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it any number of times in ``body``: selections nest, and would multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def inside(nodes: Column, e: Column) -> Column:
     """What lies inside an element; nothing inside a missing one."""
-    return F.when(e.isNotNull(), F.slice(nodes, e["n"] + 1, e["last"] - e["n"])).otherwise(F.slice(nodes, 1, 0))
+    return let(e, lambda x: F.when(x.isNotNull(), F.slice(nodes, x["n"] + 1, x["last"] - x["n"])).otherwise(F.slice(nodes, 1, 0)))
 
 
 def having(nodes: Column, *classes: str, tag: str | None = None, attr: str | None = None) -> Column:
@@ -142,10 +147,13 @@ def text_of(nodes: Column, e: Column, joint: str = "") -> Column:
 
 def own_text_of(nodes: Column, e: Column) -> Column:
     """Text of an element that is in no element inside it."""
-    within = inside(nodes, e)
-    deep = F.filter(within, lambda x: x["tag"] != TEXT)
-    mine = F.filter(within, lambda x: (x["tag"] == TEXT) & ~F.exists(deep, lambda d: (x["n"] > d["n"]) & (x["n"] <= d["last"])))
-    return F.trim(F.array_join(F.transform(mine, lambda x: x["text"]), ""))
+
+    def mine(within: Column) -> Column:
+        deep = F.filter(within, lambda x: x["tag"] != TEXT)
+        own = lambda ds: F.filter(within, lambda x: (x["tag"] == TEXT) & ~F.exists(ds, lambda d: (x["n"] > d["n"]) & (x["n"] <= d["last"])))
+        return let(deep, lambda ds: F.array_join(F.transform(own(ds), lambda x: x["text"]), ""))
+
+    return F.trim(let(inside(nodes, e), mine))
 
 
 def number(text: Column, kind: str = "int") -> Column:
@@ -163,11 +171,14 @@ LABELS = ("PICK", "BAN", "DECIDER")
 
 def map_name(nodes: Column, header: Column) -> Column:
     """The map of a game's header: the first span whose own text is neither a label of the veto nor a time."""
-    at = first(having(inside(nodes, header), "map"))
-    spans = F.transform(having(inside(nodes, at), tag="span"), lambda s: own_text_of(nodes, s))
-    said = first(F.filter(spans, lambda t: (t != "") & ~F.upper(t).isin(*LABELS) & ~t.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$")))
-    line = F.regexp_replace(F.split_part(text_of(nodes, at, "\n"), F.lit("\n"), F.lit(1)), r"\s*\d{1,2}:\d{2}(:\d{2})?\s*$", "")
-    return F.trim(F.regexp_replace(F.coalesce(said, line), rf"({'|'.join(LABELS)})\s*$", ""))
+
+    def named(at: Column) -> Column:
+        spans = F.transform(having(inside(nodes, at), tag="span"), lambda s: own_text_of(nodes, s))
+        said = first(F.filter(spans, lambda t: (t != "") & ~F.upper(t).isin(*LABELS) & ~t.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$")))
+        line = F.regexp_replace(F.split_part(text_of(nodes, at, "\n"), F.lit("\n"), F.lit(1)), r"\s*\d{1,2}:\d{2}(:\d{2})?\s*$", "")
+        return F.trim(F.regexp_replace(F.coalesce(said, line), rf"({'|'.join(LABELS)})\s*$", ""))
+
+    return let(first(having(inside(nodes, header), "map")), named)
 
 
 def round_strip(nodes: Column, game: Column) -> Column:
@@ -175,47 +186,53 @@ def round_strip(nodes: Column, game: Column) -> Column:
     strip = first(having(inside(nodes, game), "vlr-rounds"))
     columns = F.filter(having(inside(nodes, strip), "vlr-rounds-row-col"), lambda c: ~has(c, "mod-spacing") & (F.size(having(inside(nodes, c), "rnd-sq")) > 0))
 
-    def one(c: Column, i: Column) -> Column:
-        squares = having(inside(nodes, c), "rnd-sq")
-        place = F.array_position(F.transform(squares, lambda s: has(s, "mod-win")), True)
-        won = F.get(squares, (place - 1).cast("int"))
-        stem = F.regexp_extract(first(having(inside(nodes, won), tag="img"))["attrs"]["src"], r"([^/.]*)(?:\.[^/]*)?$", 1)
-        return F.struct(
+    def won_by(c: Column, i: Column, squares: Column, place: Column) -> Column:
+        stem = lambda won: F.regexp_extract(first(having(inside(nodes, won), tag="img"))["attrs"]["src"], r"([^/.]*)(?:\.[^/]*)?$", 1)
+        told = lambda won: F.struct(
             F.coalesce(number(text_of(nodes, first(having(inside(nodes, c), "rnd-num")))), i + 1).alias("number"),
             F.when(place == 1, "team1").when(place > 1, "team2").otherwise("").alias("winner"),
             F.when(has(won, "mod-t"), "attack").when(has(won, "mod-ct"), "defense").otherwise("").alias("side"),
-            F.when(stem.isin("elim", "boom", "defuse", "time"), stem).otherwise("").alias("win_method"),
+            let(stem(won), lambda x: F.when(x.isin("elim", "boom", "defuse", "time"), x).otherwise("")).alias("win_method"),
         )
+        return let(F.get(squares, (place - 1).cast("int")), told)
+
+    def one(c: Column, i: Column) -> Column:
+        at = lambda squares: F.array_position(F.transform(squares, lambda s: has(s, "mod-win")), True)
+        return let(having(inside(nodes, c), "rnd-sq"), lambda squares: let(at(squares), lambda place: won_by(c, i, squares, place)))
 
     return F.transform(columns, one)
 
 
 def player_cells(nodes: Column, game: Column) -> Column:
     """Players of a game in order, from a name cell each and an even share of the other cells."""
-    cells = having(inside(nodes, game), "ovw-cell")
-    names, stats = F.filter(cells, lambda c: has(c, "mod-player")), F.filter(cells, lambda c: ~has(c, "mod-player"))
-    share = F.floor(F.size(stats) / F.greatest(F.size(names), F.lit(1))).cast("int")
 
-    def one(cell: Column, i: Column) -> Column:
-        own = F.slice(stats, i * share + 1, share)
+    def one(cell: Column, own: Column) -> Column:
         value = lambda col: number(shown(nodes, first(F.filter(own, lambda c: c["attrs"]["data-col"] == col))), "double")
         parts = F.flatten(F.transform(F.filter(own, lambda c: has(c, "mod-kda")), lambda c: having(inside(nodes, c), "ovw-kda-stat")))
-        count = lambda col: number(shown(nodes, first(F.filter(parts, lambda c: c["attrs"]["data-col"] == col))))
-        within = inside(nodes, cell)
-        picture = first(having(inside(nodes, first(having(within, "ovw-agents"))), tag="img"))["attrs"]
-        name = F.coalesce(F.nullif(text_of(nodes, first(having(within, "ovw-player-name"))), F.lit("")), text_of(nodes, first(having(within, "text-of"))))
-        return F.struct(
-            name.alias("name"), F.coalesce(F.nullif(picture["title"], F.lit("")), picture["alt"], F.lit("")).alias("agent"),
-            *(count(c).alias(c) for c in ("kills", "deaths", "assists")), value("acs").alias("acs"), value("kast").alias("kast_pct"), value("adr").alias("adr"), value("hsp").alias("hs_pct"),
+        count = lambda ps, col: number(shown(nodes, first(F.filter(ps, lambda c: c["attrs"]["data-col"] == col))))
+        picture = lambda within: first(having(inside(nodes, first(having(within, "ovw-agents"))), tag="img"))["attrs"]
+        name = lambda within: F.coalesce(F.nullif(text_of(nodes, first(having(within, "ovw-player-name"))), F.lit("")), text_of(nodes, first(having(within, "text-of"))))
+        told = lambda within, ps, pic: F.struct(
+            name(within).alias("name"), F.coalesce(F.nullif(pic["title"], F.lit("")), pic["alt"], F.lit("")).alias("agent"),
+            *(count(ps, c).alias(c) for c in ("kills", "deaths", "assists")), value("acs").alias("acs"), value("kast").alias("kast_pct"), value("adr").alias("adr"), value("hsp").alias("hs_pct"),
             value("fb").cast("int").alias("fk"), value("fd").cast("int").alias("fd"),
         )
+        return let(inside(nodes, cell), lambda within: let(parts, lambda ps: let(picture(within), lambda pic: told(within, ps, pic))))
+
+    def all_of(names: Column, stats: Column, share: Column) -> Column:
+        return F.when(F.size(names) >= 2, F.transform(names, lambda cell, i: let(F.slice(stats, i * share + 1, share), lambda own: one(cell, own))))
 
-    return F.when(F.size(names) >= 2, F.transform(names, one))
+    def parted(cells: Column) -> Column:
+        names, stats = F.filter(cells, lambda c: has(c, "mod-player")), F.filter(cells, lambda c: ~has(c, "mod-player"))
+        share = lambda ns, ss: F.floor(F.size(ss) / F.greatest(F.size(ns), F.lit(1))).cast("int")
+        return let(names, lambda ns: let(stats, lambda ss: let(share(ns, ss), lambda k: all_of(ns, ss, k))))
+
+    return let(having(inside(nodes, game), "ovw-cell"), parted)
 
 
 def table_rows(nodes: Column, table: Column) -> Column:
     """Rows of a table's body as arrays of cells."""
-    body = F.coalesce(first(having(inside(nodes, table), tag="tbody")), table)
+    body = let(table, lambda t: F.coalesce(first(having(inside(nodes, t), tag="tbody")), t))
     return F.filter(F.transform(having(inside(nodes, body), tag="tr"), lambda r: having(inside(nodes, r), tag="td")), lambda r: F.size(r) > 0)
 
 
@@ -245,12 +262,9 @@ def games_of(nodes: Column) -> Column:
     """Maps of a match page that have two scores, numbered from 1; the block of all maps together is none."""
     blocks = F.filter(having(nodes, "vm-stats-game", tag="div", attr="data-game-id"), lambda g: ~g["attrs"]["data-game-id"].isin("", "all"))
 
-    def one(g: Column) -> Column:
-        header = first(having(inside(nodes, g), "vm-stats-game-header"))
-        teams = having(inside(nodes, header), "team")
+    def told(g: Column, header: Column, teams: Column, cells: Column, legacy: Column) -> Column:
         team = lambda i: F.get(teams, F.lit(i))
         score = lambda i: number(text_of(nodes, first(having(inside(nodes, team(i)), "score"))))
-        cells, legacy = player_cells(nodes, g), player_tables(nodes, g)
         half = F.floor(F.size(cells) / 2).cast("int")
         return F.struct(
             g["attrs"]["data-game-id"].alias("game_id"), map_name(nodes, header).alias("map_name"), score(0).alias("team1_score"), score(1).alias("team2_score"),
@@ -259,6 +273,10 @@ def games_of(nodes: Column) -> Column:
             F.coalesce(F.slice(cells, 1, half), F.get(legacy, F.lit(0))).alias("team1_players"), F.coalesce(F.slice(cells, half + 1, F.size(cells)), F.get(legacy, F.lit(1))).alias("team2_players"),
         )
 
+    def one(g: Column) -> Column:
+        whole = lambda h, ts: let(player_cells(nodes, g), lambda cs: let(player_tables(nodes, g), lambda ls: told(g, h, ts, cs, ls)))
+        return let(first(having(inside(nodes, g), "vm-stats-game-header")), lambda h: let(having(inside(nodes, h), "team"), lambda ts: whole(h, ts)))
+
     return F.filter(F.transform(blocks, one), lambda m: m["team1_score"].isNotNull() & m["team2_score"].isNotNull())
 
 
@@ -267,19 +285,20 @@ def match_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Start times are wall clocks of the site's zone. A page without one has an error, and its other fields are what was found.
     """
-    known = trees(pages, html)
     n = F.col("nodes")
+    spans = F.transform(F.filter(having(inside(n, first(having(n, "match-header-vs-score"))), tag="span"), lambda s: text_of(n, s).rlike(r"^\d+$")), lambda s: F.struct(text_of(n, s).try_cast("int").alias("v"), has(s, "match-header-vs-score-winner").alias("w")))
+    # what several fields use becomes a column of its own
+    known = trees(pages, html).withColumns({"_above": first(having(n, "match-header-super")), "_spans": spans, "_status": F.lower(text_of(n, first(having(n, "match-header-vs-note"))))})
     at = lambda *classes, of=n, **more: first(having(of, *classes, **more))
-    above = at("match-header-super")
+    above, spans = F.col("_above"), F.col("_spans")
     link = at(of=inside(n, above), tag="a")
     event = F.when(link.isNotNull(), text_of(n, F.coalesce(at(of=inside(n, link), tag="div"), link))).otherwise(text_of(n, at(of=inside(n, above), tag="div")))
-    status = F.lower(text_of(n, at("match-header-vs-note")))
+    status = F.col("_status")
     said = F.when(status.contains("final"), "completed").when(status.contains("live"), "live").when(status != "", "upcoming").otherwise("unknown")
     raw = F.trim(at("moment-tz-convert", attr="data-utc-ts")["attrs"]["data-utc-ts"])
     start = zone_to_utc(F.coalesce(F.try_to_timestamp(raw, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(raw, F.lit("yyyy-MM-dd'T'HH:mm:ss"))))
-    spans = F.filter(having(inside(n, at("match-header-vs-score")), tag="span"), lambda s: text_of(n, s).rlike(r"^\d+$"))
-    score = lambda i: F.when(F.size(spans) >= 2, text_of(n, F.get(spans, F.lit(i))).try_cast("int"))
-    marked = lambda i: has(F.get(spans, F.lit(i)), "match-header-vs-score-winner")
+    score = lambda i: F.when(F.size(spans) >= 2, F.get(spans, F.lit(i))["v"])
+    marked = lambda i: F.get(spans, F.lit(i))["w"]
     winner = F.when(F.size(spans) < 2, "").when(marked(0), "team1").when(marked(1), "team2").when(said == "completed", F.when(score(0) > score(1), "team1").otherwise("team2")).otherwise("")
     side = lambda i: at("match-header-link-name", f"mod-{i}")
     name = lambda i: F.split_part(text_of(n, F.coalesce(at("wf-title-med", of=inside(n, side(i))), side(i)), "\n"), F.lit("\n"), F.lit(1))
@@ -292,7 +311,7 @@ def match_pages(pages: DataFrame, html: str = "html") -> DataFrame:
         **{f"team{i}_{what}": make(i) for i in (1, 2) for what, make in (("id", team_id), ("name", name))}, "team1_maps": score(0), "team2_maps": score(1), "winner": winner, "best_of": best_of,
         "maps": F.when(said == "completed", games_of(n)), "error": F.when(F.size(n) == 0, "empty page").when(start.isNull(), "no start time"),
     }
-    return known.select(*(c for c in known.columns if c != "nodes" and c not in made), *(v.alias(k) for k, v in made.items()))
+    return known.select(*(c for c in known.columns if c not in ("nodes", "_above", "_spans", "_status") and c not in made), *(v.alias(k) for k, v in made.items()))
 
 
 def performance(pages: DataFrame, html: str = "html") -> DataFrame:
