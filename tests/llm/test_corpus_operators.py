@@ -3,6 +3,7 @@ extra columns with clashing names."""
 
 import itertools
 import json
+import math
 import sys
 import zlib
 from collections import Counter
@@ -357,6 +358,33 @@ def test_masking_overlaps_and_positions(spark, docs):
     assert out[0] is None and out[8] == LONG and out[9] == ODD[9]
 
 
+def plain_score(model, text):
+    """The network for one text, passage by passage, in plain Python."""
+    x, _ = quality.encode([text])
+    w = {k: np.asarray(v, dtype=float).tolist() for k, v in model.weights.items()}
+    dot = lambda row, matrix, j: sum(a * b[j] for a, b in zip(row, matrix))
+    hidden, asked = [], []
+    for row in ((x - model.mean) / model.scale).tolist():
+        h = [math.tanh(dot(row, w["W"], j) + b) for j, b in enumerate(w["b"])]
+        gate = [math.tanh(dot(h, w["V"], j)) / (1 + math.exp(-dot(h, w["U"], j))) for j in range(len(w["a"]))]
+        hidden.append(h)
+        asked.append(sum(g * a for g, a in zip(gate, w["a"])))
+    weights = [math.exp(e - max(asked)) for e in asked]
+    pooled = [sum(a * h[j] for a, h in zip(weights, hidden)) / sum(weights) for j in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-(sum(z * c for z, c in zip(pooled, w["c"])) + w["d"][0])))
+
+
+def test_scores_equal_a_plain_forward_pass(spark, docs):
+    rng = np.random.default_rng(2)
+    texts = [words(int(n), int(n)) if n % 2 else " ".join(w + "#" for w in words(int(n), 1).split()) for n in rng.integers(5, 400, 60)]
+    labels = spark.createDataFrame([(i, len(t) and int("#" not in t)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    model = quality.learn(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels)
+    assert model.constant is None
+    for r in quality.score(docs, model).collect():
+        if len(r.text or "") < 60_000:
+            assert r.score == pytest.approx(plain_score(model, r.text or ""), abs=1e-4), r.doc_id
+
+
 def test_passages_of_long_texts_are_not_stretched():
     text = words(260_000, 4).encode()[:1_000_000].decode()
     text = text[:512_000] + "#" * 2048 + text[514_048:]

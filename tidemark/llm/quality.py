@@ -69,22 +69,22 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(raw)), counts)
     out = np.zeros((total, WIDTH))
     out[:, :129] = np.sqrt(shares)
-    if len(at):
-        word = np.add.reduceat(np.where(space, 0, VALUES[data]), at)
-        n = np.maximum(np.bincount(own, minlength=total), 1)
-        for k in (1, 2):  # words that equal the one before, or the one before that
-            same = np.zeros(len(at), dtype=bool)
-            same[k:] = (word[k:] == word[:-k]) & (doc[at[k:]] == doc[at[:-k]])
-            out[:, 128 + k] = np.bincount(own[same], minlength=total) / n
-        words, kinds = _repeats(own, word, total)
-        out[:, 131] = kinds / np.maximum(words, 1)
-        out[:, 132] = words / 100
-        out[:, 133] = length / n / 10
-        three = word.copy()
-        three[2:] = word[2:] * 3 + word[1:-1] * 5 + word[:-2] * 7
-        words, kinds = _repeats(doc[at], three, len(raw))
-        out[:, 134] = (kinds / np.maximum(words, 1))[owner]
-        out[:, 135] = np.log1p(words)[owner] / 10
+    # a text is encoded alike whatever stands beside it, also if no text here has a word
+    word = np.add.reduceat(np.where(space, 0, VALUES[data]), at) if len(at) else np.zeros(0, np.int64)
+    n = np.maximum(np.bincount(own, minlength=total), 1)
+    for k in (1, 2):  # words that equal the one before, or the one before that
+        same = np.zeros(len(at), dtype=bool)
+        same[k:] = (word[k:] == word[:-k]) & (doc[at[k:]] == doc[at[:-k]])
+        out[:, 128 + k] = np.bincount(own[same], minlength=total) / n
+    words, kinds = _repeats(own, word, total)
+    out[:, 131] = kinds / np.maximum(words, 1)
+    out[:, 132] = words / 100
+    out[:, 133] = length / n / 10
+    three = word.copy()
+    three[2:] = word[2:] * 3 + word[1:-1] * 5 + word[:-2] * 7
+    words, kinds = _repeats(doc[at], three, len(raw))
+    out[:, 134] = (kinds / np.maximum(words, 1))[owner]
+    out[:, 135] = np.log1p(words)[owner] / 10
     out[:, 136] = np.log1p(sizes)[owner] / 10
     out[:, 137] = length == 0
     return out.astype(np.float32), counts
