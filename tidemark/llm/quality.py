@@ -1,14 +1,15 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages that cover its whole text. Every passage is encoded from its bytes: the
-shares of byte classes, how its words repeat, and how the document's repeat. A small network maps each
+A document is a bag of passages that cover its whole text. Every passage is encoded from its own bytes alone: the
+shares of byte classes, how long its words are, and how its words and runs of three repeat. A small network maps each
 encoding to a hidden vector, gated attention weighs the passages of a document, and a logistic layer scores
-the weighted sum. All weights, those of the attention included, are learned from document labels.
+the weighted sum, so nothing about a document reaches its score past the attention. All weights, those of the attention included, are learned from document labels.
 
 Passages have 512 bytes, whatever the length of the text, in fitting and in scoring. Fitting uses at most
 ``sample_docs`` labelled documents, chosen by hash of their id, and of each at most 64 passages, drawn at random
-with the id as seed; this bounds what reaches the driver. Scoring reads all passages of every document once and
-shuffles nothing; its memory grows with the longest document.
+with a hash of the text as seed; this bounds what reaches the driver. Scoring reads all passages of every document once and
+shuffles nothing; its memory grows with the longest document, of which a task holds some hundred bytes of work arrays for
+each byte.
 
 Defined results: null and empty texts are one empty passage and get a score; without usable labels every
 score is 0.5, and with labels of one class only it is that class's smoothed share; of repeated ids in the
@@ -18,6 +19,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,7 +37,7 @@ CLASSES = np.minimum(np.arange(256), 128).astype(np.int64)
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: A fixed random value for each byte; the sum over a word stands for the word.
 VALUES = np.random.default_rng(20).integers(1, 2**62, 256, dtype=np.int64)
-WIDTH = 129 + 9
+WIDTH = 129 + 7
 
 
 def _repeats(group: np.ndarray, value: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +68,6 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start[1:] &= space[:-1] | (doc[1:] != doc[:-1])
     at = np.flatnonzero(start)
     own = passage[at]
-    owner = np.repeat(np.arange(len(raw)), counts)
     out = np.zeros((total, WIDTH))
     out[:, :129] = np.sqrt(shares)
     # a text is encoded alike whatever stands beside it, also if no text here has a word
@@ -82,11 +83,9 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out[:, 133] = length / n / 10
     three = word.copy()
     three[2:] = word[2:] * 3 + word[1:-1] * 5 + word[:-2] * 7
-    words, kinds = _repeats(doc[at], three, len(raw))
-    out[:, 134] = (kinds / np.maximum(words, 1))[owner]
-    out[:, 135] = np.log1p(words)[owner] / 10
-    out[:, 136] = np.log1p(sizes)[owner] / 10
-    out[:, 137] = length == 0
+    words, kinds = _repeats(own, three, total)
+    out[:, 134] = kinds / np.maximum(words, 1)
+    out[:, 135] = length == 0
     return out.astype(np.float32), counts
 
 
@@ -191,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
             for run in _slices(batch["text"]):
                 x, counts = encode(run)
                 ids = batch["doc_id"].iloc[done : done + len(run)].to_numpy()
-                parts = [sampled(p, int(i)) for p, i in zip(np.split(x, np.cumsum(counts)[:-1]), ids)]
+                parts = [sampled(p, zlib.crc32(t.encode("utf-8", "replace"))) for p, t in zip(np.split(x, np.cumsum(counts)[:-1]), run)]
                 yield pd.DataFrame({"doc_id": ids, "y": batch["y"].iloc[done : done + len(run)].to_numpy(), "x": [p.tobytes() for p in parts]})
                 done += len(run)
 
@@ -224,7 +223,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drop documents that score under 0.5."""
+    """Pipeline stage: drop documents that score under 0.5. Empty and null texts are scored too, repeated rows each, and
+    columns are kept as they are, also one called score; without labels nothing is dropped."""
     model = learn(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
     name = unused(docs.columns, "score")
     return score(docs, model, out=name).where(F.col(name) >= 0.5).drop(name)
