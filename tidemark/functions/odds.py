@@ -55,22 +55,28 @@ def devig(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def shin_many(prices: pd.Series) -> pd.Series:
-    """The insider model for any number of outcomes, by bisection on the insider share."""
+    """The insider model for any number of outcomes. The share z of insiders is a fixed point: fair chances sum to one where
+    z = (sum of sqrt(z * z + 4 * (1 - z) * q * q / book) - 2) / (n - 2), which is iterated from 0; two outcomes have the
+    closed form of ``shin``, and one is certain."""
 
     def solve(odds: np.ndarray | None) -> list[float] | None:
         if odds is None or len(odds) == 0 or not np.all(np.isfinite(odds)) or np.any(odds <= 1):
             return None
         q = 1 / np.asarray(odds, dtype=float)
-        book = q.sum()
+        n, book = len(q), q.sum()
+        if n == 1:
+            return [1.0]
         if book <= 1 + 1e-12:
             return (q / book).tolist()
-        fair = lambda z: (np.sqrt(z * z + 4 * (1 - z) * q * q / book) - z) / (2 * (1 - z))
-        low, high = 0.0, 1 - 1e-6
-        for _ in range(100):
-            z = (low + high) / 2
-            low, high = (z, high) if fair(z).sum() > 1 else (low, z)
-        p = fair((low + high) / 2)
-        return (p / p.sum()).tolist()
+        if n == 2:
+            return (q - (book - 1) / 2).tolist()
+        root = lambda z: np.sqrt(z * z + 4 * (1 - z) * q * q / book)
+        z = 0.0
+        for _ in range(1000):
+            z, before = (root(z).sum() - 2) / (n - 2), z
+            if abs(z - before) < 1e-13:
+                break
+        return ((root(z) - z) / (2 * (1 - z))).tolist()
 
     return prices.map(solve)
 

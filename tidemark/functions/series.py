@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-# The statements of a veto that name a map.
-REMAINS = r"(?i)^([A-Za-z'’ ]+?)\s+remains?$"
-PICKED = r"(?i)\bpick\s+([A-Za-z'’ ]+?)\s*$"
+#: Words of a veto's statements: a map is named behind the first, or before the second kind at the end.
+PICK, REMAIN = "pick", ("remain", "remains")
 
 
 def win_counts(probs: Column) -> Column:
@@ -71,13 +69,23 @@ def parse_veto(veto: Column, known: Column) -> Column:
 
     Only the last statement of what remains counts.
     """
-    steps = F.filter(F.transform(F.split(F.coalesce(veto, F.lit("")), ";"), lambda s: F.trim(s)), lambda s: s != "")
+    statements = F.split(F.coalesce(veto, F.lit("")), ";")
+    words = F.transform(statements, lambda s: F.filter(F.split(s, r"\s+"), lambda w: w != ""))
+    low = lambda ws: F.transform(ws, lambda w: F.lower(w))
+    rests = lambda ws: F.lower(F.coalesce(F.try_element_at(ws, F.lit(-1)), F.lit(""))).isin(*REMAIN)
     spelled = lambda name: F.coalesce(F.get(F.filter(known, lambda k: F.lower(k) == F.lower(name)), F.lit(0)), name)
-    rests = F.filter(steps, lambda s: s.rlike(REMAINS))
-    picks = F.filter(steps, lambda s: ~s.rlike(REMAINS) & s.rlike(PICKED))
-    chosen = F.transform(picks, lambda s: spelled(F.trim(F.regexp_extract(s, PICKED, 1))))
-    last = F.transform(F.slice(rests, -1, 1), lambda s: spelled(F.trim(F.regexp_extract(s, REMAINS, 1))))
-    every = F.concat(chosen, F.when(F.size(rests) > 0, last).otherwise(F.array().cast("array<string>")))
+
+    def named(ws: Column) -> Column:
+        at = F.array_position(low(ws), PICK).cast("int")
+        head, tail = F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, at + 1, F.greatest(F.size(ws) - at, F.lit(0)))
+        name = F.array_join(F.when(rests(ws), head).when(at > 0, tail).otherwise(F.slice(ws, 1, 0)), " ")
+        # a map has letters and apostrophes only
+        return F.struct(rests(ws).alias("rest"), F.when(~name.rlike("[^A-Za-z'’ ]"), name).otherwise("").alias("name"))
+
+    told = F.filter(F.transform(words, named), lambda x: x["name"] != "")
+    names = lambda rest: F.transform(F.filter(told, lambda x: x["rest"] == rest), lambda x: spelled(x["name"]))
+    left = names(F.lit(True))
+    every = F.concat(names(F.lit(False)), F.slice(left, F.greatest(F.size(left), F.lit(1)), 1))
     return F.when(F.size(every) > 0, every)
 
 
