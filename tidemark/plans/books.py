@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import odds
 from tidemark.functions.stats import published, rounded
-from tidemark.functions.text import is_playoff, normalize_name, tier, tournament
+from tidemark.functions.text import contains_text, is_playoff, normalize_name, tier, tournament, url_key
 from tidemark.operators import coverage, ledger, linking, markets, summaries
 from tidemark.operators import trends as form
 from tidemark.sources import pages, pagetree, store
@@ -228,6 +228,11 @@ def page_links(spark, sf):
     return pages.links(fx.table(spark, sf, "pages"))
 
 
+def url_keys(spark, sf):
+    """Cache names of the pages whose address holds a text."""
+    return fx.table(spark, sf, "pages").where(contains_text("url", " Example.ORG/e")).select("page_id", url_key("url").alias("key"))
+
+
 def page_cards(spark, sf):
     """Entries of the pages' menus: links to a page of this site, the first of each address."""
     return pages.cards(fx.table(spark, sf, "pages"), r"^/([^/?#]+)")
@@ -280,7 +285,7 @@ def last_rows(spark, sf):
     return form.last_rows(e, "user_id", 5, ["ts", "event_id"])
 
 
-QUERIES = {f.__name__: f for f in (ledger_summary, tier_period_metrics, tier_leaders, checkpoint, calibration_cells, spiegelhalter, calibration_curve, ece, scoreboard_pending, scoreboard_graded, capture_state, entry_close, devig, picks, market_agg, unit_tracker, skipped_counts, coverage_partition, capture_log, dedupe_unlinked, link_fixture, retro_match, fuzzy_top, upsert, ledger_insert, ingest_dedupe, grade, names, published_probability, page_fields, page_links, page_cards, page_match, daily_summaries, value_counts, linear_fit, last_rows)}
+QUERIES = {f.__name__: f for f in (ledger_summary, tier_period_metrics, tier_leaders, checkpoint, calibration_cells, spiegelhalter, calibration_curve, ece, scoreboard_pending, scoreboard_graded, capture_state, entry_close, devig, picks, market_agg, unit_tracker, skipped_counts, coverage_partition, capture_log, dedupe_unlinked, link_fixture, retro_match, fuzzy_top, upsert, ledger_insert, ingest_dedupe, grade, names, published_probability, page_fields, page_links, url_keys, page_cards, page_match, daily_summaries, value_counts, linear_fit, last_rows)}
 
 _CLIP = "least(greatest({0}, 1e-6), 1 - 1e-6)".format
 _LL = lambda p: f"-(team1_won * ln({_CLIP(p)}) + (1 - team1_won) * ln(1 - {_CLIP(p)}))"
@@ -337,6 +342,7 @@ found AS (SELECT page_id, regexp_extract_all(h, '(?is)<a\s[^>]*href\s*=\s*[\x22\
 links AS (SELECT page_id, position, regexp_extract(a, '(?is)href\s*=\s*[\x22\x27]([^\x22\x27]*)[\x22\x27]', 1) AS href, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM each_link)"""
 ORACLES = {
     "fuzzy_top": _FUZZY_SQL,
+    "url_keys": "SELECT page_id, sha1(url) AS key FROM pages WHERE contains(lower(url), 'example.org/e')",
     "page_links": f"WITH {_VISIBLE_SQL} SELECT page_id, position, href, text FROM links",
     "page_cards": f"WITH {_VISIBLE_SQL} SELECT page_id, regexp_extract(href, '^/([^/?#]+)', 1) AS id, arg_min(text, position) AS text, min(position) AS position FROM links WHERE regexp_extract(href, '^/([^/?#]+)', 1) <> '' GROUP BY 1, 2",
     "page_match": f"""{with_views("contests")} SELECT match_id, timezone('UTC', timezone('America/New_York', date_trunc('second', start_ts))) AS start_ts, map_name || ' & more' AS event, series, 'completed' AS status,

@@ -166,6 +166,10 @@ def roster_weighted(spark, sf):
     return sums.select("match_id", "team", F.col("n").cast("long").alias("n"), rounded(F.col("w"), 3).alias("weight"), rounded(F.col("rw"), 3).alias("rounds"))
 
 
+def stand_ins(spark, sf):
+    return roster.stand_ins(lined_rows(spark, sf))
+
+
 def snapshot(spark, sf):
     rows = long_rows(spark, sf)
     none = F.lit(None).cast("int")
@@ -354,7 +358,7 @@ def vif(spark, sf):
     return evaluation.vif(*_coordinates(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (trends_all, trends_current, trends_scoped, long_frame, match_lite, match_table, pool_table, pool_top, pool_fallback, asof_counts, asof_decayed, asof_shrunk, asof_priors, asof_by_map, rest_days, range_join_counts, roster_weighted, snapshot, elo_prematch, elo_tuned_k, elo_trajectory, elo_at_cutoff, core_roster, membership, series_dp, maps_dist, sequence_complete, veto_parse, schedule, feature_rows, predict_rows, chrono_split, folds, augment, tz_shift, periods, phase_peak, cadence, baselines, corr_topk, vif)}
+QUERIES = {f.__name__: f for f in (trends_all, trends_current, trends_scoped, long_frame, match_lite, match_table, pool_table, pool_top, pool_fallback, asof_counts, asof_decayed, asof_shrunk, asof_priors, asof_by_map, rest_days, range_join_counts, roster_weighted, stand_ins, snapshot, elo_prematch, elo_tuned_k, elo_trajectory, elo_at_cutoff, core_roster, membership, series_dp, maps_dist, sequence_complete, veto_parse, schedule, feature_rows, predict_rows, chrono_split, folds, augment, tz_shift, periods, phase_peak, cadence, baselines, corr_topk, vif)}
 
 #: Looks and results in order of time, with teams and maps numbered from 1.
 _EVENTS_SQL = """games AS (
@@ -473,6 +477,8 @@ ORACLES = {
     "range_join_counts": f"{with_views('long')} SELECT p.match_id, p.team, count(f.match_id) AS n, count(*) FILTER (f.opp = p.opp) AS n_same_opp {_PAIRS} GROUP BY 1, 2",
     "roster_weighted": f"""{with_views("long")}, {_LINED_SQL}, probes AS (SELECT match_id AS pm, start_ts AS moment, team FROM long), {_WEIGHED_SQL.format(h=14)}
 SELECT p.pm AS match_id, p.team, count(w) AS n, {_R3("coalesce(sum(w), 0)")} AS weight, {_R3("coalesce(sum(w * rounds_won), 0)")} AS rounds FROM probes p LEFT JOIN weighed USING (pm, team) GROUP BY 1, 2""",
+    "stand_ins": f"""{with_views("long")}, {_LINED_SQL}, probes AS (SELECT match_id AS pm, start_ts AS moment, team FROM facts WHERE len(lineup) > 0), {_WEIGHED_SQL.format(h=90)}
+SELECT f.match_id, f.team, len(core) - len(list_intersect(core, lineup)) AS n_absent, len(lineup) - CASE WHEN core IS NOT NULL THEN len(list_intersect(core, lineup)) END AS n_new FROM facts f LEFT JOIN cores c ON c.pm = f.match_id AND c.team = f.team WHERE len(lineup) > 0""",
     "snapshot": _snapshot_sql(),
     "elo_prematch": f"""{with_views("contests", recursive=True)}, {_EVENTS_SQL}, {_MAP_BOOK_SQL}, looks AS (
   SELECT match_id, o[ua] AS ra, o[ub] AS rb, g[(ua - 1) * 5 + m] AS n, coalesce(r[(ua - 1) * 5 + m], o[ua]) AS ma FROM book JOIN ev USING (i) WHERE look = 1
