@@ -112,6 +112,20 @@ def test_ratings_equal_a_plain_replay(spark):
     assert last == rows.select("team1").union(rows.select("team2")).distinct().count()
 
 
+def test_ratings_replay_universes_side_by_side(spark):
+    """Rounds follow the longest lane: copies of the same contests under other keys add lanes, not rounds."""
+    made = records.synthetic_contests(spark, 40, teams=4).where("team1_score <> team2_score").withColumn("end_ts", estimated_end("start_ts", "best_of"))
+    games = made.withColumn("won", (F.col("team1_score") > F.col("team2_score")).cast("int")).withColumn("maps", F.array(F.struct("map_name", "won")))
+    copy = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("copy")
+    rows = games.select("*", copy).withColumns({c: F.col(c) + F.col("copy") * 1000 for c in ("match_id", "team1", "team2")})
+    placed = ratings.in_stretches(ratings.in_lanes(ratings.events(rows), 20), 20)
+    size = placed.agg(F.max("step").alias("step"), F.countDistinct("lane").alias("lanes"), F.countDistinct("stretch").alias("n")).first()
+    assert size.lanes > 3 and size.step + 1 < size.n
+    assert placed.groupBy("lane", "at").agg(F.countDistinct("stretch").alias("n")).where("n > 1").isEmpty()
+    log = [ratings.rating_log(r, (32,), stretch=20).where("kind = 'change'").select(F.pmod("match_id", F.lit(1000)).alias("m"), F.pmod("team", F.lit(1000)).alias("t"), "rating").distinct() for r in (rows, games)]
+    assert sorted(map(tuple, log[0].collect())) == sorted(map(tuple, log[1].collect()))
+
+
 def match(match_id="m", **more):
     player = lambda n, **x: {"name": n, "agent": "jett", "kills": 10, "fk": 1, "fd": 2, "multikills": 1, "clutches": 0} | x
     base = {"match_id": match_id, "start_ts": T0, "status": "completed", "best_of": 3, "event": "Cup - Playoffs: Final", "series": "Final", "team1_id": "1", "team1_name": "A", "team2_id": "2", "team2_name": "B", "winner": "team1", "team1_series_score": 2, "team2_series_score": 0, "veto": "",
