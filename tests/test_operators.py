@@ -11,6 +11,7 @@ from tidemark import schemas
 from tidemark.functions import series
 from tidemark.functions.time import estimated_end
 from tidemark.operators import asof, backtest, coverage, evaluation, features, flatten, ledger, linking, markets, models, namejoin, predict, ratings, roster, trends, views
+from tidemark.operators.intervals import phase_peaks
 from tidemark.sources import pages, payloads, records, store
 
 T0 = datetime(2024, 1, 1)
@@ -126,6 +127,26 @@ def test_ratings_replay_universes_side_by_side(spark):
     assert sorted(map(tuple, log[0].collect())) == sorted(map(tuple, log[1].collect()))
 
 
+def test_phase_peaks_meet_no_pairs_and_equal_a_plain_look(spark):
+    at = lambda us: T0 + timedelta(microseconds=us)
+    samples = [(at(t), float(v) if v else None) for t, v in ((0, 5), (0, 0), (7, 9), (8, 2), (10, 1), (4_000_000_000, 30), (8_000_000_000, 4), (8_000_000_001, 50))] + [(None, 99.0)]
+    bounds = [(0, 0), (1, 6), (7, 7), (7, 8), (0, 10), (8, 4_000_000_000), (9, 8_000_000_000), (0, 9_000_000_000), (10, 8), (5, 4_000_000_001)]
+    phases = [(i, at(b), at(e)) for i, (b, e) in enumerate(bounds)] + [(3, at(10), at(10)), (77, None, at(9))]
+    df = spark.createDataFrame(samples, "ts timestamp_ntz, value double"), spark.createDataFrame(phases, "phase_id int, begin timestamp_ntz, finish timestamp_ntz")
+    want = {}
+    for i, b, e in phases:
+        inside = [v for t, v in samples if t is not None and b is not None and b <= t <= e]
+        if inside:
+            values, n = want.get(i, ([], 0))
+            want[i] = values + [v for v in inside if v is not None], n + len(inside)
+    got = phase_peaks(*df)
+    assert {r.phase_id: (r.peak, r.n) for r in got.collect()} == {i: (max(v, default=None), n) for i, (v, n) in want.items()}
+    # many phases over many samples at once: rows of the result are made by no join of the two
+    one = spark.range(40_000).select(F.lit(T0).cast("timestamp_ntz").alias("ts"), F.col("id").cast("double").alias("value"))
+    crowd = phase_peaks(one, one.select(F.col("value").alias("phase_id"), F.col("ts").alias("begin"), F.col("ts").alias("finish")))
+    assert crowd.agg(F.min("n"), F.max("n"), F.min("peak")).first()[:] == (40_000, 40_000, 39_999.0)
+
+
 def match(match_id="m", **more):
     player = lambda n, **x: {"name": n, "agent": "jett", "kills": 10, "fk": 1, "fd": 2, "multikills": 1, "clutches": 0} | x
     base = {"match_id": match_id, "start_ts": T0, "status": "completed", "best_of": 3, "event": "Cup - Playoffs: Final", "series": "Final", "team1_id": "1", "team1_name": "A", "team2_id": "2", "team2_name": "B", "winner": "team1", "team1_series_score": 2, "team2_series_score": 0, "veto": "",
