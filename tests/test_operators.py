@@ -127,6 +127,22 @@ def test_ratings_replay_universes_side_by_side(spark):
     assert sorted(map(tuple, log[0].collect())) == sorted(map(tuple, log[1].collect()))
 
 
+def test_roster_weights_agree_for_short_and_long_histories(spark, monkeypatch):
+    team = lambda i: F.when(i % 3 == 0, 1).otherwise(F.when(i % 5 == 0, 2).otherwise(3))
+    at = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(id * 7 % 90 AS int))")
+    lineup = F.when(F.col("id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(*(F.concat(F.lit("p"), ((F.col("id") * k + k) % 6).cast("string")) for k in (1, 2, 5))))
+    facts = spark.range(60).select(F.col("id").alias("match_id"), team(F.col("id")).alias("team"), at.alias("start_ts"), (at + F.expr("INTERVAL 2 HOUR")).alias("end_ts"), lineup.alias("lineup"), (F.col("id") % 13).alias("v"))
+    probes = facts.select("match_id", "team", "start_ts").unionByName(spark.createDataFrame([(99, 9, T0)], "match_id long, team int, start_ts timestamp_ntz"))
+    seen = []
+    for short in (0, 20, 10**6):
+        monkeypatch.setattr(asof, "SHORT", short)
+        swept = asof.roster_sweep(facts, probes, roster.roster_states(facts), {"w": F.lit(1.0), "v": F.when(F.col("v") > 3, F.col("v"))}, 20.0, 0.8, {"n": F.lit(1)})
+        seen.append({(r.match_id, r.team): (r.w, r.v, r.n) for r in swept.collect()})
+    assert len(seen[0]) == 61 and max(n for *_, n in seen[0].values()) > 20
+    for other in seen[1:]:
+        assert other.keys() == seen[0].keys() and all(other[k] == pytest.approx(v) for k, v in seen[0].items())
+
+
 def test_phase_peaks_meet_no_pairs_and_equal_a_plain_look(spark):
     at = lambda us: T0 + timedelta(microseconds=us)
     samples = [(at(t), float(v) if v else None) for t, v in ((0, 5), (0, 0), (7, 9), (8, 2), (10, 1), (4_000_000_000, 30), (8_000_000_000, 4), (8_000_000_001, 50))] + [(None, 99.0)]
