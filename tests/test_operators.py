@@ -488,3 +488,29 @@ def test_latest_takes_what_has_an_order(spark):
     for p in known:
         before = [(f.end_ts, f.match_id, [f.opp]) for f in known if f.team == p.team and f.end_ts <= p.start_ts]
         assert (tuple(got[p.match_id, p.team]) if before else got[p.match_id, p.team]) == (max(before) if before else None)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sweeps_join_nothing_and_leave_out_what_has_no_key(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    facts = spark.createDataFrame([("a", at(1), 1), ("a", at(30), 2), ("b", at(2), 4), (None, at(1), 8), ("a", None, 16)], "k string, end_ts timestamp, v int")
+    probes = spark.createDataFrame([(1, "a", at(1)), (2, "a", at(29)), (3, "a", at(40)), (4, "c", at(9)), (5, None, at(9)), (6, "b", at(80))], "id int, k string, start_ts timestamp")
+    swept = asof.sweep(facts, probes, ["k"], {"n": F.col("v")})
+    assert {r.id: r.n for r in swept.collect()} == {1: 1, 2: 1, 3: 3, 4: 0, 6: 4}
+    last = asof.latest(facts, probes, ["k"], F.col("v"))
+    assert {r.id: r["last"] for r in last.collect()} == {1: 1, 2: 1, 3: 2, 4: None, 6: 4}
+    assert "Join" not in plan_of(swept) and "Join" not in plan_of(last)
+
+
+def test_membership_of_few_probes_equals_that_of_all(spark):
+    rnd = random.Random(13)
+    line = [(i, rnd.choice("xyz"), T0 + timedelta(hours=rnd.randrange(200)), rnd.sample(["a", "b", "c", "d", None], rnd.randrange(4))) for i in range(90)]
+    facts = spark.createDataFrame([(m, t, s, s + timedelta(hours=1), p) for m, t, s, p in line], "match_id int, team string, start_ts timestamp, end_ts timestamp, lineup array<string>")
+    probes = spark.createDataFrame([(m, t, s) for m, t, s, _ in line], "probe_id int, team string, at timestamp")
+    whole = {r.probe_id: r for r in roster.membership(facts, probes).collect()}
+    few = roster.membership(facts, probes.where("probe_id % 9 = 0")).collect()
+    assert len(few) == 10 and all(r == whole[r.probe_id] for r in few)
+    assert any(r.roster_coplay_log for r in few) and any(r.roster_ext_maps_log for r in few)
