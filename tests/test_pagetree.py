@@ -80,3 +80,17 @@ def test_performance_tab(spark):
     df = spark.createDataFrame([(1, html), (2, None), (3, html.replace("2K", "a").replace("3k", "b").replace("1v1", "c"))], "page_id long, html string")
     got = [tuple(r) for r in pagetree.performance(df).orderBy("name").collect()]
     assert got == [(1, "amy", 0, 0, 1, 1), (1, "zed", 4, 2, 4, 0)]
+
+
+def test_nodes_of_few_pages_are_held_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["", "<p>" + "x" * 40, "", "<b>" * 9, "y" * 300, "<i>z"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(6)), "html": texts})
+    monkeypatch.setattr(pagetree, "CHARS", 64)
+    parts = list(pagetree.in_parts(batch, 1))
+    assert [p.num_rows for p in parts] == [3, 1, 1, 1] and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    monkeypatch.undo()
+    assert 32 * len(list(pagetree.in_parts(pa.RecordBatch.from_pydict({"html": ["z" * 2048] * 10_000}), 0))) >= 1_250
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, html string")
+    assert [len(r.nodes) for r in pagetree.trees(rows).orderBy("id").collect()] == [len(pagetree.parse(t)) for t in texts]

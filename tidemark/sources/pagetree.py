@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,6 +22,8 @@ from tidemark.functions.time import zone_to_utc
 
 NODES = "array<struct<n:int,last:int,tag:string,classes:array<string>,attrs:map<string,string>,text:string>>"
 TEXT = "#text"
+#: Bytes of pages whose nodes are held at a time; as Python objects they take some 30 times as much.
+CHARS = 1 << 19
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "template"))
 #: An element that ends where one of the same kind begins, unless one of the second kind has opened since.
@@ -96,15 +99,29 @@ def _packed(pages: list[list[list]]) -> pa.Array:
     return pa.ListArray.from_arrays(_listed([len(p) for p in pages]), pa.StructArray.from_arrays(parts, ["n", "last", "tag", "classes", "attrs", "text"]))
 
 
+def in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows that hold about ``CHARS`` bytes of text in ``column``."""
+    begin, held = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if held and held + n > CHARS:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def trees(pages: DataFrame, html: str = "html", out: str = "nodes") -> DataFrame:
-    """``pages`` with the nodes of ``html`` in its place; null and empty pages have none. Memory: one Arrow batch of pages."""
+    """``pages`` with the nodes of ``html`` in its place; null and empty pages have none. Memory: one Arrow batch of pages as
+    text, and the nodes of ``CHARS`` characters of it or of one page."""
     rest = [c for c in pages.columns if c not in (html, out)]
     rows = pages.select(*rest, F.coalesce(F.col(html), F.lit("")).alias(html))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = _packed([parse(x.as_py()) for x in batch.column(len(rest))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], made], [*rest, out])
+            for part in in_parts(batch, len(rest)):
+                made = _packed([parse(x.as_py()) for x in part.column(len(rest))])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], made], [*rest, out])
 
     return rows.mapInArrow(run, StructType([*pages.select(*rest).schema.fields, *StructType.fromDDL(f"{out} {NODES}").fields]))
 
