@@ -514,3 +514,16 @@ def test_membership_of_few_probes_equals_that_of_all(spark):
     few = roster.membership(facts, probes.where("probe_id % 9 = 0")).collect()
     assert len(few) == 10 and all(r == whole[r.probe_id] for r in few)
     assert any(r.roster_coplay_log for r in few) and any(r.roster_ext_maps_log for r in few)
+
+
+def test_picks_deal_captures_by_their_number(spark):
+    rows = spark.range(1000).select((F.col("id") % 50).alias("match_id"), F.col("id").cast("int").alias("seq"))
+    assert markets.by_match(rows, 10).rdd.getNumPartitions() == 100 and markets.by_match(rows, 10).count() == 1000
+    of = lambda n: [len(p) for p in markets.by_match(rows, n).rdd.glom().collect()]
+    assert max(of(10)) <= 100 and sum(of(10)) == 1000
+    caps = spark.createDataFrame([(1, i, T0, s, "freeze", "series_moneyline", None, p, 2.0, True) for i, (s, p) in enumerate([("zed", 1.9), ("abc", 1.9), ("mid", 1.8)])], "match_id int, seq int, captured_at timestamp, source string, capture_kind string, market string, line double, price_home double, price_away double, book_home_is_team1 boolean")
+    led = spark.createDataFrame([(1, 0.6, False, None, None, None, "E", T0)], "match_id int, p_model double, graded boolean, team1_won int, maps_played int, p_maps_dist map<string,double>, event string, start_ts timestamp")
+    picked = markets.picks(caps, led)
+    assert "Window" not in plan_of(picked)
+    r = picked.first()
+    assert (r.source, r.n_books, r.side) == ("abc", 3, 0)

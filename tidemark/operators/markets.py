@@ -16,6 +16,8 @@ MONEYLINE, TOTALS = "series_moneyline", "maps_total"
 #: Books by priority; others follow by name.
 PRIORITY = ("pinnacle", "cloudbet")
 GROUP = ("match_id", "market", "line")
+#: Captures that a task groups at a time.
+TASK_ROWS = 100_000
 
 
 def usable(captures: DataFrame) -> DataFrame:
@@ -29,6 +31,12 @@ def side_price(c: Column, side: int, market: Column) -> Column:
     return F.when(home_first, first if side == 0 else second).when(~home_first, second if side == 0 else first)
 
 
+def by_match(captures: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """``captures`` dealt by match to as many tasks as give each ``rows`` of them on average, whatever the input: what is
+    sorted and grouped by match, or by more than that, needs no other shuffle and no larger task."""
+    return captures.repartition(max(captures.sparkSession.sparkContext.defaultParallelism, -(-captures.count() // rows)), "match_id")
+
+
 def entry_close(captures: DataFrame) -> DataFrame:
     """Per (match, market, line, source): entry, close, and how many rows could not be oriented.
 
@@ -57,18 +65,17 @@ def model_probability(market: Column, line: Column) -> Column:
 def picks(captures: DataFrame, ledger: DataFrame, era: Column | None = None) -> DataFrame:
     """One pick per (match, market, line): the side with the larger expected value at its best entry price.
 
-    Ledger: match_id, p_model, graded, team1_won, maps_played, p_maps_dist, event, start_ts. Two shuffles: by
-    book, then by group; the null line of moneylines groups with itself.
+    Ledger: match_id, p_model, graded, team1_won, maps_played, p_maps_dist, event, start_ts. Captures and ledger are
+    shuffled once, by match; the null line of moneylines groups with itself.
     """
     rank = F.coalesce(*(F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(PRIORITY)), F.lit(len(PRIORITY)))
-    priced = entry_close(captures).where("entry IS NOT NULL").join(ledger, "match_id").withColumn("p0", model_probability(F.col("market"), F.col("line"))).where("p0 IS NOT NULL")
+    priced = entry_close(by_match(captures)).where("entry IS NOT NULL").join(ledger, "match_id").withColumn("p0", model_probability(F.col("market"), F.col("line"))).where("p0 IS NOT NULL")
     e, m = F.col("entry"), F.col("market")
     own, other = side_price(e, 0, m), side_price(e, 1, m)
-    # the largest price; at equal prices the first in priority
-    best = lambda p: F.max_by(F.struct(p.alias("price"), "source", "entry", "close"), F.struct(p, -F.col("_rank")))
+    # the largest price; at equal prices the first in priority, and of the others the first by name
+    best = lambda p: F.min_by(F.struct(p.alias("price"), "source", "entry", "close"), F.when(p.isNotNull(), F.struct(-p, rank, "source")))
     names = [c for c in ledger.columns if c != "match_id"]
-    ordered = priced.withColumn("_rank", rank * 1000 + F.when(rank == len(PRIORITY), F.expr("dense_rank() over (partition by match_id, market, line order by source)")).otherwise(0))
-    grouped = ordered.groupBy(*GROUP).agg(
+    grouped = priced.groupBy(*GROUP).agg(
         best(own).alias("b0"), best(other).alias("b1"), F.count("*").alias("n_books"),
         F.percentile(odds.shin(own, other), F.lit(0.5)).alias("fair0"), F.first("p0").alias("p0"), *(F.first(c).alias(c) for c in names))
     ev0, ev1 = F.col("p0") * F.col("b0.price") - 1, (1 - F.col("p0")) * F.col("b1.price") - 1
