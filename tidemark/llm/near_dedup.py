@@ -245,12 +245,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, block_shingles: int = BL
     mass = sized.groupBy("candidate").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     placed = materialize(sized.join(mass, "candidate").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    rows = texts.join(placed, "node").dropDuplicates(["node", "text"])
+    # texts of candidates are written once: what compares blocks of one group must not shuffle all texts to find them
+    rows = materialize(texts.join(placed, "node").dropDuplicates(["node", "text"]), "texts")
     links = materialize(_links(rows.select("candidate", "block", "node", F.col("node").alias("label"), F.lit(True).alias("asks"), "text"), ["candidate", "block"], percent), "links")
     found = components(links)
     wide = placed.where("blocks > 1")
     if not wide.isEmpty():
-        links = materialize(links.unionByName(_across(wide, found, texts, percent, block_shingles)), "links")
+        links = materialize(links.unionByName(_across(wide, found, rows.where("blocks > 1").select("node", "text"), percent, block_shingles)), "links")
         found = components(links)
     of_class = classes.join(found, "node", "left").select("print1", "print2", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "print1", "print2").join(of_class, ["print1", "print2"], "left")
@@ -259,7 +260,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, block_shingles: int = BL
 
 
 def _across(wide: DataFrame, found: DataFrame, texts: DataFrame, percent: int, block_shingles: int) -> DataFrame:
-    """Links between blocks of one candidate group, where one side is outside the group's largest component."""
+    """Links between blocks of one candidate group, where one side is outside the group's largest component; ``texts`` are
+    those of ``wide`` groups."""
     labelled = wide.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     largest = labelled.groupBy("candidate", "label").agg(F.sum("n").alias("n")).groupBy("candidate").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     labelled = labelled.join(largest, "candidate")
