@@ -12,7 +12,7 @@ from tidemark.functions import series
 from tidemark.functions.time import estimated_end
 from tidemark.operators import asof, backtest, coverage, evaluation, features, flatten, ledger, linking, markets, models, namejoin, predict, ratings, roster, trends, views
 from tidemark.operators.intervals import phase_peaks
-from tidemark.sources import pages, payloads, records, store
+from tidemark.sources import fixtures, pages, payloads, records, store
 
 T0 = datetime(2024, 1, 1)
 
@@ -527,3 +527,18 @@ def test_picks_deal_captures_by_their_number(spark):
     assert "Window" not in plan_of(picked)
     r = picked.first()
     assert (r.source, r.n_books, r.side) == ("abc", 3, 0)
+
+
+def test_of_prices_equal_in_all_order_the_first_in_the_log_is_taken(spark, tmp_path):
+    rows = [(m, 1, T0, "abc", kind, "series_moneyline", None, 2.0, 1.8, first, place) for m, kind, first, place in ((1, "freeze", True, 0), (1, "freeze", False, 1), (2, "freeze", True, 1), (2, "freeze", False, 0), (3, "close", True, 0), (3, "close", False, 1), (4, "close", True, 1), (4, "close", False, 0))]
+    caps = spark.createDataFrame(rows, CAPS + ", place long").coalesce(1)
+    got = {r.match_id: r for r in markets.entry_close(caps).collect()}
+    assert {m: got[m].entry.book_home_is_team1 for m in got} == {1: True, 2: False, 3: True, 4: False}
+    assert (got[3].close.book_home_is_team1, got[4].close.book_home_is_team1) == (True, False)
+    one, many = spark.range(20).coalesce(1), spark.range(20).repartition(3)
+    for rows in (one, many):
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/t")
+        read = spark.read.parquet(f"{tmp_path}/t")
+        told = read.select("id", fixtures.place(read).alias("place"), F.col("_metadata.file_name").alias("file")).collect()
+        assert len({r.place for r in told}) == 20
+        assert [r.file for r in sorted(told, key=lambda r: r.place)] == sorted(r.file for r in told)

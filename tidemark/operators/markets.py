@@ -41,16 +41,19 @@ def entry_close(captures: DataFrame) -> DataFrame:
     """Per (match, market, line, source): entry, close, and how many rows could not be oriented.
 
     Entry is the earliest oriented freeze, else the earliest oriented capture; close is the latest close. Ties
-    in time are broken by ``seq``, then by the prices.
+    in time are broken by ``seq``, then by the prices; of rows equal in all of that the one first in the log is taken, if
+    the captures tell their ``place`` in it.
     """
-    at = F.struct("captured_at", "seq", "price_home", "price_away")
+    order, placed = ("captured_at", "seq", "price_home", "price_away"), "place" in captures.columns
+    at = F.struct(*order, *(["place"] if placed else []))
+    late = F.struct(*order, *([-F.col("place")] if placed else []))
     row = F.struct("captured_at", "capture_kind", "price_home", "price_away", "book_home_is_team1")
     oriented, freeze = F.col("orientable"), F.col("capture_kind") == "freeze"
     good = usable(captures).where("priceable")
     out = good.groupBy(*GROUP, "source").agg(
         F.min_by(F.when(oriented & freeze, row), F.when(oriented & freeze, at)).alias("frozen"),
         F.min_by(F.when(oriented, row), F.when(oriented, at)).alias("earliest"),
-        F.max_by(F.when(~freeze, row), F.when(~freeze, at)).alias("close"),
+        F.max_by(F.when(~freeze, row), F.when(~freeze, late)).alias("close"),
         F.count(F.when(~oriented, 1)).alias("n_unorientable"),
     )
     return out.select(*GROUP, "source", F.coalesce("frozen", "earliest").alias("entry"), "close", "n_unorientable")
