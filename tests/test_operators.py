@@ -542,3 +542,17 @@ def test_of_prices_equal_in_all_order_the_first_in_the_log_is_taken(spark, tmp_p
         told = read.select("id", fixtures.place(read).alias("place"), F.col("_metadata.file_name").alias("file")).collect()
         assert len({r.place for r in told}) == 20
         assert [r.file for r in sorted(told, key=lambda r: r.place)] == sorted(r.file for r in told)
+
+
+def test_fixtures_are_sought_by_the_name_that_meets_fewer(spark, monkeypatch):
+    """Visitors of 16 letters that are no more than 0.75 alike meet each other by the hundred, the numbers at home hardly."""
+    rnd = random.Random(11)
+    far = ["".join(rnd.choice("0123456789abcdef") for _ in range(16)) for _ in range(60)]
+    fixtures = [(k, *((f"{far[k]} Gaming", f"{k:09d} FC") if k % 4 == 0 else (f"{k:09d} FC", f"{far[k]} Gaming"))) for k in range(60)]
+    predictions = [(k, f"Supplier#{k:09d}", f"{far[k]} Esports") for k in range(60)]
+    asked, rule = [], namejoin.by_rule
+    monkeypatch.setattr(namejoin, "by_rule", lambda left, right: asked.extend(r.name for r in left.select("name").collect()) or rule(left, right))
+    f, p = spark.createDataFrame(fixtures, "fixture_id long, book_home string, book_away string"), spark.createDataFrame(predictions, "match_id long, team1_name string, team2_name string")
+    got = {r.fixture_id: (r.match_id, r.score, r.book_home_is_team1) for r in linking.fuzzy_links(f, p).collect()}
+    assert got == {k: (k, 0.92, k % 4 != 0) for k in range(60)}
+    assert sorted(asked) == sorted(f"{k:09d} FC" for k in range(60))

@@ -73,8 +73,9 @@ def fuzzy_links(fixtures: DataFrame, predictions: DataFrame, threshold: float =
     """The best prediction of each fixture by the weaker of its two name similarities, and whether a runner-up
     is nearly as good; ties go to the smaller match_id.
 
-    Names are compared once each, by a similarity join, and pairs of names once each: fixtures and predictions that share
-    theirs meet at the end. A fixture whose names both stand in a prediction scores 1, so its names need only be
+    Both names must be alike, so the similarity join seeks a fixture by the one of its names that meets fewer others, and
+    the second is compared only with those beside what was found. Names are compared once each, and pairs of names once each:
+    fixtures and predictions that share theirs meet at the end. A fixture whose names both stand in a prediction scores 1, so its names need only be
     compared with those that can come within ``margin`` of that.
     """
     asked = fixtures.select("book_home", "book_away").where("book_home IS NOT NULL AND book_away IS NOT NULL").distinct()
@@ -87,13 +88,21 @@ def fuzzy_links(fixtures: DataFrame, predictions: DataFrame, threshold: float =
     exact = asked.withColumn("pair", canonical_pair(core("book_home"), core("book_away"))).join(there, "pair", "left")
     asked = written(exact.select("book_home", "book_away", F.when(F.col("found"), F.lit(1.0 - margin)).otherwise(F.lit(float(threshold))).alias("least")))
     names = asked.select(F.explode(F.array("book_home", "book_away")).alias("name"), "least")
-    alike = written(namejoin.similar(names, known.select(F.explode(F.array("team1_name", "team2_name")).alias("name"))))
-    home, away = (alike.select(F.col("a").alias(f"book_{x}"), F.col("b").alias(x), F.col("s").alias(f"s_{x}")) for x in ("home", "away"))
-    named = asked.join(home, "book_home").join(away, "book_away").where("least(s_home, s_away) >= least")
-    score = named.select("book_home", "book_away", "home", "away", F.least("s_home", "s_away").alias("s"))
-    straight = score.select("book_home", "book_away", F.col("home").alias("team1_name"), F.col("away").alias("team2_name"), "s", F.lit(True).alias("straight"))
-    both = straight.unionByName(score.select("book_home", "book_away", F.col("away").alias("team1_name"), F.col("home").alias("team2_name"), "s", F.lit(False).alias("straight")))
-    met = both.join(known, ["team1_name", "team2_name"]).groupBy("book_home", "book_away", "team1_name", "team2_name", "ids").agg(F.max(F.struct("s", "straight")).alias("best"))
+    index = namejoin.index(names, known.select(F.explode(F.array("team1_name", "team2_name")).alias("name")))
+    met = written(namejoin.meetings(index))
+    of = lambda x: met.select(F.col("name").alias(f"book_{x}"), F.col("met").alias(f"met_{x}"))
+    fewer = F.coalesce("met_home", F.lit(0)) <= F.coalesce("met_away", F.lit(0))
+    told = asked.join(of("home"), "book_home", "left").join(of("away"), "book_away", "left").withColumn("by_home", fewer)
+    either = lambda a, b: F.when(F.col("by_home"), F.col(a)).otherwise(F.col(b))
+    sought = written(told.select("book_home", "book_away", "least", "by_home", either("book_home", "book_away").alias("a"), either("book_away", "book_home").alias("beside")))
+    alike = namejoin.found(index, sought.select(F.col("a").alias("name")))
+    side = lambda b, d, first: known.select("team1_name", "team2_name", "ids", F.col(b).alias("b"), F.col(d).alias("d"), F.lit(first).alias("first"))
+    sides = side("team1_name", "team2_name", True).unionByName(side("team2_name", "team1_name", False))
+    near = written(sought.join(alike, "a").where("s >= least").join(sides, "b").withColumn("straight", F.col("by_home") == F.col("first")))
+    spoken = lambda c: F.size(core_tokens(c)) > 0
+    second = near.select("beside", "d").distinct().where(spoken("beside") & spoken("d")).withColumn("s_beside", namejoin.similarity("beside", "d"))
+    both = near.join(second, ["beside", "d"]).withColumn("s", F.least("s", "s_beside")).where("s >= least")
+    met = both.groupBy("book_home", "book_away", "team1_name", "team2_name", "ids").agg(F.max(F.struct("s", "straight")).alias("best"))
     order = W.partitionBy("book_home", "book_away").orderBy(F.desc("score"), "match_id")
     rows = met.select("book_home", "book_away", F.col("best.s").alias("score"), F.col("best.straight").alias("book_home_is_team1"), F.explode("ids").alias("match_id"))
     ranked = rows.groupBy("book_home", "book_away", "match_id").agg(F.max(F.struct("score", "book_home_is_team1")).alias("b")).select("book_home", "book_away", "match_id", "b.*")

@@ -17,6 +17,8 @@ Thresholds are a column, so that each name of one side may ask for its own. They
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,17 +88,49 @@ def entered(rows: DataFrame, other_sizes: DataFrame, ranked: DataFrame, side: st
     return most.join(ranked, "name").where("place <= most").select(F.col("name").alias(side), "gram", F.col(x).alias("x"), F.col(y).alias("y"), "least")
 
 
-def by_ratio(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of names (a, b) whose ratio may reach ``least`` of a: few more than do, none that does is left out."""
-    least = left.select("least").distinct()
-    grams = written(letter_pairs(left).withColumn("side", F.lit(0)).unionByName(letter_pairs(right).withColumn("side", F.lit(1))))
+class Index(NamedTuple):
+    """Described names of both sides and (side, name, grams): the letter pairs of each, the rarest first."""
+
+    left: DataFrame
+    right: DataFrame
+    listed: DataFrame
+
+
+def index(left: DataFrame, right: DataFrame) -> Index:
+    """``left`` (name, least) and ``right`` (name), of which the former may be many times in it, ready to be joined."""
+    if (low := left.agg(F.min("least")).first()[0]) is not None and low <= LEAST:
+        raise ValueError("thresholds must be above 2/3")
+    lefts, rights = written(described(left.groupBy("name").agg(F.min("least").alias("least")))), written(described(right.select("name").distinct()))
+    grams = written(letter_pairs(lefts).withColumn("side", F.lit(0)).unionByName(letter_pairs(rights).withColumn("side", F.lit(1))))
     held = grams.groupBy("gram").agg(F.count("*").alias("held"))
     listed = grams.join(held, "gram").groupBy("side", "name").agg(F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("all"))
-    listed = written(listed.select("side", "name", F.transform("all", lambda g: g["gram"]).alias("grams")))
+    return Index(lefts, rights, written(listed.select("side", "name", F.transform("all", lambda g: g["gram"]).alias("grams"))))
+
+
+def _entries(ix: Index) -> tuple[DataFrame, DataFrame]:
+    """The grams under which the names of both sides look for each other."""
+    left, right, listed = ix
+    least = left.select("least").distinct()
     place = lambda k: listed.where(F.col("side") == k).select("name", F.posexplode("grams").alias("at", "gram")).select("name", "gram", (F.col("at") + 1).alias("place"))
     sizes = lambda rows: rows.select(F.col("size").alias("other")).distinct()
-    one = entered(left, sizes(right), place(0), "a", least)
-    two = entered(right, sizes(left), place(1), "b", least)
+    return entered(left, sizes(right), place(0), "a", least), entered(right, sizes(left), place(1), "b", least)
+
+
+def meetings(ix: Index) -> DataFrame:
+    """(name, met): about how many names each of the left side meets under letters, counted without meeting them."""
+    one, two = _entries(ix)
+    keys = ["gram", "x", "y", "least"]
+    by_pairs = one.join(two.groupBy(*keys).agg(F.count("*").alias("n")), keys).select(F.col("a").alias("name"), "n")
+    brief = lambda t: F.ceil(2 / (3 * t - 2))
+    others = ix.right.join(F.broadcast(ix.left.agg(F.min("least").alias("lowest")))).where(F.col("size") <= brief(F.col("lowest"))).agg(F.count("*").alias("n"))
+    by_letters = ix.left.where(F.col("size") <= brief(F.col("least"))).join(F.broadcast(others)).select("name", "n")
+    return by_pairs.unionByName(by_letters).groupBy("name").agg(F.sum("n").alias("met"))
+
+
+def by_ratio(ix: Index) -> DataFrame:
+    """Pairs of names (a, b) whose ratio may reach ``least`` of a: few more than do, none that does is left out."""
+    left, right, listed = ix
+    one, two = _entries(ix)
     met = one.join(two, ["gram", "x", "y", "least"]).select("a", "b", "x", "y", "least").distinct()
     whole = lambda k, name: listed.where(F.col("side") == k).select(F.col("name").alias(name), F.col("grams").alias(f"grams_{name}"))
     text = lambda rows, name: rows.select(F.col("name").alias(name), F.col("text").alias(f"text_{name}"))
@@ -119,14 +153,21 @@ def _short(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``left`` (name, least) and ``right`` (name), both distinct, that ``similar`` computes."""
-    lefts, rights = written(described(left)), written(described(right))
-    return by_rule(lefts, rights).unionByName(by_ratio(lefts, rights)).distinct()
+    return _candidates(index(left, right))
+
+
+def _candidates(ix: Index) -> DataFrame:
+    return by_rule(ix.left, ix.right).unionByName(by_ratio(ix)).distinct()
+
+
+def found(ix: Index, names: DataFrame | None = None) -> DataFrame:
+    """(a, b, s) as ``similar``, of the left names that are in ``names`` if that is given."""
+    if names is not None:
+        ix = ix._replace(left=written(ix.left.join(names.select("name").distinct(), "name", "left_semi")))
+    met = _candidates(ix).join(ix.left.select(F.col("name").alias("a"), "least"), "a")
+    return met.withColumn("s", similarity("a", "b")).where("s >= least").select("a", "b", "s")
 
 
 def similar(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b, s): all pairs of ``left`` (name, least) and ``right`` (name) whose similarity s is at least ``least``."""
-    if (low := left.agg(F.min("least")).first()[0]) is not None and low <= LEAST:
-        raise ValueError("thresholds must be above 2/3")
-    one, two = left.groupBy("name").agg(F.min("least").alias("least")), right.select("name").distinct()
-    met = candidates(one, two).join(one.select(F.col("name").alias("a"), "least"), "a")
-    return met.withColumn("s", similarity("a", "b")).where("s >= least").select("a", "b", "s")
+    return found(index(left, right))
