@@ -556,3 +556,14 @@ def test_fixtures_are_sought_by_the_name_that_meets_fewer(spark, monkeypatch):
     got = {r.fixture_id: (r.match_id, r.score, r.book_home_is_team1) for r in linking.fuzzy_links(f, p).collect()}
     assert got == {k: (k, 0.92, k % 4 != 0) for k in range(60)}
     assert sorted(asked) == sorted(f"{k:09d} FC" for k in range(60))
+
+
+def test_feature_rows_meet_short_histories_and_sweep_what_is_latest_once(spark, monkeypatch):
+    made, facts = _plain_facts(spark, 700)
+    sizes = facts.groupBy("team").count().agg(F.min("count")).first()[0]
+    assert sizes > 200
+    swept, latest_of = [], asof.latest_of
+    monkeypatch.setattr(asof, "latest_of", lambda *a, **k: swept.append(1) or latest_of(*a, **k))
+    monkeypatch.setattr(asof, "_by_subset", None)
+    contests = made.where("match_id % 50 = 0").select("match_id", "start_ts", "team1", "team2", "map_name", "best_of")
+    assert features.feature_rows(facts, contests).count() == contests.count() and len(swept) == 1
