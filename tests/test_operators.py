@@ -567,3 +567,17 @@ def test_feature_rows_meet_short_histories_and_sweep_what_is_latest_once(spark,
     monkeypatch.setattr(asof, "_by_subset", None)
     contests = made.where("match_id % 50 = 0").select("match_id", "start_ts", "team1", "team2", "map_name", "best_of")
     assert features.feature_rows(facts, contests).count() == contests.count() and len(swept) == 1
+
+
+def test_looks_of_two_k_come_from_one_replay(spark, monkeypatch):
+    made = ratings.single_map(records.synthetic_contests(spark, 60, teams=6).withColumn("end_ts", estimated_end("start_ts", "best_of")).where("team1_score <> team2_score").withColumn("won", (F.col("team1_score") > F.col("team2_score")).cast("int"))).cache()
+    coming = made.where("match_id % 10 = 0").withColumns({f"team{i}_name": F.concat(F.lit("T"), F.col(f"team{i}").cast("string")) for i in (1, 2)})
+    played = made.where("match_id % 10 <> 0")
+    facts = _plain_facts(spark, 60)[1]
+    score = lambda rows: rows.withColumn("p", F.lit(0.5))
+    one = {k: {r.match_id: r.rating for r in predict.looks_ahead(played, coming, ("map0",), k).collect()} for k in (32, 64)}
+    both = predict.looks_ahead(played, coming, ("map0",), 32, 64).collect()
+    assert len(both) == 2 * len(one[32]) and all(r.rating == one[int(r.k)][r.match_id] for r in both)
+    replays, log = [], ratings.rating_log
+    monkeypatch.setattr(ratings, "rating_log", lambda *a: replays.append(1) or log(*a))
+    assert predict.predict(score, facts, coming, ("map0",), games=played, baseline_k=64).count() == coming.count() and len(replays) == 1

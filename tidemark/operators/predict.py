@@ -15,14 +15,15 @@ from tidemark.operators.ratings import DEFAULT_K
 from tidemark.tables import written
 
 
-def looks_ahead(games: DataFrame, upcoming: DataFrame, pool: Sequence[str], k: float = DEFAULT_K) -> DataFrame:
+def looks_ahead(games: DataFrame, upcoming: DataFrame, pool: Sequence[str], *ks: float) -> DataFrame:
     """Both sides' ratings before each of ``upcoming``, overall and on every map of ``pool``, from ``games`` (as
-    ``ratings.rating_log`` takes them): contests to come join the replay as looks that play nothing."""
+    ``ratings.rating_log`` takes them): contests to come join the replay as looks that play nothing. One
+    replay serves all of ``ks`` (by default the usual one)."""
     columns = ["match_id", "start_ts", "end_ts", "team1", "team2", "maps"]
     played = games.select(*columns, F.array().cast("array<string>").alias("extra_maps"), F.lit(False).alias("ahead"))
     kind = games.schema["maps"].dataType
     ahead = upcoming.select("match_id", "start_ts", F.col("start_ts").alias("end_ts"), "team1", "team2", F.array().cast(kind).alias("maps"), F.array(*map(F.lit, pool)).cast("array<string>").alias("extra_maps"), F.lit(True).alias("ahead"))
-    looks = ratings_.prematch(ratings_.rating_log(played.unionByName(ahead), (k,)))
+    looks = ratings_.prematch(ratings_.rating_log(played.unionByName(ahead), ks or (DEFAULT_K,)))
     return looks.join(upcoming.select("match_id", F.col("team1").cast("long").alias("team")), ["match_id", "team"], "left_semi")
 
 
@@ -42,8 +43,8 @@ def predict(trained: models.Trained | Callable[[DataFrame], DataFrame], facts: D
     low-history mark of the feature row.
     """
     asked = features.playable(upcoming)
-    ahead = written(looks_ahead(games, asked, pool, elo_k)) if games is not None else None
-    base = ahead if games is None or elo_k == baseline_k else looks_ahead(games, asked, pool, baseline_k)
+    looks = written(looks_ahead(games, asked, pool, *sorted({elo_k, baseline_k}))) if games is not None else None
+    ahead, base = (looks.where(F.col("k") == float(k)) if looks is not None else None for k in (elo_k, baseline_k))
     rows = features.feature_rows(facts, asked, ahead.drop("maps") if ahead is not None else ratings, (), half_life, roster_factor)
     spread = rows.withColumn("map_name", F.explode(F.array(*map(F.lit, pool))))
     if ahead is not None:
