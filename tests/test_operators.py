@@ -4,6 +4,7 @@ import re
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -581,3 +582,41 @@ def test_looks_of_two_k_come_from_one_replay(spark, monkeypatch):
     replays, log = [], ratings.rating_log
     monkeypatch.setattr(ratings, "rating_log", lambda *a: replays.append(1) or log(*a))
     assert predict.predict(score, facts, coming, ("map0",), games=played, baseline_k=64).count() == coming.count() and len(replays) == 1
+
+
+def _many_games(spark, teams: int):
+    made = records.synthetic_contests(spark, 400, teams=teams).where("team1_score <> team2_score").withColumn("end_ts", estimated_end("start_ts", "best_of"))
+    won = (F.col("team1_score") > F.col("team2_score")).cast("int")
+    return made.withColumns({"won": won, "maps": F.array(F.struct("map_name", won.alias("won")), F.struct(F.lit("map1").alias("map_name"), (1 - won).alias("won")))})
+
+
+def test_all_k_are_replayed_at_once_in_waves_as_game_by_game(spark, monkeypatch):
+    rows = _many_games(spark, 90)
+    held = ratings._standings(np.array([16.0, 32.0])).empty_table()
+    games = ratings._games_of(ratings._in_order(ratings.events(rows).toArrow()))
+    waits = games["waits"].to_numpy()
+    assert waits.max() + 1 < len(waits) / 4
+    left, plain = [], []
+    monkeypatch.setattr(ratings, "_one_by_one", lambda *a, by=ratings._one_by_one: plain.append(1) or by(*a))
+    for wide in (0, 10**9):
+        monkeypatch.setattr(ratings, "WIDE", wide)
+        book = ratings._Book(np.array([16.0, 32.0]), held, games, True)
+        book.settle()
+        left.append(book.left())
+    assert left[0].equals(left[1]) and len(plain) == 1
+    # all K of a contest are one row
+    looks = ratings.rated(rows, ratings.K_GRID, tells=("snapshot",), on_maps=False)
+    assert looks.count() == rows.count() and {r.n for r in looks.select(F.size("rated").alias("n")).distinct().collect()} == {len(ratings.K_GRID)}
+
+
+def test_long_chains_are_split_into_lanes_and_tell_what_is_asked(spark, monkeypatch):
+    copy = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("copy")
+    rows = _many_games(spark, 12).select("*", copy).withColumns({c: F.col(c) + F.col("copy") * 1000 for c in ("match_id", "team1", "team2")})
+    plain = lambda df: sorted(map(repr, df.collect()))
+    whole = ratings.rating_log(rows, (32,))
+    log = {kind: plain(whole.where(F.col("kind") == kind)) for kind in ratings.TELLS}
+    monkeypatch.setattr(ratings, "LONG", 1)
+    lanes, deal = [], ratings.in_lanes
+    monkeypatch.setattr(ratings, "in_lanes", lambda *a: lanes.append(1) or deal(*a))
+    assert all(plain(ratings.rating_log(rows, (32,), 150, (kind,))) == log[kind] for kind in ratings.TELLS) and len(lanes) == 2
+    assert plain(ratings.rating_log(rows, (32,), 150, ("change",), False)) == log["change"]
