@@ -11,7 +11,7 @@ from tidemark.functions import series
 from tidemark.functions.stats import expected_score, published, rounded
 from tidemark.operators import features, models
 from tidemark.operators import ratings as ratings_
-from tidemark.operators.ratings import DEFAULT_K
+from tidemark.operators.ratings import DEFAULT_K, SNAPSHOT, STRETCH
 from tidemark.tables import written
 
 
@@ -23,7 +23,7 @@ def looks_ahead(games: DataFrame, upcoming: DataFrame, pool: Sequence[str], *ks:
     played = games.select(*columns, F.array().cast("array<string>").alias("extra_maps"), F.lit(False).alias("ahead"))
     kind = games.schema["maps"].dataType
     ahead = upcoming.select("match_id", "start_ts", F.col("start_ts").alias("end_ts"), "team1", "team2", F.array().cast(kind).alias("maps"), F.array(*map(F.lit, pool)).cast("array<string>").alias("extra_maps"), F.lit(True).alias("ahead"))
-    looks = ratings_.prematch(ratings_.rating_log(played.unionByName(ahead), ks or (DEFAULT_K,)))
+    looks = ratings_.prematch(ratings_.rating_log(played.unionByName(ahead), ks or (DEFAULT_K,), STRETCH, (SNAPSHOT,)))
     return looks.join(upcoming.select("match_id", F.col("team1").cast("long").alias("team")), ["match_id", "team"], "left_semi")
 
 
